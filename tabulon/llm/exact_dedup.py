@@ -16,7 +16,12 @@ from tabulon.llm.common import BROADCAST_ROWS, restrict, stored, work_dir
 
 #: Characters that don't count when texts are compared: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State is kept on disk, its changes are written rather than snapshots, and no disk is set aside beforehand.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Copies of one text that are compared with the same replica of the row that stays.
 COPIES_A_REPLICA = 1_000
 
@@ -60,12 +65,14 @@ def keep_state(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
         changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch-{batch}")
         written.append(batch)
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not written:
         return spark.createDataFrame([], state.schema)
     found = spark.read.parquet(*[f"{out}/batch-{b}" for b in sorted(set(written))])

@@ -4,8 +4,8 @@ Every window of ``window`` words holds an anchor, a short word n-gram whose hash
 windows hold equal anchors. Anchors that recur leave few windows that can repeat; these are counted, and the recurring
 ones, taken together where they stand in the first document that has them, are the passages. Passages are dealt over
 shards by that document. Every shard compiles an Aho-Corasick automaton of its passages' anchors and streams through it
-all documents that hold any of them, in full; from each place that it finds, document and passage are compared word by
-word in both directions, which gives every occurrence of every window of the passage.
+all documents that hold any of its windows, in full; from each place that it finds, document and passage are compared
+word by word in both directions, which gives every occurrence of every window of the passage.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import BROADCAST_ROWS, restrict, stored, without, work_dir
+from tabulon.llm.common import BROADCAST_ROWS, discard, restrict, stored, without, work_dir
 from tabulon.llm.shingles import HASHES, anchors, ngram_hashes, sliding
 
 GRAM = 6
@@ -82,23 +82,45 @@ def recurring_anchors(texts: DataFrame, window: int, path: str) -> DataFrame:
     seen = stored(texts.mapInArrow(see, "anchor long, id long, n long"), f"{path}/anchors")
     recurring = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     found = seen.select("anchor", "id").join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    return stored(found, f"{path}/recurring")
+    found = stored(found, f"{path}/recurring")
+    discard(texts.sparkSession, f"{path}/anchors")
+    return found
 
 
-def passages(held: DataFrame, window: int, path: str) -> DataFrame:
-    """(source, start, passage, anchors) from ``held(id, text, anchors)``: runs of windows that recur and of which no
-    document before ``source`` has one, nor an earlier place in it."""
+def candidates(text: str, known: list[int], window: int) -> np.ndarray:
+    """Hashes of the text's windows whose anchor recurs."""
+    w = Windows(text, window)
+    return w.windows(window)[np.isin(w.smallest(), np.array(known, np.int64))] if len(w.grams) else np.zeros(0, np.int64)
+
+
+def recurring_windows(held: DataFrame, window: int, path: str) -> DataFrame:
+    """(hash, source): windows that are at two places of ``held(id, text, anchors)`` at least, and the first document
+    that has them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, known in batches_of(batches, 2048):
-            own = []
-            for text, anchor in zip(texts, known):
-                w = Windows(text, window)
-                own.append(w.windows(window)[np.isin(w.smallest(), np.array(anchor, np.int64))] if len(w.grams) else np.zeros(0, np.int64))
-            yield packed(counted(own, ids), ["hash", "id", "n"])
+            yield packed(counted([candidates(t, k, window) for t, k in zip(texts, known)], ids), ["hash", "id", "n"])
+
+    found = held.mapInArrow(count, "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
+    return stored(found.where("n > 1").select("hash", "source"), f"{path}/windows")
+
+
+def routes(held: DataFrame, windows: DataFrame, n_shards: int, window: int, path: str) -> DataFrame:
+    """(id, shard): which documents have a window of a shard's passages."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, known in batches_of(batches, 512):
+            own = [np.unique(candidates(t, k, window)) for t, k in zip(texts, known)]
+            yield packed([np.concatenate(own), np.repeat(np.array(ids, np.int64), [len(x) for x in own])], ["hash", "id"])
+
+    shards = windows.select("hash", F.pmod(F.xxhash64("source"), F.lit(n_shards)).alias("shard"))
+    return stored(held.mapInArrow(each, "hash long, id long").join(shards, "hash").select("id", "shard").distinct(), f"{path}/routes")
+
 
-    windows = held.mapInArrow(count, "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("id"), F.sum("n").alias("n")).where("n > 1")
-    firsts = stored(windows.groupBy("id").agg(F.collect_list("hash").alias("hashes")), f"{path}/firsts")
+def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> DataFrame:
+    """(source, start, passage, anchors): runs of recurring windows of which no document before ``source`` has one, nor
+    an earlier place in it."""
+    firsts = stored(windows.groupBy(F.col("source").alias("id")).agg(F.collect_list("hash").alias("hashes")), f"{path}/firsts")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, known, hashes in batches_of(batches, 128):
@@ -116,7 +138,7 @@ def passages(held: DataFrame, window: int, path: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(4)], names=["source", "start", "passage", "anchors"])
 
-    return stored(held.join(firsts, "id").mapInArrow(join, "source long, start long, passage binary, anchors array<long>"), f"{path}/passages")
+    return stored(restrict(held, firsts.select("id"), "id").join(firsts, "id").mapInArrow(join, "source long, start long, passage binary, anchors array<long>"), f"{path}/passages")
 
 
 class Automaton:
@@ -176,16 +198,15 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     path = work_dir(spark, "phrases")
     known = recurring_anchors(docs, window, path)
     held = stored(restrict(docs, known.select("id"), "id").join(known, "id").select("id", "text", "anchors"), f"{path}/held")
-    parts = passages(held, window, path)
-    n_shards = 1 + (parts.agg(F.sum(F.length("passage"))).first()[0] or 0) // (6 * SHARD_WORDS)
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(n_shards)))
-    ways = parts.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    routes = known.select("id", F.explode("anchors").alias("anchor")).join(ways, "anchor").select("id", "shard").distinct()
-    routes = stored(routes, f"{path}/routes")
-    sizes = stored(routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("n_copies")), f"{path}/sizes")
+    windows = recurring_windows(held, window, path)
+    n_shards = 1 + windows.count() // SHARD_WORDS
+    parts = passages(held, windows, window, path).withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(n_shards)))
+    ways = routes(held, windows, n_shards, window, path)
+    discard(spark, f"{path}/windows")
+    sizes = stored(ways.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("n_copies")), f"{path}/sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
-    routed = routes.join(sizes, "shard").withColumn("copy", F.pmod(F.xxhash64("id"), "n_copies"))
-    streamed = held.select("id", "text").join(routed, "id").select("shard", "copy", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<long>").alias("anchors"))
+    routed = ways.join(sizes, "shard").withColumn("copy", F.pmod(F.xxhash64("id"), "n_copies"))
+    streamed = restrict(held.select("id", "text"), ways.select("id").distinct(), "id").join(routed, "id").select("shard", "copy", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<long>").alias("anchors"))
     compiled = parts.join(sizes, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     compiled = compiled.select("shard", "copy", F.lit(0).alias("kind"), F.col("source").alias("id"), "start", F.col("passage").alias("text"), "anchors")
     both = streamed.unionByName(compiled).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
