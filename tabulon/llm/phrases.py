@@ -4,13 +4,14 @@ Every window of ``window`` words holds an anchor, a short word n-gram whose hash
 windows hold equal anchors. Anchors that recur leave few windows that can repeat; these are counted, and the recurring
 ones, taken together where they stand in the first document that has them, are the passages. Passages are dealt over
 shards by that document. Every shard compiles an Aho-Corasick automaton of its passages' anchors and streams through it
-all documents that hold any of its windows, in full; from each place that it finds, document and passage are compared
-word by word in both directions, which gives every occurrence of every window of the passage.
+all documents that hold any of its windows, in full; the windows around each place that it finds are looked up among
+those of the shard, which gives every occurrence of every window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,10 @@ class Windows:
         self.hashes = HASHES.of(self.words)
         self.width = window - GRAM + 1
         self.grams = ngram_hashes(self.hashes, GRAM) if len(self.words) >= window else np.zeros(0, np.uint64)
-        self.at = anchors(self.grams, self.width)
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return anchors(self.grams, self.width)
 
     def anchors(self) -> np.ndarray:
         return self.grams[self.at].view(np.int64)
@@ -87,10 +91,18 @@ def recurring_anchors(texts: DataFrame, window: int, path: str) -> DataFrame:
     return found
 
 
+def place(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the values are in a sorted array, and where."""
+    if not len(among):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[at] == values, at
+
+
 def candidates(text: str, known: list[int], window: int) -> np.ndarray:
     """Hashes of the text's windows whose anchor recurs."""
     w = Windows(text, window)
-    return w.windows(window)[np.isin(w.smallest(), np.array(known, np.int64))] if len(w.grams) else np.zeros(0, np.int64)
+    return w.windows(window)[place(w.smallest(), np.sort(np.array(known, np.int64)))[0]] if len(w.grams) else np.zeros(0, np.int64)
 
 
 def recurring_windows(held: DataFrame, window: int, path: str) -> DataFrame:
@@ -110,7 +122,7 @@ def routes(held: DataFrame, windows: DataFrame, n_shards: int, window: int, path
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, known in batches_of(batches, 512):
-            own = [np.unique(candidates(t, k, window)) for t, k in zip(texts, known)]
+            own = [candidates(t, k, window) for t, k in zip(texts, known)]
             yield packed([np.concatenate(own), np.repeat(np.array(ids, np.int64), [len(x) for x in own])], ["hash", "id"])
 
     shards = windows.select("hash", F.pmod(F.xxhash64("source"), F.lit(n_shards)).alias("shard"))
@@ -142,54 +154,49 @@ def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> Dat
 
 
 class Automaton:
-    """Finds the places of a shard's passages, in whole or in part, in a document."""
+    """Finds the windows of a shard's passages in a document."""
 
     def __init__(self, window: int):
         import ahocorasick
 
-        self.window, self.passages, self.places = window, [], {}
-        self.automaton = ahocorasick.Automaton()
+        self.window, self.automaton, self.held = window, ahocorasick.Automaton(), []
 
     def add(self, source: int, start: int, passage: bytes, known: list[int]) -> None:
         found = passage.split()
         hashes = HASHES.of(found)
-        grams = ngram_hashes(hashes, GRAM).view(np.int64)
-        for at in np.flatnonzero(np.isin(grams, np.array(known, np.int64))).tolist():
-            phrase = b" " + b" ".join(found[at : at + GRAM]) + b" "
-            self.places.setdefault(phrase.decode("latin-1"), []).append((len(self.passages), at))
-        self.passages.append((source, start, hashes))
+        for at in np.flatnonzero(np.isin(ngram_hashes(hashes, GRAM).view(np.int64), np.array(known, np.int64))).tolist():
+            phrase = (b" " + b" ".join(found[at : at + GRAM]) + b" ").decode("latin-1")
+            self.automaton.add_word(phrase, len(phrase))
+        windows = ngram_hashes(hashes, self.window).view(np.int64)
+        self.held.append((windows, np.full(len(windows), source), np.arange(start, start + len(windows))))
 
     def compiled(self) -> Automaton:
-        for phrase, places in self.places.items():
-            self.automaton.add_word(phrase, (len(phrase), places))
         self.automaton.make_automaton()
+        columns = [np.concatenate(c) for c in zip(*self.held)]
+        order = np.argsort(columns[0])
+        self.windows, self.sources, self.starts = (c[order] for c in columns)
         return self
 
-    def locate(self, doc: int, text: str) -> list[tuple[int, int]]:
-        """Runs of words that windows cover which also start earlier."""
+    def locate(self, doc: int, text: str) -> tuple[list[int], list[int]]:
+        """Starts and ends of the runs of words that windows cover which also start earlier."""
         own = words(text)
-        hashes = HASHES.of(own)
-        spaces = np.cumsum([0, *(len(w) + 1 for w in own)])
         stream = (b" " + b" ".join(own) + b" ").decode("latin-1")
-        found, done = set(), set()
-        for end, (size, places) in self.automaton.iter(stream) if len(self.automaton) else ():
-            at = int(np.searchsorted(spaces, end - size + 1))
-            for passage, offset in places:
-                if (passage, at - offset) not in done:
-                    done.add((passage, at - offset))
-                    found.update(self.aligned(doc, hashes, passage, at - offset))
-        return sorted(found)
-
-    def aligned(self, doc: int, hashes: np.ndarray, passage: int, shift: int) -> Iterator[tuple[int, int]]:
-        """Where the document's words agree with the passage laid at ``shift``, for a window at least."""
-        source, start, own = self.passages[passage]
-        if (doc, shift) == (source, start):
-            return
-        low, high = max(0, shift), min(len(hashes), shift + len(own))
-        agree = np.concatenate([[False], hashes[low:high] == own[low - shift : high - shift], [False]])
-        turns = np.flatnonzero(agree[1:] != agree[:-1]).reshape(-1, 2)
-        for first, last in turns[turns[:, 1] - turns[:, 0] >= self.window].tolist():
-            yield low + first, low + last
+        ends = [end - size + 1 for end, size in self.automaton.iter(stream)] if len(self.automaton) else []
+        if not ends or len(own) < self.window:
+            return [], []
+        spaces = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+        at = np.searchsorted(spaces, ends, side="right")
+        near = np.zeros(len(own) + 1, np.int64)  # windows that hold a phrase start up to this far before it
+        np.add.at(near, np.maximum(0, at - self.window + GRAM), 1)
+        np.add.at(near, at + 1, -1)
+        starts = np.flatnonzero(np.cumsum(near)[: len(own) - self.window + 1] > 0)
+        hashes = ngram_hashes(HASHES.of(own), self.window).view(np.int64)[starts]
+        found, where = place(hashes, self.windows)
+        later = starts[found & ((self.sources[where] != doc) | (self.starts[where] != starts))]
+        if not len(later):
+            return [], []
+        breaks = np.flatnonzero(np.diff(later) > self.window)
+        return later[np.append(0, breaks + 1)].tolist(), (later[np.append(breaks, len(later) - 1)] + self.window).tolist()
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -223,8 +230,9 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
                     continue
                 if not ready:
                     ready = bool(automaton.compiled())
-                if spans := automaton.locate(doc, text.decode()):
-                    out.append((doc, [x for x, _ in spans], [x for _, x in spans]))
+                spans = automaton.locate(doc, text.decode())
+                if spans[0]:
+                    out.append((doc, *spans))
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(3)], names=["id", "starts", "ends"])
 
@@ -261,8 +269,11 @@ def remove_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
 
     touched = restrict(rows, spans.select("id"), "id", n).join(spans, "id").select(F.col("doc_id").cast("long"), "text", "starts", "ends")
     touched = touched.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-    blank = r"[\x20\x09-\x0D]+"
-    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), blank, " "))
-    whole = without(rows, spans.select("id"), "id", n).select(F.col("doc_id").cast("long"), joined.alias("kept"))
-    whole = whole.select("doc_id", F.when(F.col("kept") == "", 0).otherwise(1 + F.length("kept") - F.length(F.translate("kept", " ", ""))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), "kept")
-    return touched.unionByName(whole)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in batches_of(batches, 512):
+            own = [words(t) for t in texts]
+            yield packed([pa.array(ids, pa.int64()), [len(w) for w in own], [0] * len(own), [b" ".join(w).decode() for w in own]], ["doc_id", "n_words", "n_removed", "kept"])
+
+    whole = without(rows, spans.select("id"), "id", n).select(F.col("doc_id").cast("long"), "text")
+    return touched.unionByName(whole.mapInArrow(plain, "doc_id long, n_words long, n_removed long, kept string"))
