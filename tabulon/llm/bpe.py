@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabulon.llm.common import small_batches
+
 #: Fragments remembered by a worker before it forgets them all, and the longest one that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 SPACES = b" \t\n\x0b\x0c\r"
 _CODECS: dict[str, Codec] = {}
 
@@ -94,6 +96,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
     at, n_kept = keep.index(text) if text in keep else len(keep), len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept])
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:

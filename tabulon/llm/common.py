@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be no more than this many longs.
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = 1_000
 
 _LOCAL_BASE: dict[str, str] = {}
 
@@ -32,6 +33,13 @@ def shared_base(spark: SparkSession) -> str:
     return f"file://{_LOCAL_BASE[app]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers by the thousand at most, so that a batch stays small on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

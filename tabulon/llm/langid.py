@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import small_batches
+
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -29,7 +31,7 @@ class Model(dict):
     """Maps a word to its row of per-language log frequencies; a word not seen in training gets the mean of its
     longest known n-grams, and is remembered up to ``remembered`` words."""
 
-    remembered = 200_000
+    remembered = 100_000
 
     def __init__(self, languages: list[str], known: dict[str, list[float]], pieces: dict[str, list[float]]):
         super().__init__()
@@ -51,7 +53,7 @@ class Model(dict):
         for n in range(LONGEST_GRAM, 0, -1):
             found = [self.pieces[g] for g in grams(word, n) if g in self.pieces]
             if found:
-                self.rows[at] = np.mean(found, axis=0)
+                self.rows[at] = [sum(of) / len(found) for of in zip(*found)]
                 break
         else:
             self.rows[at] = 0.0
@@ -63,10 +65,10 @@ class Model(dict):
         if not self.languages or not any(map(str.isalpha, found)):
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.languages))
-        for start in range(0, len(found), 50_000):
-            if len(self) + 50_000 > len(self.rows):
+        for start in range(0, len(found), 20_000):
+            if len(self) + 20_000 > len(self.rows):
                 self.reset()
-            part = found[start : start + 50_000]
+            part = found[start : start + 20_000]
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         share = np.exp((total - total.max()) / len(found) ** 0.5)
         best = int(np.argmax(total))
@@ -93,7 +95,7 @@ def train(labelled: DataFrame, rows_per_language: int = 5_000, max_words: int =
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen.setdefault(lang, Counter()).update(words(text))
-            if sum(map(len, seen.values())) > 500_000:
+            if sum(map(len, seen.values())) > 200_000:
                 yield from counted(seen)
                 seen = {}
         yield from counted(seen)
@@ -135,6 +137,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     source = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
     at, n_kept = keep.index(text) if text in keep else len(keep), len(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept])
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

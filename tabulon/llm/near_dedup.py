@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import BROADCAST_ROWS, components, restrict, stored, work_dir
+from tabulon.llm.common import BROADCAST_ROWS, components, restrict, small_batches, stored, work_dir
 from tabulon.llm.shingles import HASHES, mixed, ngram_hashes, runs
 
 _WORD = re.compile(r"\w+")
@@ -121,6 +121,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     """
     spark = docs.sparkSession
     path = work_dir(spark, "jaccard")
+    small_batches(spark)
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import BROADCAST_ROWS, discard, restrict, stored, without, work_dir
+from tabulon.llm.common import BROADCAST_ROWS, discard, restrict, small_batches, stored, without, work_dir
 from tabulon.llm.shingles import HASHES, anchors, ngram_hashes, sliding
 
 GRAM = 6
@@ -203,6 +203,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """(id, starts, ends): runs of words of ``docs(id, text)`` that a window covers which also starts earlier."""
     spark = docs.sparkSession
     path = work_dir(spark, "phrases")
+    small_batches(spark)
     known = recurring_anchors(docs, window, path)
     held = stored(restrict(docs, known.select("id"), "id").join(known, "id").select("id", "text", "anchors"), f"{path}/held")
     windows = recurring_windows(held, window, path)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import restrict, stored, without, work_dir
+from tabulon.llm.common import restrict, small_batches, stored, without, work_dir
 from tabulon.llm.shingles import anchors, mixed, ngram_hashes, runs
 
 GRAM = 64
@@ -96,6 +96,7 @@ def repeat_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     spark = docs.sparkSession
     path = work_dir(spark, "repeats")
+    small_batches(spark)
     side = length - GRAM
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ class WordHashes(dict):
     """Maps a word to its 64-bit hash; forgets all when too many are remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
