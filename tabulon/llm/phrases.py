@@ -27,15 +27,15 @@ SHARD_WORDS, SHARD_DOCS = 40_000, 4_000
 NO_ID = -(1 << 63)
 
 
-def words(text: str | None) -> list[bytes]:
+def words(text: bytes | None) -> list[bytes]:
     """Runs without ASCII white space, which is what splitting bytes goes by."""
-    return text.encode().split() if text else []
+    return text.split() if text else []
 
 
 class Windows:
     """Hashes of a text's words, n-grams and windows."""
 
-    def __init__(self, text: str | None, window: int):
+    def __init__(self, text: bytes | None, window: int):
         self.words = words(text)
         self.hashes = HASHES.of(self.words)
         self.width = window - GRAM + 1
@@ -99,34 +99,44 @@ def place(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return among[at] == values, at
 
 
-def candidates(text: str, known: list[int], window: int) -> np.ndarray:
+def candidates(text: bytes, known: list[int], window: int) -> np.ndarray:
     """Hashes of the text's windows whose anchor recurs."""
     w = Windows(text, window)
     return w.windows(window)[place(w.smallest(), np.sort(np.array(known, np.int64)))[0]] if len(w.grams) else np.zeros(0, np.int64)
 
 
-def recurring_windows(held: DataFrame, window: int, path: str) -> DataFrame:
-    """(hash, source): windows that are at two places of ``held(id, text, anchors)`` at least, and the first document
-    that has them."""
+def candidate_windows(held: DataFrame, window: int, path: str) -> DataFrame:
+    """(id, hashes): each document's candidates, hashed once for the two steps that read them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, known in batches_of(batches, 512):
+            own = [candidates(t, k, window) for t, k in zip(texts, known)]
+            offsets = np.cumsum([0, *map(len, own)])
+            lists = pa.LargeListArray.from_arrays(offsets, np.concatenate(own)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "hashes"])
+
+    return stored(held.mapInArrow(each, "id long, hashes array<long>").where(F.size("hashes") > 0), f"{path}/hashes")
+
+
+def recurring_windows(hashed: DataFrame, path: str) -> DataFrame:
+    """(hash, source): windows that are at two places of ``hashed(id, hashes)`` at least, and the first document that
+    has them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, known in batches_of(batches, 2048):
-            yield packed(counted([candidates(t, k, window) for t, k in zip(texts, known)], ids), ["hash", "id", "n"])
+        for batch in batches:
+            lists = batch.column(1)
+            own = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            if len(lists):
+                yield packed(counted(own, batch.column(0).to_pylist()), ["hash", "id", "n"])
 
-    found = held.mapInArrow(count, "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
+    found = hashed.mapInArrow(count, "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
     return stored(found.where("n > 1").select("hash", "source"), f"{path}/windows")
 
 
-def routes(held: DataFrame, windows: DataFrame, n_shards: int, window: int, path: str) -> DataFrame:
+def routes(hashed: DataFrame, windows: DataFrame, n_shards: int, path: str) -> DataFrame:
     """(id, shard): which documents have a window of a shard's passages."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, known in batches_of(batches, 512):
-            own = [candidates(t, k, window) for t, k in zip(texts, known)]
-            yield packed([np.concatenate(own), np.repeat(np.array(ids, np.int64), [len(x) for x in own])], ["hash", "id"])
-
     shards = windows.select("hash", F.pmod(F.xxhash64("source"), F.lit(n_shards)).alias("shard"))
-    return stored(held.mapInArrow(each, "hash long, id long").join(shards, "hash").select("id", "shard").distinct(), f"{path}/routes")
+    return stored(hashed.select("id", F.explode("hashes").alias("hash")).join(shards, "hash").select("id", "shard").distinct(), f"{path}/routes")
 
 
 def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> DataFrame:
@@ -177,7 +187,7 @@ class Automaton:
         self.windows, self.sources, self.starts = (c[order] for c in columns)
         return self
 
-    def locate(self, doc: int, text: str) -> tuple[list[int], list[int]]:
+    def locate(self, doc: int, text: bytes) -> tuple[list[int], list[int]]:
         """Starts and ends of the runs of words that windows cover which also start earlier."""
         own = words(text)
         stream = (b" " + b" ".join(own) + b" ").decode("latin-1")
@@ -200,21 +210,23 @@ class Automaton:
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(id, starts, ends): runs of words of ``docs(id, text)`` that a window covers which also starts earlier."""
+    """(id, starts, ends): runs of words of ``docs(id, text binary)`` that a window covers which also starts earlier."""
     spark = docs.sparkSession
     path = work_dir(spark, "phrases")
     small_batches(spark)
     known = recurring_anchors(docs, window, path)
     held = stored(restrict(docs, known.select("id"), "id").join(known, "id").select("id", "text", "anchors"), f"{path}/held")
-    windows = recurring_windows(held, window, path)
+    hashed = candidate_windows(held, window, path)
+    windows = recurring_windows(hashed, path)
     n_shards = 1 + windows.count() // SHARD_WORDS
     parts = passages(held, windows, window, path).withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(n_shards)))
-    ways = routes(held, windows, n_shards, window, path)
+    ways = routes(hashed, windows, n_shards, path)
+    discard(spark, f"{path}/hashes")
     discard(spark, f"{path}/windows")
     sizes = stored(ways.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("n_copies")), f"{path}/sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     routed = ways.join(sizes, "shard").withColumn("copy", F.pmod(F.xxhash64("id"), "n_copies"))
-    streamed = restrict(held.select("id", "text"), ways.select("id").distinct(), "id").join(routed, "id").select("shard", "copy", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("start"), F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<long>").alias("anchors"))
+    streamed = restrict(held.select("id", "text"), ways.select("id").distinct(), "id").join(routed, "id").select("shard", "copy", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("start"), "text", F.lit(None).cast("array<long>").alias("anchors"))
     compiled = parts.join(sizes, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     compiled = compiled.select("shard", "copy", F.lit(0).alias("kind"), F.col("source").alias("id"), "start", F.col("passage").alias("text"), "anchors")
     both = streamed.unionByName(compiled).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
@@ -231,7 +243,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
                     continue
                 if not ready:
                     ready = bool(automaton.compiled())
-                spans = automaton.locate(doc, text.decode())
+                spans = automaton.locate(doc, text)
                 if spans[0]:
                     out.append((doc, *spans))
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -251,7 +263,7 @@ def remove_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
     texts of fewer words than a window stay. An empty table gives no rows; other columns, whatever their names, are
     ignored.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
     spans = repeated_spans(rows.select("id", "text"), window)
     n = spans.count()
 
