@@ -9,8 +9,9 @@ side: where white space begins, or after an ASCII letter or digit. Neither posit
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from tabulon.llm.common import small_batches
 
 #: Fragments remembered by a worker before it forgets them all, and the longest one that is remembered.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 SPACES = b" \t\n\x0b\x0c\r"
 _CODECS: dict[str, Codec] = {}
 
@@ -32,7 +33,7 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Codec(dict):
-    """Maps a fragment's bytes to its ids; encodes what it hasn't seen."""
+    """Maps a fragment's bytes to its ids, as the bytes of 32-bit numbers; encodes what it hasn't seen."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,17 +47,18 @@ class Codec(dict):
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre["add_prefix_space"]:
             raise ValueError("forced boundaries need a byte-level BPE without normaliser and prefix space")
         symbols, added = byte_of_symbol(), {t["content"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: t.encode() if t in added else bytes(symbols[c] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        tokens = {i: t.encode() if t in added else bytes(symbols[c] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.bytes_of = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
         inside = np.zeros(65536, bool)
-        for token in self.bytes_of.values():
+        for token in self.bytes_of:
             for a, b in pairwise(token):
                 inside[a << 8 | b] = True
         first, second = np.divmod(np.arange(65536), 256)
         alnum = (first < 128) & np.array([chr(c).isalnum() for c in first])
         self.cut = ~inside & (np.isin(second, list(SPACES)) | alnum)
 
-    def __missing__(self, fragment: bytes) -> list[int]:
-        ids = self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids
+    def __missing__(self, fragment: bytes) -> bytes:
+        ids = array("i", self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
         if len(fragment) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -69,8 +71,11 @@ class Codec(dict):
         at = np.flatnonzero(self.cut[raw[:-1] << 8 | raw[1:]]) + 1
         return [data[i:j] for i, j in pairwise([0, *at.tolist(), len(data)])] if data else []
 
+    def packed(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.fragments(text))), np.int32)
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.fragments(text))))
+        return self.packed(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -103,8 +108,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids = [own.encode(t) if t else [] for t in part.column(at).to_pylist()]
-                out = [*part.columns[:n_kept], pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())]
+                ids = [own.packed(t or "") for t in part.column(at).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                out = [*part.columns[:n_kept], lists, pa.array([own.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "ids", "decoded"])
 
     return source.mapInArrow(run, f"{fields + ', ' if fields else ''}ids array<int>, decoded string")
