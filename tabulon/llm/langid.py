@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import small_batches
+from tabulon.llm.common import discard, small_batches, stored, work_dir
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
@@ -114,16 +114,19 @@ def train(labelled: DataFrame, rows_per_language: int = 5_000, max_words: int =
     tallies = chosen.mapInArrow(count, "lang string, is_word boolean, entry string, n long")
     languages = sorted(sizes)
     wide = tallies.groupBy("is_word", "entry").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
-    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0)).alias("total")
+    wide = wide.withColumn("total", sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0)))
+    path = work_dir(labelled.sparkSession, "langid-counts")
+    wide = stored(wide.where("total > 1 OR NOT is_word"), path)
 
-    def fitted(is_word: bool, most: int, least: int) -> dict[str, list[float]]:
-        top = wide.where(F.col("is_word") == is_word).select("entry", total, *[f"n{i}" for i in range(len(languages))])
-        top = top.where(F.col("total") >= least).orderBy(F.desc("total"), "entry").limit(most).collect()
+    def fitted(is_word: bool, most: int) -> dict[str, list[float]]:
+        top = wide.where(F.col("is_word") == is_word).orderBy(F.desc("total"), "entry").limit(most).collect()
         counts = np.array([[r[f"n{i}"] for i in range(len(languages))] for r in top], float).reshape(len(top), len(languages))
         logs = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * max(1, len(top))))
         return {r["entry"]: row for r, row in zip(top, logs.tolist())}
 
-    return Model(languages, fitted(True, max_words, 2), fitted(False, max_grams, 1))
+    model = Model(languages, fitted(True, max_words), fitted(False, max_grams))
+    discard(labelled.sparkSession, path)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
