@@ -107,3 +107,36 @@ def ratio(n: Column, d: Column) -> Column:
 def canonical_json(c: Column) -> Column:
     """A flat JSON object with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(c, "map<string,string>")))))
+
+
+def slug(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def stable_id(*parts: str) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def span_kind(start: Column, end: Column) -> Column:
+    """Whether two dates lie a quarter or half a year apart, as reports count it."""
+    days = F.date_diff(end, start)
+    return F.when(days.between(80, 100), "quarter").when(days.between(170, 190), "half").otherwise("other")
+
+
+def unique_names(names: Column) -> Column:
+    """A name's second occurrence becomes name_2, its third name_3."""
+
+    def numbered(x: Column, i: Column) -> Column:
+        n = F.size(F.filter(F.slice(names, 1, i + 1), lambda y: y == x))
+        return F.when(n > 1, F.concat(x, F.lit("_"), n.cast("string"))).otherwise(x)
+
+    return F.transform(names, numbered)
+
+
+def markdown_row(*columns: str) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |"))
+
+
+def markdown_cells(line: Column) -> Column:
+    """Trimmed cells of a row of a pipe table."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))

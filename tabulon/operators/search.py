@@ -69,3 +69,34 @@ def capped(hits: DataFrame, scope: list[str], order: list[Column]) -> DataFrame:
     most = F.greatest(F.lit(CAP_LEAST), F.floor(F.col("n") * CAP_SHARE))
     free = (F.col("n") < CAP_FROM) | (F.col("n_exact") == 0) | exact
     return ranked.where(free | (F.col("rank") <= most)).drop("n", "n_exact", "rank")
+
+
+def sentences(text: Column) -> Column:
+    """Pieces between full-width stops and question, exclamation and semicolon marks; the ASCII full stop doesn't split."""
+    return F.filter(F.split(C.collapsed(text), "[。！？!?；;]"), lambda x: F.trim(x) != "")
+
+
+def distinct_snippets(snippets: Column, most: int = 2) -> Column:
+    """Without snippets that equal or lie within another; the longer of two takes the earlier one's place."""
+    pair = "struct<text:string,norm:string>"
+    named = F.transform(snippets, lambda x: F.struct(x.alias("text"), C.comparable(x).alias("norm")))
+
+    def step(kept: Column, x: Column) -> Column:
+        within = lambda k: F.contains(x["norm"], k["norm"])
+        place = F.array_position(F.transform(kept, within), True)
+        longer = F.concat(F.slice(kept, 1, place.cast("int") - 1), F.array(x), F.filter(F.slice(kept, place.cast("int") + 1, F.size(kept)), lambda k: ~within(k)))
+        return F.when(F.exists(kept, lambda k: F.contains(k["norm"], x["norm"])), kept).when(place > 0, longer).otherwise(F.concat(kept, F.array(x)))
+
+    return F.slice(F.aggregate(named, F.array().cast(f"array<{pair}>"), step)["text"], 1, most)
+
+
+def densest(lines: DataFrame, keys: list[str], text: str, terms: list[str], width: int) -> DataFrame:
+    """(keys, start, n_terms): of each text, where the most distinct terms begin within ``width`` characters."""
+    words = lines.select(*keys, F.posexplode(F.split(text, " ")).alias("i", "word"))
+    before = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = words.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("long"))
+    hits = placed.where(F.lower("word").isin(terms)).withColumn("term", F.lower("word"))
+    ahead = Window.partitionBy(*keys).orderBy("start").rangeBetween(0, width)
+    counted = hits.withColumn("n_terms", F.size(F.collect_set("term").over(ahead)))
+    best = Window.partitionBy(*keys).orderBy(F.desc("n_terms"), "start")
+    return counted.withColumn("r", F.row_number().over(best)).where("r = 1").select(*keys, "start", "n_terms")

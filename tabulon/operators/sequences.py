@@ -43,3 +43,14 @@ def page(df: DataFrame, order: list[Column], after: Column, size: int) -> DataFr
 def ceil_percentile(values: Column, p: float) -> Column:
     """The value at the ceiling of the rank (n - 1) * p, of an array that needn't be sorted."""
     return F.element_at(F.sort_array(values), (F.ceil((F.size(values) - 1) * p) + 1).cast("int"))
+
+
+def ordered_markers(text: Column, markers: list[str]) -> Column:
+    """Places (from 1) of each marker's first occurrence after the last one picked; 0, and no move, where there is none."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+
+    def step(s: Column, marker: Column) -> Column:
+        place = F.call_function("locate", marker, text, s["at"] + 1)
+        return F.struct(F.greatest(s["at"], place).alias("at"), F.concat(s["places"], F.array(place)).alias("places"))
+
+    return F.aggregate(F.array(*map(F.lit, markers)), start, step)["places"]

@@ -1,6 +1,6 @@
 """All named queries of the engine."""
 
-from tabulon.plans import documents, quality, relational
+from tabulon.plans import documents, folds, quality, relational
 from tabulon.plans.registry import PLANS, oracle_sql, plan, queries
 
-__all__ = ["PLANS", "documents", "oracle_sql", "plan", "quality", "queries", "relational"]
+__all__ = ["PLANS", "documents", "folds", "oracle_sql", "plan", "quality", "queries", "relational"]

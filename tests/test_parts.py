@@ -81,3 +81,25 @@ def test_streams_agree_with_batches(spark, tmp_path):
     got = jobs.run_to_end(jobs.windowed(stream), "windowed", "complete", f"{tmp_path}/c2")
     assert got.agg(F.sum("n")).first()[0] == events.count()
     assert jobs.run_to_end(jobs.first_requests(stream), "first", "append", f"{tmp_path}/c3").count() <= events.count()
+
+
+def test_distinct_snippets_is_the_fold(spark):
+    """The longer of two snippets takes the earlier one's place; a snippet within a kept one is dropped; two at most."""
+    cases = {
+        "same": (["The Act.", "the act"], ["The Act."]),
+        "longer": (["act", "other", "the act, as amended"], ["the act, as amended", "other"]),
+        "within": (["the act as amended", "ACT", "more", "third"], ["the act as amended", "more"]),
+        "both": (["one", "two", "one two", "three"], ["one two", "three"]),
+        "none": ([], []),
+    }
+    rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k string, s array<string>")
+    got = {r["k"]: r["d"] for r in rows.select("k", search.distinct_snippets(F.col("s")).alias("d")).collect()}
+    assert got == {k: v[1] for k, v in cases.items()}
+
+
+def test_ordered_markers_and_densest(spark):
+    rows = spark.createDataFrame([(1, "b a b c"), (2, ""), (3, None)], "k int, s string")
+    got = {r["k"]: r["p"] for r in rows.select("k", sequences.ordered_markers(F.col("s"), ["a", "b", "x", "c"]).alias("p")).collect()}
+    assert got[1] == [3, 5, 0, 7] and got[2] == [0, 0, 0, 0]
+    lines = spark.createDataFrame([(1, "aa x bb aa bb cc")], "k int, s string")
+    assert [tuple(r) for r in search.densest(lines, ["k"], "s", ["aa", "bb", "cc"], 8).collect()] == [(1, 8, 3)]  # starts 0 3 5 8 11 14
