@@ -1,7 +1,8 @@
 """License scans: an exact containment join of text blocks with license templates, with DataFrame functions alone.
 
-A block is a line of a document. A template is found in a block if the block holds at least ``threshold`` of the
-template's distinct words. Template words are ordered by how many blocks of the whole table hold them, rarest first.
+A block is a line of a document, or, for texts wrapped over lines, any run of WINDOW times a template's words within a
+paragraph. A template is found in a block if the block holds at least ``threshold`` of the template's distinct words.
+Template words are ordered by how many texts of the whole table hold them, if only inside other words, rarest first.
 A block that shares the needed number of words shares one of the rarest of either side (prefix filter), has enough
 template words at all (length filter), and has enough of them left from the shared word on (positional filter); what
 passes is verified on the whole sets.
@@ -9,12 +10,20 @@ passes is verified on the whole sets.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import stored, work_dir
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between paragraphs: at least one line without a word.
+BLANK = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
+#: Words of a block across lines, as a multiple of the template's.
+WINDOW = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that count wherever their words stand consecutively, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -64,37 +73,74 @@ def phrase_hits(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame
     return rows.select("doc_id", "content", F.size("words").cast("long").alias("n_words"), F.concat(*hits).alias("hits"))
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, content, block, held): a row for each line that holds a template word; held: the distinct ones."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("content"), F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
-    return lines.select("doc_id", "content", "block", F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))).alias("held")).where(F.size("held") > 0)
+def needed(template: list[str], threshold: float) -> int:
+    return math.ceil(threshold * len(template) - 1e-9)
+
+
+def lines(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, content, held): a row for each line that holds a template word; held: the distinct ones."""
+    each = docs.select("doc_id", "content", F.explode(F.split("lower", "\n")).alias("line"))
+    return each.select("doc_id", "content", F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))).alias("held")).where(F.size("held") > 0)
+
+
+def passages(docs: DataFrame, rare: Column, reach: int) -> DataFrame:
+    """(doc_id, content, word, at, near): each rare word in a paragraph of several lines, and the words around it.
+
+    near: the word with up to ``reach`` - 1 words before and after it; at: its index there. A line without a word ends a paragraph.
+    """
+    each = docs.select("doc_id", "content", F.explode(F.split("lower", BLANK)).alias("part")).where(F.contains("part", F.lit("\n")))
+    each = each.select("doc_id", "content", words(F.col("part")).alias("words"))
+    begin = lambda i: F.greatest(i - (reach - 1), F.lit(0))
+    spot = lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), (i - begin(i)).alias("at"), F.slice("words", begin(i) + 1, i - begin(i) + reach).alias("near")))
+    return each.select("doc_id", "content", F.explode(F.filter(F.transform("words", spot), lambda s: s.isNotNull())).alias("s")).select("doc_id", "content", "s.*")
 
 
 def template_hits(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, content, label, containment): the best containment of each label that a document's blocks meet."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    # One row for each template word: its size is that of the templates, whatever the corpus.
-    counts = {r["w"]: r["n"] for r in blocks(docs, vocabulary).select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    prefixes = []
-    for label, text in templates:
-        mine = sorted(set(text.split()), key=order.get)
-        need = math.ceil(threshold * len(mine) - 1e-9)
-        prefixes += [(label, mine, need, w, i) for i, w in enumerate(mine[: len(mine) - need + 1])]
+    sets = [(label, sorted(set(text.split())), WINDOW * len(text.split())) for label, text in templates]
+    vocabulary = sorted({w for _, t, _ in sets for w in t})
+    texts = docs.select("doc_id", F.xxhash64("text").alias("content"), lowered(F.col("text")).alias("lower"))
+    has = lambda w: F.contains("lower", F.lit(w))
+    # One row, with a number for each template word: its size is that of the templates, whatever the corpus.
+    counts = texts.agg(*[F.count_if(has(w)).alias(f"n{i}") for i, w in enumerate(vocabulary)]).first()
+    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts[f"n{vocabulary.index(w)}"], w)))}
+    prefixes, rules = [], []
+    for label, template, window in sets:
+        mine = sorted(template, key=order.get)
+        need = needed(mine, threshold)
+        first = mine[: len(mine) - need + 1]
+        prefixes += [(label, mine, need, window, w, i) for i, w in enumerate(first)]
+        rules.append((first, mine, need))
+
+    def may(text: Column) -> Column:
+        """A text that lacks too many of the words even as parts of other words has no block with them."""
+        holds = lambda w: F.contains(text, F.lit(w))
+        return functools.reduce(operator.or_, [functools.reduce(operator.or_, map(holds, first)) & (sum((holds(w).cast("int") for w in mine), F.lit(0)) >= need) for first, mine, need in rules])
+
+    # As an element of an array the lowered text is made once, not once for each word.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("content"), F.explode_outer(F.filter(F.array(lowered(F.col("text"))), may)).alias("lower")).where("lower IS NOT NULL")
+    texts = stored(texts, work_dir(docs.sparkSession, "licenses"))
     spark = docs.sparkSession
-    values = ", ".join(f"('{label}', array({', '.join(map(repr, mine))}), {need}, '{w}', {i})" for label, mine, need, w, i in prefixes)
-    side = spark.sql(f"SELECT * FROM VALUES {values} AS t(label, template, need, word, at)")
+    values = ", ".join(f"('{label}', array({', '.join(map(repr, mine))}), {need}, {window}, '{w}', {i})" for label, mine, need, window, w, i in prefixes)
+    side = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(label, template, need, window, word, first)"))
+    rare = F.array(*map(F.lit, sorted({p[4] for p in prefixes})))
+    total = F.size("template")
+
     ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     sorted_held = F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w), w.alias("w")))), lambda s: s["w"])
-    rare = F.array(*map(F.lit, sorted({p[3] for p in prefixes})))
-    found = blocks(docs, vocabulary).where((F.size("held") >= min(p[2] for p in prefixes)) & F.arrays_overlap("held", rare))
+    found = lines(texts, vocabulary).where((F.size("held") >= min(p[2] for p in prefixes)) & F.arrays_overlap("held", rare))
     found = found.select("doc_id", "content", sorted_held.alias("held"))
-    found = found.select("doc_id", "content", "held", F.posexplode("held").alias("pos", "word"))
-    joined = found.join(F.broadcast(side), "word")
-    size, total = F.size("held"), F.size("template")
-    joined = joined.where((size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (1 + F.least(total - F.col("at") - 1, size - F.col("pos") - 1) >= F.col("need")))
-    shared = F.size(F.array_intersect("held", "template"))
-    verified = joined.where(shared >= F.col("need")).select("doc_id", "content", "label", (shared / total).alias("containment"))
+    joined = found.select("doc_id", "content", "held", F.posexplode("held").alias("pos", "word")).join(side, "word")
+    size = F.size("held")
+    joined = joined.where((size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (1 + F.least(total - F.col("first") - 1, size - F.col("pos") - 1) >= F.col("need")))
+    within = joined.select("doc_id", "content", "label", "need", total.alias("total"), F.size(F.array_intersect("held", "template")).alias("shared"))
+
+    near = passages(texts, rare, max(w for _, _, w in sets)).join(side, "word")
+    near = near.where(F.size(F.array_intersect("near", "template")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("window") + 1, F.lit(0)), F.col("at"))
+    shared = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s + 1, F.col("window")), "template"))))
+    across = near.select("doc_id", "content", "label", "need", total.alias("total"), shared.alias("shared"))
+    verified = within.union(across).where("shared >= need").select("doc_id", "content", "label", (F.col("shared") / F.col("total")).alias("containment"))
     return verified.groupBy("doc_id", "content", "label").agg(F.max("containment").alias("containment"))
 
 

@@ -93,6 +93,51 @@ def test_license_templates(spark):
     assert got[2]["labels"] == "mit" and got[3]["labels"] == "bsd"
 
 
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction",
+    "bsd": "Copyright someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Keep this",
+    "mpl-2.0": "/* This Source Code Form is subject to the\n * terms of the Mozilla Public License, v.\n * 2.0. If a copy */",
+}
+
+
+def brute_templates(text, threshold=0.8):
+    pattern = re.compile(license_scan.WORD)
+    lower = (text or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
+    parts, best = [[]], {}
+    for line in lower.split("\n"):
+        found = pattern.findall(line)
+        parts[-1] += found
+        if not found:
+            parts.append([])
+    for label, template in license_scan.TEMPLATES:
+        n, wanted = license_scan.WINDOW * len(template.split()), set(template.split())
+        held = [pattern.findall(line) for line in lower.split("\n")] + [p[i : i + n] for p in parts for i in range(len(p))]
+        c = max(len(wanted & set(h)) for h in held) / len(wanted)
+        if c >= threshold - 1e-9:
+            best[label] = max(c, best.get(label, 0))
+    return best
+
+
+def test_license_templates_wrapped_over_lines(spark):
+    words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()}) + ["other"] * 20
+    texts = list(WRAPPED.values()) + ["Some words before\n" + t.replace("\n", "\n\n") for t in WRAPPED.values()]
+    texts += ["\n".join(t.split()) for _, t in license_scan.TEMPLATES] + [None, "", "\n\n", "Released under\n" + "other " * 8 + "the license"]
+    for _, t in license_scan.TEMPLATES * 8:
+        mixed = t.split()
+        for _ in range(draw.randrange(12)):
+            mixed.insert(draw.randrange(len(mixed)), draw.choice(words))
+        texts.append("".join(w + draw.choice([" ", " ", "\n", "\n * ", "\n\n"][: draw.choice([3, 4, 5])]) for w in mixed))
+    rows = list(enumerate(texts))
+    got = {i: {} for i, _ in rows}
+    for r in license_scan.template_hits(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]][r["label"]] = r["containment"]
+    assert [set(got[i]) for i in range(3)] == [{label} for label in WRAPPED]
+    for i, text in rows:
+        assert got[i] == pytest.approx(brute_templates(text)), repr(text)
+    scanned = license_scan.license_scan(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()
+    assert {r["labels"] for r in scanned} == set(WRAPPED) and min(r["score"] for r in scanned) >= 0.8
+
+
 def brute_phrases(rows, window):
     words, seen, out = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}, set(), {}
     for i in sorted(words):
