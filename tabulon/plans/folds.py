@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import columns as C
@@ -103,6 +104,19 @@ def arr1_unique_headers(t):
     return t.documents.where("text IS NOT NULL").select("doc_id", words.alias("w")).select("doc_id", F.array_join(C.unique_names(F.col("w")), " ").alias("headers"))
 
 
+@plan("""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(lower(text), ' ') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+n AS (SELECT r, doc_id, word, pos, row_number() OVER (PARTITION BY r, word ORDER BY pos) AS n FROM p)
+SELECT doc_id, string_agg(CASE WHEN n > 1 THEN word || '_' || n ELSE word END, ' ' ORDER BY pos) AS headers FROM n GROUP BY r, doc_id""")
+def arr1_unique_words(t):
+    """Like arr1_unique_headers, over whole texts; repeated and null ids are rows of their own."""
+    rows = t.documents.where("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").repartition("row").select("row", "doc_id", F.posexplode(F.split(F.lower("text"), " ")).alias("pos", "word"))
+    n = F.row_number().over(Window.partitionBy("row", "doc_id", "word").orderBy("pos"))
+    named = rows.select("row", "doc_id", "pos", "word", n.alias("n")).withColumn("word", F.when(F.col("n") > 1, F.concat_ws("_", "word", "n")).otherwise(F.col("word")))
+    named = named.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    return named.select("doc_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("headers"))
+
+
 @plan("SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line, n_name AS second FROM nation")
 def arr3_markdown_rows(t):
     """Written as rows of a pipe table, and read back."""

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon import plans
 from tabulon.functions import columns as C
 from tabulon.operators import search, sequences
 from tabulon.sources import html, readers
@@ -103,3 +104,11 @@ def test_ordered_markers_and_densest(spark):
     assert got[1] == [3, 5, 0, 7] and got[2] == [0, 0, 0, 0]
     lines = spark.createDataFrame([(1, "aa x bb aa bb cc")], "k int, s string")
     assert [tuple(r) for r in search.densest(lines, ["k"], "s", ["aa", "bb", "cc"], 8).collect()] == [(1, 8, 3)]  # starts 0 3 5 8 11 14
+
+
+def test_unique_words_takes_whole_texts(spark, tmp_path):
+    text = "One " + "filler " * 40 + "one Last last"
+    spark.createDataFrame([(1, text), (1, "a a"), (None, text), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in plans.queries()["arr1_unique_words"](spark, str(tmp_path)).collect()]
+    whole = " ".join(["one", "filler", *(f"filler_{i}" for i in range(2, 41)), "one_2", "last", "last_2"])
+    assert sorted(got, key=str) == sorted([(1, whole), (1, "a a_2"), (None, whole), (2, "")], key=str)
