@@ -93,6 +93,13 @@ def test_license_templates(spark):
     assert got[2]["labels"] == "mit" and got[3]["labels"] == "bsd"
 
 
+def test_turn_order_is_a_registered_verdict(spark, tmp_path):
+    turns = [(1, 0, "system", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, 0, "assistant", "a"), (2, 1, "user", "b"), (3, 0, "user", "a"), (3, 1, "user", "b"), (4, None, None, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["valid"] for r in queries.queries()["op8_turn_order"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, -7: True}
+
+
 WRAPPED = {
     "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction",
     "bsd": "Copyright someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Keep this",
