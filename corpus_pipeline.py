@@ -14,8 +14,14 @@ from tabulon.llm.queries import held_out, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language go; a missing label becomes the language found."""
-    model = langid.train(docs.where(~held_out()))
+    """Documents without a determined language go; a missing label becomes the language found.
+
+    Where no row teaches a language, those without a letter go and labels stay as they are.
+    """
+    labelled = docs.where(~held_out())
+    if labelled.where("text IS NOT NULL AND lang IS NOT NULL").isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    model = langid.train(labelled)
     found = langid.identify(docs, model, keep=tuple(docs.columns)).where(F.col("lang_pred") != langid.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

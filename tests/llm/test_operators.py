@@ -100,6 +100,14 @@ def test_turn_order_is_a_registered_verdict(spark, tmp_path):
     assert got == {1: True, 2: False, 3: False, 4: False, -7: True}
 
 
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None, "a", 1) for i, t in enumerate(["clean words", "漢字", "é", "12 _ !", "", None])]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2] and {r["lang"] for r in got} == {None}
+
+
 WRAPPED = {
     "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction",
     "bsd": "Copyright someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Keep this",
