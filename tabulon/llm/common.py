@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be no more than this many longs.
 BROADCAST_ROWS = 1_000_000
-BATCH_ROWS = 1_000
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 _LOCAL_BASE: dict[str, str] = {}
 
@@ -34,10 +39,41 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python workers by the thousand at most, so that a batch stays small on either side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Whole texts go to Python workers in batches of bounded rows and bytes, so that a batch stays small on either side.
+
+    The limits are settings of the session, since Spark reads them when a job starts; smaller ones are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if int(spark.conf.get(key).rstrip("b")) not in range(1, most + 1):
+            spark.conf.set(key, str(most))
+
+
+def tidy(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """``run`` over batches; when a task ends its worker forgets what it remembers and gives its memory back, since Spark
+    keeps workers for other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def content_key(*columns: str) -> Column:
+    """16 bytes that stand for the values: enough that no two unlike rows of any corpus share them."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns])))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -75,13 +111,13 @@ def restrict(df: DataFrame, keys: DataFrame, column: str, rows: int | None = Non
     return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, column, "left_semi")
 
 
-def without(df: DataFrame, keys: DataFrame, column: str, rows: int) -> DataFrame:
+def without(df: DataFrame, keys: DataFrame, column: str | list[str], rows: int) -> DataFrame:
     """Left anti join, by the same rule as ``restrict``; ``rows``: how many keys there are."""
     return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, column, "left_anti")
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
-    """Connected components of ``edges(a long, b long)`` -> ``(node, root)`` with the smallest node as root.
+    """Connected components of ``edges(a, b)``, of longs or bytes -> ``(node, root)`` with the smallest node as root.
 
     Every round contracts each node into the smallest of its neighbourhood, so the edge table at least halves its
     components per round and is empty after a logarithmic number of rounds. Each round's tables are written.

@@ -27,6 +27,10 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def forget() -> None:
+    HASHES.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads each 64-bit value over all bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
