@@ -1,25 +1,35 @@
-"""Language identification by words first, backing off to shorter and shorter character n-grams."""
+"""Language identification by words first, backing off to shorter and shorter character n-grams.
+
+A language's score for a text is the sum over its words of log frequencies. A word that training has seen counts with
+its own frequencies; any other with the mean of its longest n-grams that training has seen, or not at all.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import discard, small_batches, stored, work_dir
+from tabulon.llm.common import BROADCAST_ROWS, small_batches, stored, tidy, work_dir
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
+#: What an entry counts in a language that has never had it.
+SMOOTH = 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower())] if text else []
+def words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -27,80 +37,111 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-class Model(dict):
-    """Maps a word to its row of per-language log frequencies; a word not seen in training gets the mean of its
-    longest known n-grams, and is remembered up to ``remembered`` words."""
-
-    remembered = 100_000
-
-    def __init__(self, languages: list[str], known: dict[str, list[float]], pieces: dict[str, list[float]]):
-        super().__init__()
+def hashed(strings: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
+
+
+@dataclass
+class Entries:
+    """Log frequencies of words or n-grams: of entry i and language l it is floor[l], or that plus ``gain`` where
+    ``language`` is l among the pairs from starts[i] to starts[i + 1]. Entries are in the order of their hashes, and all
+    is in arrays, so that a copy in a worker is small."""
+
+    names: pa.Array
+    hashes: np.ndarray
+    starts: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+    floor: np.ndarray
+
+    @classmethod
+    def fitted(cls, names: pa.Array, language: np.ndarray, n: np.ndarray, languages: int) -> Entries:
+        found = names.dictionary_encode()
+        hashes = hashed(found.dictionary.to_pylist())
+        by_hash = np.argsort(hashes)
+        rank = np.empty(len(hashes), np.int64)
+        rank[by_hash] = np.arange(len(hashes))
+        code = rank[found.indices.to_numpy(zero_copy_only=False)]
+        order = np.lexsort((language, code))
+        code, language, n = code[order], language[order], n[order].astype(float)
+        known = len(hashes)
+        total = np.bincount(language, weights=n, minlength=languages) + SMOOTH * max(1, known)
+        starts = np.searchsorted(code, np.arange(known + 1))
+        return cls(found.dictionary.take(pa.array(by_hash)), hashes[by_hash], starts, language, np.log((n + SMOOTH) / SMOOTH), np.log(SMOOTH / total))
+
+    def where(self, wanted: list[str]) -> np.ndarray:
+        """Number of each wanted entry; -1: none. What the hashes say is checked on the strings."""
+        if not len(self.hashes) or not wanted:
+            return np.full(len(wanted), -1)
+        keys = hashed(wanted)
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[at] == keys)
+        same = pc.equal(self.names.take(pa.array(at[maybe])), pa.array([wanted[i] for i in maybe.tolist()], pa.string()))
+        out = np.full(len(wanted), -1)
+        hit = maybe[same.to_numpy(zero_copy_only=False)]
+        out[hit] = at[hit]
+        return out
+
+    def pairs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all the entries one after the other: which of them, the language, the gain."""
+        n = self.starts[entries + 1] - self.starts[entries]
+        which = np.repeat(np.arange(len(entries)), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[entries], n)
+        return which, self.language[at], self.gain[at]
+
+
+class Model:
+    def __init__(self, languages: list[str], known: Entries | None = None, pieces: Entries | None = None):
         self.languages, self.known, self.pieces = languages, known, pieces
-        self.reset()
-
-    def __reduce__(self):
-        return Model, (self.languages, self.known, self.pieces)
 
-    def reset(self) -> None:
-        self.clear()
-        self.update(zip(self.known, range(len(self.known))))
-        self.rows = np.zeros((len(self.known) + self.remembered, max(1, len(self.languages))))
-        if self.known:
-            self.rows[: len(self.known)] = np.array(list(self.known.values()))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
+    def rows(self, distinct: list[str]) -> np.ndarray:
+        """Matrix of the log frequencies of each word in each language."""
+        out = np.zeros((len(distinct), len(self.languages)))
+
+        def add(entries: Entries, owner: np.ndarray, found: np.ndarray) -> None:
+            share = 1 / np.bincount(owner, minlength=len(out))[owner]
+            which, language, gain = entries.pairs(found)
+            np.add.at(out, (owner[which], language), gain * share[which])
+            mine = np.zeros(len(out), bool)
+            mine[owner] = True
+            out[mine] += entries.floor
+
+        at = self.known.where(distinct)
+        add(self.known, np.flatnonzero(at >= 0), at[at >= 0])
+        left = np.flatnonzero(at < 0)
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [self.pieces[g] for g in grams(word, n) if g in self.pieces]
-            if found:
-                self.rows[at] = [sum(of) / len(found) for of in zip(*found)]
+            if not len(left):
                 break
-        else:
-            self.rows[at] = 0.0
-        self[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text or "")
-        if not self.languages or not any(map(str.isalpha, found)):
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.languages))
-        for start in range(0, len(found), 20_000):
-            if len(self) + 20_000 > len(self.rows):
-                self.reset()
-            part = found[start : start + 20_000]
-            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        share = np.exp((total - total.max()) / len(found) ** 0.5)
-        best = int(np.argmax(total))
-        return self.languages[best], float(share[best] / share.sum())
-
-
-def train(labelled: DataFrame, rows_per_language: int = 5_000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
-    """Fits the model on ``labelled(text, lang)``.
-
-    The fit is bounded by its parameters: about ``rows_per_language`` rows of each language, chosen by a hash of the
-    text, and the ``max_words`` and ``max_grams`` most frequent entries (ties by the entry itself) are kept, so that the
-    model that goes to the executors has a fixed largest size. Rows with a null text or label teach nothing; no rows
-    give a model that answers ``und``.
-    """
-    rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], {}, {})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_per_language / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(lang, Counter()).update(words(text))
-            if sum(map(len, seen.values())) > 200_000:
-                yield from counted(seen)
-                seen = {}
-        yield from counted(seen)
-
-    def counted(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+            each = [grams(distinct[i], n) for i in left.tolist()]
+            owner = np.repeat(left, [len(g) for g in each])
+            found = self.pieces.where(list(chain.from_iterable(each)))
+            add(self.pieces, owner[found >= 0], found[found >= 0])
+            left = np.setdiff1d(left, owner[found >= 0])
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        found = [words(t) for t in texts]
+        n = np.array([len(w) for w in found], np.int64)
+        lettered = np.array([any(map(str.isalpha, w)) for w in found], bool)
+        names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        if not self.languages or not lettered.any():
+            return names.tolist(), scores.tolist()
+        said = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        codes = said.indices.to_numpy(zero_copy_only=False)
+        rows = self.rows(said.dictionary.to_pylist())
+        total = np.add.reduceat(np.vstack([rows[codes], np.zeros((1, rows.shape[1]))]), np.cumsum(n) - n)
+        best = total.argmax(axis=1)
+        share = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, n))[:, None])
+        names[lettered] = np.array(self.languages, object)[best[lettered]]
+        scores[lettered] = (share[np.arange(len(best)), best] / share.sum(axis=1))[lettered]
+        return names.tolist(), scores.tolist()
+
+
+def count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, is_word, entry, n) from batches of (text, lang), summed up while they are few."""
+
+    def out(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, tally in seen.items():
             pieces: Counter = Counter()
             for word, n in tally.items():
@@ -109,24 +150,48 @@ def train(labelled: DataFrame, rows_per_language: int = 5_000, max_words: int =
                         pieces[g] += n
             for is_word, each in ((True, tally), (False, pieces)):
                 if each:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(each), pa.string()), pa.array([is_word] * len(each)), pa.array(list(each), pa.string()), pa.array(list(each.values()), pa.int64())], names=["lang", "is_word", "entry", "n"])
+                    columns = [pa.array([lang] * len(each), pa.string()), pa.array([is_word] * len(each)), pa.array(list(each), pa.string()), pa.array(list(each.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "is_word", "entry", "n"])
+
+    seen: dict[str, Counter] = {}
+    for batch in batches:
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen.setdefault(lang, Counter()).update(words(text))
+        if sum(map(len, seen.values())) > 100_000:
+            yield from out(seen)
+            seen = {}
+    yield from out(seen)
+
 
-    tallies = chosen.mapInArrow(count, "lang string, is_word boolean, entry string, n long")
-    languages = sorted(sizes)
-    wide = tallies.groupBy("is_word", "entry").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
-    wide = wide.withColumn("total", sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0)))
-    path = work_dir(labelled.sparkSession, "langid-counts")
-    wide = stored(wide.where("total > 1 OR NOT is_word"), path)
+def train(labelled: DataFrame, chars_per_language: int = 2_000_000, most_chars: int = 16_000_000) -> Model:
+    """Fits the model on ``labelled(text, lang)``.
+
+    The fit reads a sample, bounded by its parameters: texts of about ``chars_per_language`` characters of each label,
+    and ``most_chars`` of all, chosen by a hash of the text; equal texts of a label teach once. Every word and n-gram of
+    the sample becomes an entry, so the model has no more of them than the sample. Rows with a null text or label teach
+    nothing; where no row is left the model answers ``und``.
+    """
+    spark = labelled.sparkSession
+    small_batches(spark)
+    path = work_dir(spark, "langid")
+    rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = stored(rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")), f"{path}/sizes")
+    n = sizes.count()
+    if not n:
+        return Model([])
+    share = sizes.select("lang", F.least(F.lit(1.0), min(chars_per_language, most_chars / n) / F.greatest(F.col("chars"), F.lit(1))).alias("share"))
+    chosen = rows.join(F.broadcast(share) if n <= BROADCAST_ROWS // 10 else share, "lang")
+    chosen = chosen.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang").dropDuplicates()
+    tallies = chosen.mapInArrow(tidy(count_entries), "lang string, is_word boolean, entry string, n long")
+    found = tallies.groupBy("is_word", "entry", "lang").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(found.column("lang").unique().to_pylist())
+    code = pc.index_in(found.column("lang"), value_set=pa.array(languages, pa.string())).to_numpy()
+    is_word = found.column("is_word").to_numpy()
 
-    def fitted(is_word: bool, most: int) -> dict[str, list[float]]:
-        top = wide.where(F.col("is_word") == is_word).orderBy(F.desc("total"), "entry").limit(most).collect()
-        counts = np.array([[r[f"n{i}"] for i in range(len(languages))] for r in top], float).reshape(len(top), len(languages))
-        logs = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * max(1, len(top))))
-        return {r["entry"]: row for r, row in zip(top, logs.tolist())}
+    def fitted(mine: np.ndarray) -> Entries:
+        return Entries.fitted(found.column("entry").filter(pa.array(mine)).combine_chunks(), code[mine], found.column("n").to_numpy()[mine], len(languages))
 
-    model = Model(languages, fitted(True, max_words), fitted(False, max_grams))
-    discard(labelled.sparkSession, path)
-    return model
+    return Model(languages, fitted(is_word), fitted(~is_word)) if languages else Model([])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -137,16 +202,18 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """
     if clash := {"lang_pred", "score", "__text"} & set(keep):
         raise ValueError(f"keep can't hold {sorted(clash)}")
-    source = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
-    at, n_kept = keep.index(text) if text in keep else len(keep), len(keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept])
+    source = docs.select(*keep, docs[text].alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of the fit's bounded size
+    step = max(1, 4_000_000 // max(1, len(model.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                names, scores = own.predict(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double")
+    return source.mapInArrow(tidy(run), f"{fields + ', ' if fields else ''}lang_pred string, score double")
