@@ -78,6 +78,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("text").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -160,20 +161,25 @@ def chat_sql() -> str:
     around = len(t.open + t.close + t.end)
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS ({turn_order_sql()})
+SELECT conv_id, any_value(valid) AS valid, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({around} + length({escaped('role')}) + length({escaped('text')})) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id"""
+FROM c JOIN o USING (conv_id) GROUP BY conv_id"""
+
+
+#: Roles that may follow one another, as the template's machine has it.
+TURN_ORDER = [("start", "system"), ("start", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")]
 
 
 def turn_order_sql() -> str:
-    moves = ", ".join(f"('{state}', '{role}')" for state, roles in chat.Template().follows.items() for role in roles)
+    moves = ", ".join(f"('{before}', '{role}')" for before, role in TURN_ORDER)
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-s AS (SELECT conv_id, role, lag(role, 1, '{chat.Template().start}') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS state FROM c)
+s AS (SELECT conv_id, role, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS state FROM c)
 SELECT conv_id, bool_and((state, role) IN ({moves})) AS valid FROM s GROUP BY conv_id"""
 
 
