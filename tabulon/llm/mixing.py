@@ -69,8 +69,8 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.97, max_p
     are less than what is left of the source's budget, so that every source meets its budget to within a document.
 
     A null source is a source of its own, null texts and texts without a token weigh nothing and are emitted in whole
-    passes, or before the budget ends; a source without any token gets no budget and isn't emitted. Rows repeated are
-    rows of their own, ordered by their content; an empty table gives no rows. Columns of ``docs`` of any name are kept,
+    passes, or before the budget ends; a source without any token gets no budget and isn't emitted. Rows
+    repeated are rows of their own, next to each other in a permutation, which can end between them; an empty table gives no rows. Columns of ``docs`` of any name are kept,
     but those named mix_* are refused.
     """
     if clash := [c for c in docs.columns if c.lower().startswith("mix_")]:
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.97, max_p
     spark = docs.sparkSession
     path = work_dir(spark, "mix")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    counted = docs.withColumns({"mix_source": key, "mix_tokens": tokens()})
+    # The columns of docs go as one from here on, so that none of their names can be one of those used below.
+    counted = docs.select(F.struct("*").alias("mix_row"), "doc_id", "text", key.alias("mix_source"), tokens().alias("mix_tokens"))
     sources = counted.groupBy("mix_source").agg(F.sum("mix_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     sources = stored(sources, f"{path}/counted")
     total = sources.agg(F.sum("n_tokens")).first()[0] or 0
@@ -102,18 +103,36 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.97, max_p
     before = block_starts(blocks)
     edges = before.join(budgets.select("mix_source", "rest"), "mix_source").where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("block_tokens") >= F.col("rest")))
     edges = stored(edges.select("mix_source", "mix_block", "before", "rest"), f"{path}/edges")
-    rows = dealt.select("mix_source", "mix_block", "mix_key", "mix_tokens").join(F.broadcast(edges) if edges.count() <= 100_000 else edges, ["mix_source", "mix_block"])
-    up_to = Window.partitionBy("mix_source", "mix_block").orderBy("mix_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.withColumn("so_far", F.sum("mix_tokens").over(up_to) - F.col("mix_tokens") + F.col("before"))
-    ends = last.where(F.col("so_far") < F.col("rest")).groupBy("mix_source", "mix_block").agg(F.max("mix_key").alias("end_key"))
-    whole_blocks = before.join(budgets.select("mix_source", "rest"), "mix_source").where(F.col("before") + F.col("block_tokens") < F.col("rest")).select("mix_source", "mix_block", F.lit((1 << 63) - 1).alias("end_key"))
+    # Rows of one key are copies: they are summed before they are put in order, and as many as are due are emitted.
+    keys = dealt.select("mix_source", "mix_block", "mix_key", "mix_tokens").join(F.broadcast(edges) if edges.count() <= 100_000 else edges, ["mix_source", "mix_block"])
+    keys = keys.groupBy("mix_source", "mix_block", "mix_key", "before", "rest").agg(F.sum("mix_tokens").alias("key_tokens"), F.count("*").alias("n"))
+    up_to = Window.partitionBy("mix_source", "mix_block").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
+    last = keys.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("key_tokens").over(up_to), F.lit(0))).where("left > 0")
+    due = F.when(F.col("key_tokens") > 0, F.least(F.col("n"), F.ceil(F.col("left") * F.col("n") / F.col("key_tokens")))).otherwise(F.col("n"))
+    end = F.max_by(F.struct(F.col("mix_key").alias("end_key"), due.alias("end_copies"), (due < F.col("n")).alias("cut")), "mix_key")
+    ends = last.groupBy("mix_source", "mix_block").agg(end.alias("e")).select("mix_source", "mix_block", "e.*")
+    whole_blocks = before.join(budgets.select("mix_source", "rest"), "mix_source").where(F.col("before") + F.col("block_tokens") < F.col("rest"))
+    whole_blocks = whole_blocks.select("mix_source", "mix_block", F.lit((1 << 63) - 1).alias("end_key"), F.lit(0).cast("long").alias("end_copies"), F.lit(False).alias("cut"))
     ends = stored(ends.unionByName(whole_blocks), f"{path}/ends")
+    n_ends = ends.count()
 
-    partly = dealt.join(F.broadcast(ends) if ends.count() <= 100_000 else ends, ["mix_source", "mix_block"]).where("mix_key <= end_key").withColumn("mix_pass", F.col("whole"))
+    out = ["mix_row", "mix_source", "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_key"]
+    partly = dealt.join(F.broadcast(ends) if n_ends <= 100_000 else ends, ["mix_source", "mix_block"]).withColumn("mix_pass", F.col("whole"))
+    emitted = partly.where((F.col("mix_key") < F.col("end_key")) | ((F.col("mix_key") == F.col("end_key")) & ~F.col("cut"))).select(out)
+    if not ends.where("cut").isEmpty():
+        emitted = emitted.unionByName(some_copies(partly.where("mix_key = end_key AND cut"), out))
     passed = dealt.where("whole > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
     passed = passed.withColumn("mix_key", order(F.col("mix_pass"))).withColumn("mix_block", F.pmod("mix_key", "n_blocks"))
-    out = [*docs.columns, "mix_source", "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_key"]
-    return passed.select(out).unionByName(partly.select(out))
+    return passed.select(out).unionByName(emitted).select("mix_row.*", *out[1:])
+
+
+def some_copies(copies: DataFrame, out: list[str]) -> DataFrame:
+    """The first ``end_copies`` of the rows of each source's last key. Rows that are alike in every column are counted
+    before they are shuffled, so that many copies are a few rows for the task that numbers them."""
+    alike = copies.groupBy(*out, "end_copies").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("mix_source").orderBy(F.xxhash64(*out)).rowsBetween(Window.unboundedPreceding, -1)
+    due = alike.withColumn("due", F.least(F.col("n"), F.col("end_copies") - F.coalesce(F.sum("n").over(before), F.lit(0)))).where("due > 0")
+    return due.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("due")))).select(out)
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
