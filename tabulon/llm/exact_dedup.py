@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import BROADCAST_ROWS, restrict, stored, work_dir
+from tabulon.llm.common import BROADCAST_ROWS, content_key, restrict, stored, work_dir
 
 #: Characters that don't count when texts are compared: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,8 +35,8 @@ def digest_of(normal: Column) -> Column:
 
 
 def content_of() -> Column:
-    """Finds a row's content again: a hash of its identifier and text."""
-    return F.xxhash64("doc_id", "text")
+    """Finds a row's content again: a key of its identifier and text."""
+    return content_key("doc_id", "text")
 
 
 def signatures(docs: DataFrame, digest=digest_of) -> DataFrame:
@@ -130,7 +130,7 @@ def differing_hits(docs: DataFrame, several: DataFrame, digest) -> DataFrame:
     found = found.join(F.broadcast(small) if n <= BROADCAST_ROWS // 10 else small, "digest")
     firsts = found.where("content = first").dropDuplicates(["digest"])
     firsts = firsts.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("replica"), F.col("normal").alias("bytes"))
-    copies = found.withColumn("replica", F.pmod("content", F.col("last") + 1)).select("digest", "replica", "normal")
+    copies = found.withColumn("replica", F.pmod(F.xxhash64("content"), F.col("last") + 1)).select("digest", "replica", "normal")
     return copies.join(firsts, ["digest", "replica"]).where("normal <> bytes").select("digest").distinct()
 
 
