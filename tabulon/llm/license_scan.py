@@ -2,7 +2,7 @@
 
 A block is a line of a document, or, for texts wrapped over lines, any run of WINDOW times a template's words within a
 paragraph. A template is found in a block if the block holds at least ``threshold`` of the template's distinct words.
-Template words are ordered by how many texts of the whole table hold them, if only inside other words, rarest first.
+Template words are ordered by how many texts of the whole table hold them, rarest first.
 A block that shares the needed number of words shares one of the rarest of either side (prefix filter), has enough
 template words at all (length filter), and has enough of them left from the shared word on (positional filter); what
 passes is verified on the whole sets.
@@ -13,11 +13,12 @@ from __future__ import annotations
 import functools
 import math
 import operator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import stored, work_dir
+from tabulon.llm.common import content_key, stored, work_dir
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Between paragraphs: at least one line without a word.
@@ -63,98 +64,119 @@ def places(found: Column, phrase: str) -> Column:
     return F.filter(F.transform(found, at), lambda i: i.isNotNull())
 
 
-def phrase_hits(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """doc_id, content (the text's hash), n_words, and ``hits array<struct<label, place>>`` for every row."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), lowered(F.col("text")).alias("lower"))
-    rows = rows.select("doc_id", "content", words(F.col("lower")).alias("words"), *[F.forall(F.array(*[F.contains("lower", F.lit(w)) for w in p.split(" ")]), lambda x: x).alias(f"may{i}") for i, p in enumerate(phrases)])
-    none = F.array().cast("array<struct<label:string,place:bigint>>")
-    labelled = lambda at, label: F.transform(at, lambda x: F.struct(F.lit(label).alias("label"), x.alias("place")))
-    hits = [F.when(F.col(f"may{i}"), labelled(places(F.col("words"), p), label)).otherwise(none) for i, (p, label) in enumerate(phrases.items())]
-    return rows.select("doc_id", "content", F.size("words").cast("long").alias("n_words"), F.concat(*hits).alias("hits"))
+def needed(template: tuple[str, ...], threshold: float) -> int:
+    return math.ceil(threshold * len(template) - 1e-9)
 
 
-def needed(template: list[str], threshold: float) -> int:
-    return math.ceil(threshold * len(template) - 1e-9)
+@dataclass(frozen=True)
+class Side:
+    """A template's distinct words, how many of them a block needs, and the most words of a block across lines."""
+
+    label: str
+    words: tuple[str, ...]
+    need: int
+    window: int
 
 
-def lines(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, content, held): a row for each line that holds a template word; held: the distinct ones."""
-    each = docs.select("doc_id", "content", F.explode(F.split("lower", "\n")).alias("line"))
-    return each.select("doc_id", "content", F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))).alias("held")).where(F.size("held") > 0)
+def sides(templates, threshold: float) -> list[Side]:
+    sets = [(label, tuple(sorted(set(text.split()))), WINDOW * len(text.split())) for label, text in templates]
+    return [Side(label, own, needed(own, threshold), window) for label, own, window in sets]
 
 
-def passages(docs: DataFrame, rare: Column, reach: int) -> DataFrame:
-    """(doc_id, content, word, at, near): each rare word in a paragraph of several lines, and the words around it.
+def scanned(docs: DataFrame, phrases: dict[str, str], templates: list[Side]) -> DataFrame:
+    """The one reading of all texts: (doc_id, n_words, hits, held, lower, content), written to the shared folder.
+
+    hits: array<struct<label, place>> of the phrases; held: the distinct template words; lower: the text, only where it
+    holds enough words of some template, and content its key.
+    """
+    vocabulary = F.array(*map(F.lit, sorted({w for s in templates for w in s.words} | {w for p in phrases for w in p.split(" ")})))
+    rows = docs.select("doc_id", lowered(F.col("text")).alias("lower"))
+    rows = rows.select("doc_id", "lower", words(F.col("lower")).alias("words"))
+    rows = rows.select("doc_id", "lower", "words", F.array_intersect("words", vocabulary).alias("held"))
+    none = F.array().cast("array<struct<label:string,place:bigint>>")
+    labelled = lambda at, label: F.transform(at, lambda x: F.struct(F.lit(label).alias("label"), x.alias("place")))
+    has = lambda own: functools.reduce(operator.and_, [F.array_contains("held", w) for w in own])
+    hits = [F.when(has(p.split(" ")), labelled(places(F.col("words"), p), label)).otherwise(none) for p, label in phrases.items()]
+    enough = [F.size(F.array_intersect("held", F.array(*map(F.lit, s.words)))) >= s.need for s in templates]
+    may = (F.size("held") >= min(s.need for s in templates)) & functools.reduce(operator.or_, enough)
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*hits).alias("hits"), "held", F.when(may, F.col("lower")).alias("lower"))
+    rows = rows.withColumn("content", F.when(F.col("lower").isNotNull(), content_key("lower")))
+    return stored(rows, work_dir(docs.sparkSession, "licenses"))
+
+
+def lines(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(content, held): a row for each line that holds a template word; held: the distinct ones."""
+    each = texts.select("content", F.explode(F.split("lower", "\n")).alias("line"))
+    return each.select("content", F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))).alias("held")).where(F.size("held") > 0)
+
+
+def passages(texts: DataFrame, rare: Column, reach: int) -> DataFrame:
+    """(content, word, at, near): each rare word in a paragraph of several lines, and the words around it.
 
     near: the word with up to ``reach`` - 1 words before and after it; at: its index there. A line without a word ends a paragraph.
     """
-    each = docs.select("doc_id", "content", F.explode(F.split("lower", BLANK)).alias("part")).where(F.contains("part", F.lit("\n")))
-    each = each.select("doc_id", "content", words(F.col("part")).alias("words"))
+    each = texts.select("content", F.explode(F.split("lower", BLANK)).alias("part")).where(F.contains("part", F.lit("\n")))
+    each = each.select("content", words(F.col("part")).alias("words"))
     begin = lambda i: F.greatest(i - (reach - 1), F.lit(0))
     spot = lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), (i - begin(i)).alias("at"), F.slice("words", begin(i) + 1, i - begin(i) + reach).alias("near")))
-    return each.select("doc_id", "content", F.explode(F.filter(F.transform("words", spot), lambda s: s.isNotNull())).alias("s")).select("doc_id", "content", "s.*")
-
-
-def template_hits(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, content, label, containment): the best containment of each label that a document's blocks meet."""
-    sets = [(label, sorted(set(text.split())), WINDOW * len(text.split())) for label, text in templates]
-    vocabulary = sorted({w for _, t, _ in sets for w in t})
-    texts = docs.select("doc_id", F.xxhash64("text").alias("content"), lowered(F.col("text")).alias("lower"))
-    has = lambda w: F.contains("lower", F.lit(w))
-    # One row, with a number for each template word: its size is that of the templates, whatever the corpus.
-    counts = texts.agg(*[F.count_if(has(w)).alias(f"n{i}") for i, w in enumerate(vocabulary)]).first()
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts[f"n{vocabulary.index(w)}"], w)))}
-    prefixes, rules = [], []
-    for label, template, window in sets:
-        mine = sorted(template, key=order.get)
-        need = needed(mine, threshold)
-        first = mine[: len(mine) - need + 1]
-        prefixes += [(label, mine, need, window, w, i) for i, w in enumerate(first)]
-        rules.append((first, mine, need))
-
-    def may(text: Column) -> Column:
-        """A text that lacks too many of the words even as parts of other words has no block with them."""
-        holds = lambda w: F.contains(text, F.lit(w))
-        return functools.reduce(operator.or_, [functools.reduce(operator.or_, map(holds, first)) & (sum((holds(w).cast("int") for w in mine), F.lit(0)) >= need) for first, mine, need in rules])
-
-    # As an element of an array the lowered text is made once, not once for each word.
-    texts = docs.select("doc_id", F.xxhash64("text").alias("content"), F.explode_outer(F.filter(F.array(lowered(F.col("text"))), may)).alias("lower")).where("lower IS NOT NULL")
-    texts = stored(texts, work_dir(docs.sparkSession, "licenses"))
-    spark = docs.sparkSession
+    return each.select("content", F.explode(F.filter(F.transform("words", spot), lambda s: s.isNotNull())).alias("s")).select("content", "s.*")
+
+
+def joined_blocks(found: DataFrame, templates: list[Side]) -> DataFrame:
+    """(content, label, containment) of the texts that ``scanned`` left: the best containment of each label that a
+    text's blocks meet. Equal texts are joined once."""
+    spark = found.sparkSession
+    vocabulary = sorted({w for s in templates for w in s.words})
+    # A row for each template word: its size is that of the templates, whatever the corpus.
+    counts = {r["word"]: r["n"] for r in found.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    prefixes = []
+    for s in templates:
+        mine = sorted(s.words, key=order.get)
+        prefixes += [(s.label, mine, s.need, s.window, w, i) for i, w in enumerate(mine[: len(mine) - s.need + 1])]
     values = ", ".join(f"('{label}', array({', '.join(map(repr, mine))}), {need}, {window}, '{w}', {i})" for label, mine, need, window, w, i in prefixes)
     side = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(label, template, need, window, word, first)"))
     rare = F.array(*map(F.lit, sorted({p[4] for p in prefixes})))
     total = F.size("template")
+    texts = found.where("lower IS NOT NULL").select("content", "lower").dropDuplicates(["content"])
 
     ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     sorted_held = F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w), w.alias("w")))), lambda s: s["w"])
-    found = lines(texts, vocabulary).where((F.size("held") >= min(p[2] for p in prefixes)) & F.arrays_overlap("held", rare))
-    found = found.select("doc_id", "content", sorted_held.alias("held"))
-    joined = found.select("doc_id", "content", "held", F.posexplode("held").alias("pos", "word")).join(side, "word")
+    each = lines(texts, vocabulary).where((F.size("held") >= min(s.need for s in templates)) & F.arrays_overlap("held", rare))
+    joined = each.select("content", sorted_held.alias("held")).select("content", "held", F.posexplode("held").alias("pos", "word")).join(side, "word")
     size = F.size("held")
     joined = joined.where((size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (1 + F.least(total - F.col("first") - 1, size - F.col("pos") - 1) >= F.col("need")))
-    within = joined.select("doc_id", "content", "label", "need", total.alias("total"), F.size(F.array_intersect("held", "template")).alias("shared"))
+    within = joined.select("content", "label", "need", total.alias("total"), F.size(F.array_intersect("held", "template")).alias("shared"))
 
-    near = passages(texts, rare, max(w for _, _, w in sets)).join(side, "word")
+    near = passages(texts, rare, max(s.window for s in templates)).join(side, "word")
     near = near.where(F.size(F.array_intersect("near", "template")) >= F.col("need"))
     starts = F.sequence(F.greatest(F.col("at") - F.col("window") + 1, F.lit(0)), F.col("at"))
     shared = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s + 1, F.col("window")), "template"))))
-    across = near.select("doc_id", "content", "label", "need", total.alias("total"), shared.alias("shared"))
-    verified = within.union(across).where("shared >= need").select("doc_id", "content", "label", (F.col("shared") / F.col("total")).alias("containment"))
-    return verified.groupBy("doc_id", "content", "label").agg(F.max("containment").alias("containment"))
+    across = near.select("content", "label", "need", total.alias("total"), shared.alias("shared"))
+    verified = within.union(across).where("shared >= need").select("content", "label", (F.col("shared") / F.col("total")).alias("containment"))
+    return verified.groupBy("content", "label").agg(F.max("containment").alias("containment"))
+
+
+def template_hits(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, label, containment): the best containment of each label that a document's blocks meet."""
+    own = sides(templates, threshold)
+    found = scanned(docs, PHRASES, own)
+    return found.where("lower IS NOT NULL").select("doc_id", "content").join(joined_blocks(found, own), "content").drop("content")
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row of ``docs``.
 
     A null text is an empty one: no words, no labels (empty strings), null first and last word, score 0. Rows repeated
-    under one doc_id with the same text get the same answer; a null doc_id gets its phrases and no templates. An empty
-    table gives no rows; other columns, whatever their names, are ignored. Score: 1 with a phrase, else the best
-    containment of a template.
+    get the same answer, and so do equal texts whatever their doc_id, a null one too. An empty table gives no rows;
+    other columns, whatever their names, are ignored. Score: 1 with a phrase, else the best containment of a template.
     """
-    base = phrase_hits(docs, phrases)
-    mine = template_hits(docs, templates, threshold).groupBy("doc_id", "content").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
-    both = base.join(mine, ["doc_id", "content"], "left")
+    own = sides(templates, threshold)
+    found = scanned(docs, phrases, own)
+    mine = joined_blocks(found, own).groupBy("content").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    base = found.select("doc_id", "n_words", "hits", "content")
+    no_match = base.where("content IS NULL").withColumns({"more": F.lit(None).cast("array<string>"), "containment": F.lit(None).cast("double")})
+    both = base.where("content IS NOT NULL").join(mine, "content", "left").select(no_match.columns).unionByName(no_match)
     labels, at = F.transform("hits", lambda h: h["label"]), F.transform("hits", lambda h: h["place"])
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return both.select(
