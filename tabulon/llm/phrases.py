@@ -3,9 +3,10 @@
 Every window of ``window`` words holds an anchor, a short word n-gram whose hash is the smallest in the window; equal
 windows hold equal anchors. Anchors that recur leave few windows that can repeat; these are counted, and the recurring
 ones, taken together where they stand in the first document that has them, are the passages. Passages are dealt over
-shards by that document. Every shard compiles an Aho-Corasick automaton of its passages' anchors and streams through it
-all documents that hold any of its windows, in full; the windows around each place that it finds are looked up among
-those of the shard, which gives every occurrence of every window.
+shards by that document, and every shard compiles their words into an Aho-Corasick automaton. All documents are streamed
+through the automata, but for those that hold no recurring anchor at all, or none of a shard: these can't hold a window
+of it. A hit places a passage against the document, and what is equal there, word by word, for a window or more is an
+occurrence; nothing is removed by its hash.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import BROADCAST_ROWS, discard, restrict, small_batches, stored, without, work_dir
-from tabulon.llm.shingles import HASHES, anchors, ngram_hashes, sliding
+from tabulon.llm.common import BROADCAST_ROWS, discard, restrict, small_batches, stored, tidy, without, work_dir
+from tabulon.llm.shingles import HASHES, anchors, forget, ngram_hashes, sliding
 
 GRAM = 6
 #: Words of the passages in a shard, and documents that one copy of a shard's automaton streams.
-SHARD_WORDS, SHARD_DOCS = 40_000, 4_000
+SHARD_WORDS, SHARD_DOCS = 60_000, 4_000
 NO_ID = -(1 << 63)
 
 
@@ -83,7 +84,7 @@ def recurring_anchors(texts: DataFrame, window: int, path: str) -> DataFrame:
             found = [np.unique(Windows(t, window).anchors(), return_counts=True) for t in own]
             yield packed([np.concatenate([f[0] for f in found]), np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found]), np.concatenate([f[1] for f in found])], ["anchor", "id", "n"])
 
-    seen = stored(texts.mapInArrow(see, "anchor long, id long, n long"), f"{path}/anchors")
+    seen = stored(texts.mapInArrow(tidy(see, forget), "anchor long, id long, n long"), f"{path}/anchors")
     recurring = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     found = seen.select("anchor", "id").join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     found = stored(found, f"{path}/recurring")
@@ -105,38 +106,28 @@ def candidates(text: bytes, known: list[int], window: int) -> np.ndarray:
     return w.windows(window)[place(w.smallest(), np.sort(np.array(known, np.int64)))[0]] if len(w.grams) else np.zeros(0, np.int64)
 
 
-def candidate_windows(held: DataFrame, window: int, path: str) -> DataFrame:
-    """(id, hashes): each document's candidates, hashed once for the two steps that read them."""
+def recurring_windows(held: DataFrame, window: int, path: str) -> DataFrame:
+    """(hash, source): windows that are at two places of ``held(id, text, anchors)`` at least, and the first document
+    that has them. A hash only says what to look for: what is removed was found word by word."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, known in batches_of(batches, 512):
-            own = [candidates(t, k, window) for t, k in zip(texts, known)]
-            offsets = np.cumsum([0, *map(len, own)])
-            lists = pa.LargeListArray.from_arrays(offsets, np.concatenate(own)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "hashes"])
-
-    return stored(held.mapInArrow(each, "id long, hashes array<long>").where(F.size("hashes") > 0), f"{path}/hashes")
-
+            yield packed(counted([candidates(t, k, window) for t, k in zip(texts, known)], ids), ["hash", "id", "n"])
 
-def recurring_windows(hashed: DataFrame, path: str) -> DataFrame:
-    """(hash, source): windows that are at two places of ``hashed(id, hashes)`` at least, and the first document that
-    has them."""
+    found = held.select("id", "text", "anchors").mapInArrow(tidy(count, forget), "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
+    return stored(found.where("n > 1").select("hash", "source"), f"{path}/windows")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            own = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
-            if len(lists):
-                yield packed(counted(own, batch.column(0).to_pylist()), ["hash", "id", "n"])
 
-    found = hashed.mapInArrow(count, "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
-    return stored(found.where("n > 1").select("hash", "source"), f"{path}/windows")
+def shard_of(n_shards: int):
+    return F.pmod(F.xxhash64("source"), F.lit(n_shards)).alias("shard")
 
 
-def routes(hashed: DataFrame, windows: DataFrame, n_shards: int, path: str) -> DataFrame:
-    """(id, shard): which documents have a window of a shard's passages."""
-    shards = windows.select("hash", F.pmod(F.xxhash64("source"), F.lit(n_shards)).alias("shard"))
-    return stored(hashed.select("id", F.explode("hashes").alias("hash")).join(shards, "hash").select("id", "shard").distinct(), f"{path}/routes")
+def routes(held: DataFrame, parts: DataFrame, n_shards: int, path: str) -> DataFrame:
+    """(id, shard): the shards with a passage that shares an anchor with the document. One that shares none of a shard's
+    anchors can't hold any of its windows, so every document that could is streamed through that shard."""
+    shards = parts.select(F.explode("anchors").alias("anchor"), shard_of(n_shards)).distinct()
+    found = held.select("id", F.explode("anchors").alias("anchor")).join(shards, "anchor")
+    return stored(found.select("id", "shard").distinct(), f"{path}/routes")
 
 
 def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> DataFrame:
@@ -160,53 +151,62 @@ def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> Dat
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(4)], names=["source", "start", "passage", "anchors"])
 
-    return stored(restrict(held, firsts.select("id"), "id").join(firsts, "id").mapInArrow(join, "source long, start long, passage binary, anchors array<long>"), f"{path}/passages")
+    return stored(restrict(held, firsts.select("id"), "id").join(firsts, "id").mapInArrow(tidy(join, forget), "source long, start long, passage binary, anchors array<long>"), f"{path}/passages")
 
 
 class Automaton:
-    """Finds the windows of a shard's passages in a document."""
+    """Finds a shard's passages, and every part of them of a window or more, in a document.
+
+    The passages' words, cut into pieces of which every window holds a whole one, are what is compiled. A hit says which
+    passage lies how against the document; the words of both are then compared all along.
+    """
 
     def __init__(self, window: int):
         import ahocorasick
 
-        self.window, self.automaton, self.held = window, ahocorasick.Automaton(), []
+        self.window, self.piece = window, (window + 1) // 2
+        self.automaton, self.places = ahocorasick.Automaton(), {}
+        self.ids: dict[bytes, int] = {}
+        self.passages: list[tuple[int, int, np.ndarray]] = []
 
-    def add(self, source: int, start: int, passage: bytes, known: list[int]) -> None:
+    def add(self, source: int, start: int, passage: bytes) -> None:
         found = passage.split()
-        hashes = HASHES.of(found)
-        for at in np.flatnonzero(np.isin(ngram_hashes(hashes, GRAM).view(np.int64), np.array(known, np.int64))).tolist():
-            phrase = (b" " + b" ".join(found[at : at + GRAM]) + b" ").decode("latin-1")
-            self.automaton.add_word(phrase, len(phrase))
-        windows = ngram_hashes(hashes, self.window).view(np.int64)
-        self.held.append((windows, np.full(len(windows), source), np.arange(start, start + len(windows))))
+        for at in range(0, len(found) - self.piece + 1, self.piece):
+            phrase = (b" " + b" ".join(found[at : at + self.piece]) + b" ").decode("latin-1")
+            self.places.setdefault(phrase, []).append((len(self.passages), at))
+        self.passages.append((source, start, np.array([self.ids.setdefault(w, len(self.ids)) for w in found])))
 
     def compiled(self) -> Automaton:
+        for phrase, places in self.places.items():
+            self.automaton.add_word(phrase, (len(phrase), places))
         self.automaton.make_automaton()
-        columns = [np.concatenate(c) for c in zip(*self.held)]
-        order = np.argsort(columns[0])
-        self.windows, self.sources, self.starts = (c[order] for c in columns)
         return self
 
     def locate(self, doc: int, text: bytes) -> tuple[list[int], list[int]]:
         """Starts and ends of the runs of words that windows cover which also start earlier."""
         own = words(text)
+        if len(own) < self.window or not len(self.automaton):
+            return [], []
         stream = (b" " + b" ".join(own) + b" ").decode("latin-1")
-        ends = [end - size + 1 for end, size in self.automaton.iter(stream)] if len(self.automaton) else []
-        if not ends or len(own) < self.window:
+        hits = [(end - size + 1, places) for end, (size, places) in self.automaton.iter(stream)]
+        if not hits:
             return [], []
         spaces = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-        at = np.searchsorted(spaces, ends, side="right")
-        near = np.zeros(len(own) + 1, np.int64)  # windows that hold a phrase start up to this far before it
-        np.add.at(near, np.maximum(0, at - self.window + GRAM), 1)
-        np.add.at(near, at + 1, -1)
-        starts = np.flatnonzero(np.cumsum(near)[: len(own) - self.window + 1] > 0)
-        hashes = ngram_hashes(HASHES.of(own), self.window).view(np.int64)[starts]
-        found, where = place(hashes, self.windows)
-        later = starts[found & ((self.sources[where] != doc) | (self.starts[where] != starts))]
-        if not len(later):
-            return [], []
-        breaks = np.flatnonzero(np.diff(later) > self.window)
-        return later[np.append(0, breaks + 1)].tolist(), (later[np.append(breaks, len(later) - 1)] + self.window).tolist()
+        at = np.searchsorted(spaces, [h[0] for h in hits], side="right").tolist()
+        ids = np.fromiter((self.ids.get(w, -1) for w in own), np.int64, len(own))
+        gone = np.zeros(len(own) + 1, np.int64)
+        for passage, shift in {(k, place - offset) for place, (_, places) in zip(at, hits) for k, offset in places}:
+            source, start, known = self.passages[passage]
+            if source == doc and start == shift:
+                continue  # the place that the passage was taken from
+            low, high = max(0, shift), min(len(own), shift + len(known))
+            same = np.concatenate([[False], ids[low:high] == known[low - shift : high - shift], [False]])
+            first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+            long = last - first >= self.window
+            np.add.at(gone, low + first[long], 1)
+            np.add.at(gone, low + last[long], -1)
+        covered = np.concatenate([[False], np.cumsum(gone)[:-1] > 0, [False]])
+        return np.flatnonzero(covered[1:] & ~covered[:-1]).tolist(), np.flatnonzero(covered[:-1] & ~covered[1:]).tolist()
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -216,30 +216,29 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     small_batches(spark)
     known = recurring_anchors(docs, window, path)
     held = stored(restrict(docs, known.select("id"), "id").join(known, "id").select("id", "text", "anchors"), f"{path}/held")
-    hashed = candidate_windows(held, window, path)
-    windows = recurring_windows(hashed, path)
+    windows = recurring_windows(held, window, path)
     n_shards = 1 + windows.count() // SHARD_WORDS
-    parts = passages(held, windows, window, path).withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(n_shards)))
-    ways = routes(hashed, windows, n_shards, path)
-    discard(spark, f"{path}/hashes")
+    parts = passages(held, windows, window, path)
+    ways = routes(held, parts, n_shards, path)
+    parts = parts.withColumn("shard", shard_of(n_shards))
     discard(spark, f"{path}/windows")
     sizes = stored(ways.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("n_copies")), f"{path}/sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     routed = ways.join(sizes, "shard").withColumn("copy", F.pmod(F.xxhash64("id"), "n_copies"))
-    streamed = restrict(held.select("id", "text"), ways.select("id").distinct(), "id").join(routed, "id").select("shard", "copy", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("start"), "text", F.lit(None).cast("array<long>").alias("anchors"))
+    streamed = restrict(held.select("id", "text"), ways.select("id").distinct(), "id").join(routed, "id").select("shard", "copy", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("start"), "text")
     compiled = parts.join(sizes, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    compiled = compiled.select("shard", "copy", F.lit(0).alias("kind"), F.col("source").alias("id"), "start", F.col("passage").alias("text"), "anchors")
+    compiled = compiled.select("shard", "copy", F.lit(0).alias("kind"), F.col("source").alias("id"), "start", F.col("passage").alias("text"))
     both = streamed.unionByName(compiled).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, ready = None, Automaton(window), False
         for columns in batches_of(batches, 512):
             out = []
-            for s, copy, kind, doc, start, text, known in zip(*columns):
+            for s, copy, kind, doc, start, text in zip(*columns):
                 if (s, copy) != shard:
                     shard, automaton, ready = (s, copy), Automaton(window), False
                 if kind == 0:
-                    automaton.add(doc, start, text, known)
+                    automaton.add(doc, start, text)
                     continue
                 if not ready:
                     ready = bool(automaton.compiled())
@@ -249,7 +248,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(3)], names=["id", "starts", "ends"])
 
-    spans = both.mapInArrow(stream, "id long, starts array<long>, ends array<long>")
+    spans = both.mapInArrow(tidy(stream), "id long, starts array<long>, ends array<long>")
     flat = spans.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     return stored(flat, f"{path}/spans")
 
@@ -281,7 +280,7 @@ def remove_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
     touched = restrict(rows, spans.select("id"), "id", n).join(spans, "id").select(F.col("doc_id").cast("long"), "text", "starts", "ends")
-    touched = touched.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    touched = touched.mapInArrow(tidy(run, forget), "doc_id long, n_words long, n_removed long, kept string")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches_of(batches, 512):
@@ -289,4 +288,4 @@ def remove_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
             yield packed([pa.array(ids, pa.int64()), [len(w) for w in own], [0] * len(own), [b" ".join(w).decode() for w in own]], ["doc_id", "n_words", "n_removed", "kept"])
 
     whole = without(rows, spans.select("id"), "id", n).select(F.col("doc_id").cast("long"), "text")
-    return touched.unionByName(whole.mapInArrow(plain, "doc_id long, n_words long, n_removed long, kept string"))
+    return touched.unionByName(whole.mapInArrow(tidy(plain, forget), "doc_id long, n_words long, n_removed long, kept string"))
