@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import restrict, small_batches, stored, without, work_dir
+from tabulon.llm.common import restrict, small_batches, stored, tidy, without, work_dir
 from tabulon.llm.shingles import anchors, mixed, ngram_hashes, runs
 
 GRAM = 64
@@ -28,15 +28,21 @@ CONTEXTS = 40_000
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def contexts(data: bytes, length: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(anchor, context, position, from, to) for every anchor of the bytes."""
+def contexts(data: bytes, length: int) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(anchor, context's 128-bit hash, position, from, to) for every anchor of the bytes."""
     if len(data) < length:
         return
     grams = ngram_hashes(_BYTES[np.frombuffer(data, np.uint8)], GRAM)
     at = anchors(grams, length - GRAM + 1)
     for pos, anchor in zip(at.tolist(), grams[at].view(np.int64).tolist()):
         low, high = max(0, pos - length + GRAM), min(len(data), pos + length)
-        yield anchor, xxhash.xxh64_intdigest(data[low:high], pos - low) - (1 << 63), pos, low, high
+        yield anchor, xxhash.xxh3_128_digest(data[low:high], pos - low), pos, low, high
+
+
+def halves(digests: list[bytes]) -> list[pa.Array]:
+    """Two columns of longs for 128-bit hashes."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
 
 def rows_of(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,33 +95,39 @@ def extents(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.nd
 
 
 def repeat_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(row, spans array<struct<start, end>>): where the whole texts repeat a string of ``length`` bytes, anywhere.
+    """(row, check, spans array<struct<start, end>>): where the whole texts repeat a string of ``length`` bytes, anywhere.
 
-    ``docs(row, data binary)``: row names a text, data is null for none. Rows with the same name have the same bytes.
-    Spans may overlap and are not in order. Texts without a repeat have no row.
+    ``docs(row long, check long, data binary)``: row and check together name a text; data is null for none. Rows with the
+    same name have the same bytes. Spans may overlap and are not in order. Texts without a repeat have no row. Contexts
+    and texts are told apart by 128 bits, contexts of one anchor that differ in them by their bytes.
     """
     spark = docs.sparkSession
     path = work_dir(spark, "repeats")
     small_batches(spark)
     side = length - GRAM
+    context = ["anchor", "c1", "c2"]
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = [(*c[:2], row, c[2]) for row, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if data for c in contexts(data, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["anchor", "context", "row", "pos"])
-
-    seen = stored(docs.select("row", "data").mapInArrow(see, "anchor long, context long, row long, pos long"), f"{path}/seen")
-    each = seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("row").alias("row"))
-    recurring = seen.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("c1"), F.max("context").alias("c2")).where("total > 1")
-    each = stored(each.join(recurring.select("anchor", (F.col("c1") != F.col("c2")).alias("unlike")), "anchor"), f"{path}/contexts")
+                found = [list(contexts(data, length)) if data else [] for data in part.column(2).to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                flat = [c for f in found for c in f]
+                columns = [pa.array([c[0] for c in flat], pa.int64()), *halves([c[1] for c in flat]), part.column(0).take(owner), part.column(1).take(owner), pa.array([c[2] for c in flat], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*context, "row", "check", "pos"])
+
+    seen = stored(docs.select("row", "check", "data").mapInArrow(tidy(see), "anchor long, c1 long, c2 long, row long, check long, pos long"), f"{path}/seen")
+    each = seen.groupBy(*context).agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min_by("check", "row").alias("check"))
+    unlike = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+    recurring = seen.groupBy("anchor").agg(F.count("*").alias("total"), unlike.alias("unlike")).where("total > 1")
+    each = stored(each.join(recurring.select("anchor", "unlike"), "anchor"), f"{path}/contexts")
 
     compared = each.where("unlike")
     blocks = compared.groupBy("anchor").agg(F.ceil(F.count("*") / CONTEXTS).alias("n_blocks")).where("n_blocks > 1")
-    compared = compared.join(blocks, "anchor", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", F.pmod("context", "n_blocks"))
+    compared = compared.join(blocks, "anchor", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", F.pmod("c1", "n_blocks"))
     compared = compared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    wanted = compared.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))).alias("wanted"))
+    wanted = compared.groupBy("row", "check").agg(F.collect_list(F.struct(*context, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))).alias("wanted"))
     wanted = stored(wanted, f"{path}/wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +135,16 @@ def repeat_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part, out = batch.slice(start, 256), []
                 for data, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = {(anchor, context): (data[low:pos][::-1], data[pos:high]) for anchor, context, pos, low, high in contexts(data, length)}
-                    out += [(w["anchor"], w["i"], w["j"], w["context"], *own[w["anchor"], w["context"]]) for w in asked]
-                kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=["anchor", "i", "j", "context", "left", "right"])
+                    own = {(anchor, *np.frombuffer(c, np.int64).tolist()): (data[low:pos][::-1], data[pos:high]) for anchor, c, pos, low, high in contexts(data, length)}
+                    out += [(w["anchor"], w["i"], w["j"], w["c1"], w["c2"], *own[w["anchor"], w["c1"], w["c2"]]) for w in asked]
+                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(7)], names=["anchor", "i", "j", "c1", "c2", "left", "right"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (anchor, _, _), (context, lefts, rights) in runs(batches, 3):
+        for (anchor, _, _), (c1, c2, lefts, rights) in runs(batches, 3):
             reach = extents(list(lefts), list(rights), length)
-            out += [(anchor, c, x, y) for c, x, y in zip(context, *map(np.ndarray.tolist, reach)) if y]
+            out += [(anchor, a, b, x, y) for a, b, x, y in zip(c1, c2, *map(np.ndarray.tolist, reach)) if y]
             if len(out) > 20_000:
                 yield packed(out)
                 out = []
@@ -140,17 +152,17 @@ def repeat_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             yield packed(out)
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["anchor", "context", "left", "right"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[*context, "left", "right"])
 
-    texts = restrict(docs.select("row", "data"), wanted.select("row"), "row").dropDuplicates(["row"])
-    fetched = texts.join(wanted, "row").select("data", "wanted").mapInArrow(fetch, "anchor long, i long, j long, context long, left binary, right binary")
+    texts = restrict(docs.select("row", "check", "data"), wanted.select("row"), "row").dropDuplicates(["row", "check"])
+    fetched = texts.join(wanted, ["row", "check"]).select("data", "wanted").mapInArrow(tidy(fetch), "anchor long, i long, j long, c1 long, c2 long, left binary, right binary")
     fetched = fetched.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    partly = fetched.mapInArrow(scan, "anchor long, context long, left long, right long")
-    copied = each.where("n > 1").select("anchor", "context", F.lit(side).cast("long").alias("left"), F.lit(length).cast("long").alias("right"))
-    reach = partly.unionByName(copied).groupBy("anchor", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    partly = fetched.mapInArrow(tidy(scan), "anchor long, c1 long, c2 long, left long, right long")
+    copied = each.where("n > 1").select(*context, F.lit(side).cast("long").alias("left"), F.lit(length).cast("long").alias("right"))
+    reach = partly.unionByName(copied).groupBy(*context).agg(F.max("left").alias("left"), F.max("right").alias("right"))
     reach = stored(reach, f"{path}/reach")
-    spans = seen.join(reach, ["anchor", "context"]).select("row", F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).alias("span"))
-    return stored(spans.groupBy("row").agg(F.collect_set("span").alias("spans")), f"{path}/spans")
+    spans = seen.join(reach, context).select("row", "check", F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).alias("span"))
+    return stored(spans.groupBy("row", "check").agg(F.collect_set("span").alias("spans")), f"{path}/spans")
 
 
 def cut(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -177,7 +189,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     of their own. Texts shorter than ``length`` stay as they are. An empty table gives no rows; other columns, whatever
     their names, are ignored.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).withColumn("row", F.xxhash64("doc_id", "data"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    rows = rows.withColumns({"row": F.xxhash64("doc_id", "data"), "check": F.xxhash64(F.lit(1), "data", "doc_id")})
     spans = repeat_spans(rows, length)
     n = spans.count()
 
@@ -190,7 +203,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    touched = restrict(rows, spans.select("row"), "row", n).join(spans, "row").select("doc_id", "data", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    touched = restrict(rows, spans.select("row"), "row", n).join(spans, ["row", "check"]).select("doc_id", "data", "spans").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
-    whole = without(rows, spans.select("row"), "row", n).select("doc_id", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"))
+    whole = without(rows, spans.select("row", "check"), ["row", "check"], n).select("doc_id", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"))
     return touched.unionByName(whole)
