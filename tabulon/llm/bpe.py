@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabulon.llm.common import small_batches
+from tabulon.llm.common import small_batches, tidy
 
 #: Fragments remembered by a worker before it forgets them all, and the longest one that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 SPACES = b" \t\n\x0b\x0c\r"
 _CODECS: dict[str, Codec] = {}
 
@@ -88,6 +88,11 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def forget() -> None:
+    for own in _CODECS.values():
+        own.clear()
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns of every row, ``ids array<int>`` of its whole text, and ``decoded`` from those ids.
 
@@ -114,4 +119,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("do
                 out = [*part.columns[:n_kept], lists, pa.array([own.decode(x.tolist()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "ids", "decoded"])
 
-    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}ids array<int>, decoded string")
+    return source.mapInArrow(tidy(run, forget), f"{fields + ', ' if fields else ''}ids array<int>, decoded string")
