@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,12 @@ def test_license_scan(docs):
     assert (got[0]["n_words"], got[0]["n_base"], got[0]["first_word"], got[0]["labels"], got[0]["score"]) == (0, 0, None, "", 0.0)
 
 
+def test_licenses_of_rows_without_an_id(spark):
+    rows = [(5, "Released under the MIT permission licence"), (None, "Released under the MIT permission licence"), (None, "x"), (None, None)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["labels"], r["score"]) for r in got) == [("5", "mit", 0.8), ("None", "", 0.0), ("None", "", 0.0), ("None", "mit", 0.8)]
+
+
 def test_license_templates(spark):
     rows = [(1, "Licensed under license: Apache, version 2.0\nnothing"), (2, "Released. under the MIT\nLicense"), (3, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that following conditions are met")]
     got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -242,6 +249,18 @@ def test_mix_meets_its_budgets(spark):
     assert all(r["n"] <= 2 * size[r["source"]] + 7 for r in limited)
 
 
+@pytest.mark.parametrize("budget", [2000, 3001, 12_000])
+def test_mix_ends_between_copies(spark, budget):
+    rows = [(1, "w " * 10, "a", i % 3) for i in range(1000)] + [(i, "w " * 40, "b", 0) for i in range(10)] + [(99, "", "a", 0)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    for table in (df, df.drop("n")):
+        out = mixing.mix(table, budget=budget, entropy=0.0, max_passes=50.0).collect()
+        for s, size, longest in (("a", 10_000, 10), ("b", 400, 40)):
+            due = round(budget * size / 10_400)
+            got = sum(r["mix_tokens"] for r in out if r["source"] == s)
+            assert due <= got < due + longest, (s, due, got)
+
+
 def test_mix_of_odd_rows(docs):
     out = mixing.mix(docs).collect()
     assert {r["source"] for r in out} == {"a", "b", None}
@@ -262,6 +281,13 @@ def brute_links(rows):
     return sorted((sets[k][0], smallest[parent[k]], links[k]) for k in range(len(sets)))
 
 
+def test_unlike_texts_of_one_id(spark):
+    base = BASE.split()
+    rows = [(7, BASE), (8, " ".join([*base[:-1], "changed"])), (7, " ".join(UNLIKE[0].split())), (None, BASE), (None, UNLIKE[1]), (None, UNLIKE[1])]
+    got = near_dedup.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 7, 2), (8, 7, 2), (7, 7, 0), (None, 7, 2), (None, None, 1), (None, None, 1)], key=str)
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_jaccard_against_brute_force(spark, docs, block):
     near = []
@@ -294,15 +320,64 @@ def test_language_id(spark, docs):
     model = langid.train(docs.where("lang IS NOT NULL"))
     odd = {r["doc_id"]: r for r in langid.identify(docs.select(*DOCS_NAMES), model).collect()}
     assert odd[0]["lang_pred"] == odd[1]["lang_pred"] == odd[2]["lang_pred"] == "und" and odd[3]["lang_pred"] in ("en", "de")
-    assert langid.Model([], {}, {}).predict("word") == ("und", 0.0)
+    assert langid.Model([]).predict(["word"]) == (["und"], [0.0])
 
 
 DOCS_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_language_id_backs_off():
-    model = langid.Model(["a", "b"], {"known": [-1.0, -5.0]}, {"xy": [-5.0, -1.0]})
-    assert model.predict("known")[0] == "a" and model.predict("zxyz")[0] == "b" and model.predict("1234 !")[0] == "und"
+    entries = lambda *e: langid.Entries.fitted(pa.array([x[0] for x in e]), np.array([x[1] for x in e]), np.array([x[2] for x in e]), 2)
+    model = langid.Model(["a", "b"], entries(("known", 0, 9), ("known", 1, 1)), entries(("xy", 1, 5), ("z", 0, 5)))
+    assert model.predict(["known", "zxyz", "1234 !", None])[0] == ["a", "b", "und", "und"]
+
+
+def brute_language(labelled, texts):
+    """The same model with dictionaries, a word at a time."""
+    counts = {True: defaultdict(lambda: defaultdict(int)), False: defaultdict(lambda: defaultdict(int))}
+    for text, lang in set(labelled):
+        for w in langid.words(text):
+            counts[True][w][lang] += 1
+            for n in range(1, langid.LONGEST_GRAM + 1):
+                for g in langid.grams(w, n):
+                    counts[False][g][lang] += 1
+    languages = sorted({lang for _, lang in labelled})
+
+    def log(kind, entry):
+        total = {x: sum(c[x] for c in counts[kind].values()) + langid.SMOOTH * len(counts[kind]) for x in languages}
+        return [math.log((counts[kind][entry][x] + langid.SMOOTH) / total[x]) for x in languages]
+
+    for text in texts:
+        found, sums = langid.words(text), [0.0] * len(languages)
+        for w in found:
+            rows = [log(True, w)] if w in counts[True] else []
+            for n in range(langid.LONGEST_GRAM, 0, -1):
+                rows = rows or [log(False, g) for g in langid.grams(w, n) if g in counts[False]]
+            for r in rows:
+                sums = [s + x / len(rows) for s, x in zip(sums, r)]
+        if not found:
+            yield "und", 0.0
+            continue
+        share = [math.exp((s - max(sums)) / len(found) ** 0.5) for s in sums]
+        yield languages[sums.index(max(sums))], max(share) / sum(share)
+
+
+def test_language_id_against_brute_force(spark):
+    rows = [("the cat sat on a mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("the dog", "en"), ("the dog", "en"), ("", "en"), ("the dog", "de")]
+    texts = ["the chat", "hunden", "xyzzy qwrt", "", None, "12 _", "der der le", "ça été ß", "the " * 30_000 + "hund", "katze!katze"]
+    model = langid.train(spark.createDataFrame([*rows, (None, "en"), ("le", None)], "text string, lang string"))
+    asked = spark.createDataFrame(list(enumerate(texts)) + [(6, "der der le")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(asked, model).collect())
+    want = list(brute_language(rows, texts))
+    want = sorted((i, *want[i]) for i in [*range(len(texts)), 6])
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_language_model_is_bounded_by_its_sample(spark):
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = spark.createDataFrame([(f"x{name(i)} y{name(i)}", "en") for i in range(400)], "text string, lang string")
+    small = langid.train(rows, chars_per_language=1000)
+    assert 20 < len(small.known.names) < 400 and len(langid.train(rows).known.names) == 800
 
 
 def test_chat(spark):
@@ -313,7 +388,20 @@ def test_chat(spark):
     assert [tuple(t) for t in got[1]["turns"]] == [("system", "be <|end|>\n nice"), ("user", ""), ("assistant", "&lt; [x] |")]
     assert got[1]["valid"] and got[1]["learned"] == "&lt; [x] |" and got[1]["text"].count("<|end|>\n") == 3
     assert not got[2]["valid"] and got[2]["learned"] == "firstfirst"
-    assert not got[3]["valid"] and [tuple(t) for t in got[3]["turns"]] == [("", "")] and got[None]["valid"]
+    assert not got[3]["valid"] and got[3]["learned"] == "" and [tuple(t) for t in got[3]["turns"]] == [("", "")] and got[None]["valid"]
+
+
+def test_chat_machine_decides(spark):
+    """Another template, other moves: what is learned, and what is valid, follows from the states alone."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", "c"), (1, 3, "tool", "d"), (2, 0, "assistant", "x"), (2, 1, "user", "y")]
+    rows += [(3, i, ("user", "assistant")[i % 2], "long") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = {r["conv_id"]: r for r in chat.format_chats(df).withColumn("learned", chat.formatted(F.col("segments"), True)).collect()}
+    assert {k: r["valid"] for k, r in plain.items()} == {1: False, 2: False, 3: True}
+    assert (plain[1]["learned"], plain[2]["learned"], len(plain[3]["learned"])) == ("bc", "x", 6000)
+    first_only = chat.Template(moves={"start": {"user": "asked"}, "asked": {"assistant": "first"}, "first": {"assistant": "again"}, "again": {"tool": "again"}}, astray={}, learned=("first",))
+    other = {r["conv_id"]: r for r in chat.format_chats(df, first_only).withColumn("learned", chat.formatted(F.col("segments"), True)).collect()}
+    assert (other[1]["valid"], other[1]["learned"]) == (True, "b") and (other[2]["valid"], other[2]["learned"]) == (False, "") and not other[3]["valid"]
 
 
 def brute_nearest(rows, k):
@@ -327,7 +415,7 @@ def brute_nearest(rows, k):
 def test_nearest_odd_vectors(spark):
     rows = [(i, [float(i % 5), 1.0, 0.0]) for i in range(50)] + [(60, None), (80, []), (100, [0.0, 0.0, 0.0]), (101, [1.0, None, 2.0]), (102, [float("nan"), 1.0, 1.0]), (103, [float("inf"), 1.0, 1.0]), (120, [1.0, 2.0]), (121, [3.0, 2.0]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("x")).withColumn("rank", F.lit(1))
-    got = sorted(map(tuple, neighbours.nearest(df, block=16, query_block=2, sure=0.999999).collect()))
+    got = sorted(map(tuple, neighbours.nearest(df, block=16, query_batch=2, most_queries=2, sure=0.999999).collect()))
     want = sorted(brute_nearest(rows, 20))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
@@ -384,6 +472,67 @@ def test_pipeline(spark):
     assert before.where("NOT round_trip").count() == 0 and before.count() > 0
 
 
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns named like the operators' own."""
+    rows = corpus() + [(None, BASE, None, None, None), (None, None, None, None, None), (3, BASE, "fr", "zz", 7), (2, "one other text in words that nobody else has", "en", "a", 1)]
+    extra = {c: F.lit("mine") for c in ("lang_pred", "score", "ids", "decoded", "mix_key", "mix_source", "row", "content", "group", "n_tokens", "kept", "__text")}
+    return spark.createDataFrame(rows, DOCS).repartition(2).withColumns(extra)
+
+
+def test_stages_take_odd_rows(spark, odd_docs, none):
+    import corpus_pipeline
+
+    before, extra = odd_docs, [c for c in odd_docs.columns if c not in DOCS_NAMES]
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.stored(stage(spark, before, ""), common.work_dir(spark, name))
+        rows, had = [r.asDict() for r in after.collect()], [r.asDict() for r in before.collect()]
+        if name != "tokenise":
+            assert after.columns == odd_docs.columns and all(r[c] == "mine" for r in rows for c in extra)
+        texts = lambda x: sorted(r["text"] or "" for r in x)
+        if name == "language":
+            assert texts(rows) == texts(r for r in had if re.search(r"[^\W\d_]", r["text"] or "")) and all(r["lang"] for r in rows)
+        elif name == "exact":
+            normal = lambda t: re.sub(r"\s", "", t or "")
+            assert sorted({normal(r["text"]) for r in had}) == sorted(normal(r["text"]) for r in rows)
+        elif name == "near":
+            linked = {r[0] for r in brute_links([(i, r["text"]) for i, r in enumerate(had)]) if r[0] == r[1]}
+            assert len(rows) == len(linked) and any("nobody else" in r["text"] for r in rows)
+        elif name == "mix":
+            assert {r["source"] for r in rows} == {r["source"] for r in had if r["text"]}
+        else:
+            assert all(r["round_trip"] for r in rows) and len(rows) == len(had) and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+        before = after
+    empty = none
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "")
+    assert empty.count() == 0
+
+
+def test_near_stage_drops_by_text_not_by_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, BASE, "en", "a", 1), (2, BASE, "en", "a", 1), (2, UNLIKE[0], "en", "a", 1), (3, BASE, "en", "a", 1), (1, BASE, "de", "b", 2)]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r["doc_id"], r["text"] == BASE, r["lang"]) for r in got) == [(1, True, "de"), (2, False, "en")]
+
+
+def test_nearest_over_several_cells(spark):
+    """Recall where queries go from cell to cell, on clustered vectors with copies, and without a test every pair."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 24))
+    vectors = centres[rng.integers(0, 30, 6000)] + 0.6 * rng.standard_normal((6000, 24))
+    vectors[:400] = vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {(w[0], w[2]): w[3] for w in brute_nearest(rows, 20)}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in neighbours.nearest(df, block=700, query_batch=64).collect()}
+    recall = len(want.keys() & got.keys()) / len(want)
+    print("recall", recall)
+    assert len(got) == len(want) and recall >= 0.9
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want.keys() & got.keys())
+
+
 def test_queries_by_brute_force(spark):
     from tokenizers import Tokenizer
 
