@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tabulon.llm.common import small_batches, tidy
 
 #: Fragments remembered by a worker before it forgets them all, and the longest one that is remembered.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 SPACES = b" \t\n\x0b\x0c\r"
 _CODECS: dict[str, Codec] = {}
 

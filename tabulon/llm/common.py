@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only after its rows were counted and found to be no more than this many longs.
 BROADCAST_ROWS = 1_000_000
 #: Rows and bytes of a batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
 
 _LOCAL_BASE: dict[str, str] = {}
 

@@ -16,11 +16,16 @@ from tabulon.llm.common import BROADCAST_ROWS, content_key, restrict, stored, wo
 
 #: Characters that don't count when texts are compared: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
-#: State is kept on disk, its changes are written rather than snapshots, and no disk is set aside beforehand.
+#: State is kept on disk, its changes are written rather than snapshots, no disk is set aside beforehand, and all the
+#: stores of an executor together have a bounded part of its memory.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
 }
 #: Copies of one text that are compared with the same replica of the row that stays.
 COPIES_A_REPLICA = 1_000
