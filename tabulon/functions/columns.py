@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def ascii_tokens(text: str) -> list[str]:
+    """What ``tokens`` has, for a word list in the plan."""
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def centred(text: Column, match: Column, width: int) -> Column:
+    """At most ``width`` characters of the text around the match, whatever its case; its head where there is none."""
+    n, at = F.length(text), F.instr(F.lower(text), F.lower(match))
+    end = F.least(n, F.greatest(F.lit(0), at - 1 - width // 2) + width)
+    return F.when((n <= width) | text.isNull(), F.coalesce(text, F.lit(""))).when((at == 0) | (F.trim(match) == ""), F.substring(text, 1, width)).otherwise(F.substring(text, F.greatest(F.lit(0), end - width) + 1, F.lit(width)))
+
+
 def comparable(c: Column) -> Column:
     """Lower case without anything but word characters: what two snippets are compared by."""
     return F.regexp_replace(F.lower(c), r"(?U)[\W_]+", "")
@@ -54,16 +68,6 @@ def partial_date(c: Column, end: bool = False) -> Column:
     return F.coalesce(year, month, F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date")))
 
 
-#: Years that a form is looked back for, and the days of grace.
-LOOKBACK_YEARS = {"10-K": 5, "20-F": 5, "10-Q": 1, "6-K": 1, "8-K": 1, "DEF 14A": 3, "SC 13D": 1, "SC 13G": 1}
-GRACE_DAYS = 60
-
-
-def window_start(form: Column, end: Column) -> Column:
-    years = F.element_at(F.create_map(*[F.lit(x) for p in LOOKBACK_YEARS.items() for x in p]), form)
-    return F.date_sub(F.add_months(end, -12 * years), GRACE_DAYS)
-
-
 def tolerant_number(c: Column) -> Column:
     """Amounts as reports print them: brackets for negatives, currency signs, thousands separators, either decimal sign;
     null for dashes, n/a and what isn't an amount."""
@@ -140,3 +144,57 @@ def markdown_row(*columns: str) -> Column:
 def markdown_cells(line: Column) -> Column:
     """Trimmed cells of a row of a pipe table."""
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+
+
+def named(c: Column, names: dict[str, str]) -> Column:
+    """The official name of what is written with blanks, underscores and in any case; itself where it has none."""
+    key = F.regexp_replace(F.lower(F.trim(c)), r"[\s_]+", "")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key), c)
+
+
+def suffix(name: Column) -> Column:
+    return F.nullif(F.regexp_extract(F.lower(name), r"\.([a-z0-9]+)$", 1), F.lit(""))
+
+
+def public_url(url: Column) -> Column:
+    """An address of the web that isn't one of a private network."""
+    private = url.rlike(r"://(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.)")
+    return url.rlike(r"^https?://") & ~private
+
+
+def tail_sentence(text: Column) -> Column:
+    """What stands after the last full stop, semicolon or line end that anything follows."""
+    parts = F.filter(F.transform(F.split(F.trim(text), r"[.;。；\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 0, F.get(parts, F.size(parts) - 1))
+
+
+def table_references(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\[(t_\d{4,})\]\]"), F.lit(1)))
+
+
+def with_placeholders(text: Column, references: Column) -> Column:
+    """The text with the placeholders that it lacks, a line for each, at its end."""
+    written = F.transform(references, lambda r: F.concat(F.lit("[["), r, F.lit("]]")))
+    missing = F.array_join(F.filter(written, lambda w: ~F.contains(text, w)), "\n")
+    return F.when(missing == "", text).otherwise(F.trim(F.concat_ws("\n", F.nullif(text, F.lit("")), missing)))
+
+
+def accession(bare: Column) -> Column:
+    """An accession number of 18 digits with its hyphens."""
+    return F.regexp_replace(bare, r"^(\d{10})(\d{2})(\d{6})$", "$1-$2-$3")
+
+
+def cell_value(c: Column) -> Column:
+    """A table cell: null where it is blank or a dash, a number in plain form, or its text."""
+    text = collapsed(c)
+    bare = F.regexp_replace(text, r"(?<=\d)(\[(\d+|[a-zA-Z])\]|\((\d+|[a-zA-Z])\)|[a-zA-Z])\s*$", "")
+    negative = bare.rlike(r"^\(.*\)$")
+    plain = F.regexp_replace(F.regexp_replace(bare, r"^\((.*)\)$", "$1"), r"[$¥€ ,]|^\+", "")
+    number = F.when(~F.contains(bare, F.lit("%")) & plain.rlike(r"^-?\d+(\.\d+)?$"), F.concat(F.when(negative, "-").otherwise(""), plain))
+    return F.when(F.lower(text).isin("", "-", "—", "–", "n/a", "na", "nan", "none"), None).otherwise(F.coalesce(number, text))
+
+
+def first_key(given: Column, keys: list[str]) -> Column:
+    """The value of the first of the keys that a map has, whatever their case."""
+    lowered = F.transform_keys(given, lambda k, _: F.lower(k))
+    return F.coalesce(*[F.try_element_at(lowered, F.lit(k.lower())) for k in keys])

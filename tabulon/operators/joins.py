@@ -25,19 +25,46 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str])
     return filled.where("__side = 1").drop("__side")
 
 
-def containing(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, words: int = 3) -> DataFrame:
-    """Texts with every phrase that they contain literally, whatever the case: joined on word n-grams of the phrase, then
-    tested. A phrase of fewer words than an n-gram is tested against all texts; such phrases are few and short."""
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - words), lambda i: F.array_join(F.slice(c, i + 1, words), " "))
+def containing(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, by: str, words: int = 3) -> DataFrame:
+    """Texts with every phrase that they contain literally, whatever the case; ``by`` names a text, once each.
+
+    A phrase's key is a run of ``words`` of its inner words, since the first and last may be parts of longer words in a
+    text. A shorter phrase goes by its longest word: the texts' distinct words that hold it are found by a piece of up to
+    three letters. One without any word goes by its first character. Only names and keys are joined; what passes is
+    tested on the texts.
+    """
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    long = phrases.withColumn("__w", split(phrase)).where(F.size("__w") >= words + 2)
-    # The first and last word may be parts of longer words in a text, so the n-gram is taken from within.
-    keyed = long.withColumn("__gram", F.array_join(F.slice("__w", 2, words), " ")).drop("__w")
-    source = texts.withColumn("__w", split(text)).where(F.size("__w") >= words)
-    probes = source.withColumn("__gram", F.explode(F.array_distinct(grams(F.col("__w"))))).drop("__w")
-    found = probes.join(keyed, "__gram").drop("__gram").where(F.contains(F.lower(text), F.lower(phrase)))
-    short = phrases.where(F.size(split(phrase)) < words + 2)
-    return found.unionByName(texts.join(short, F.contains(F.lower(text), F.lower(phrase))))
+    numbered = phrases.withColumns({"__w": split(phrase), "__p": F.xxhash64(*phrases.columns)})
+    keyed = numbered.where(F.size("__w") >= words + 2).select("__p", F.array_join(F.slice("__w", 2, words), " ").alias("__key"))
+    source = texts.select(by, split(text).alias("__w"), F.lower(text).alias("__t"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("__w") - words), lambda i: F.array_join(F.slice("__w", i + 1, words), " "))
+    long = source.where(F.size("__w") >= words).select(by, F.explode(F.array_distinct(runs)).alias("__key")).join(keyed, "__key").select(by, "__p")
+
+    longest = F.array_max(F.transform("__w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = numbered.where((F.size("__w") < words + 2) & (F.size("__w") > 0)).select("__p", longest.alias("__long"))
+    short = short.withColumn("__piece", F.substring("__long", 1, 3))
+    each = source.select(by, F.explode(F.array_distinct("__w")).alias("__word"))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__word") - n + 1)), lambda i, n=n: F.substring("__word", i, F.lit(n))) for n in (1, 2, 3)])))
+    holding = each.select("__word").distinct().withColumn("__piece", F.explode(pieces)).join(short, "__piece").where(F.contains("__word", "__long")).select("__word", "__p")
+    brief = each.join(holding, "__word").select(by, "__p")
+    bare = numbered.where((F.size("__w") == 0) & (F.length(phrase) > 0)).select("__p", F.substring(F.lower(phrase), 1, 1).alias("__c"))
+    odd = source.select(by, F.explode(F.array_distinct(F.split("__t", ""))).alias("__c")).join(bare, "__c").select(by, "__p")
+
+    pairs = long.unionByName(brief).unionByName(odd).distinct()
+    found = texts.join(pairs, by).join(numbered.drop("__w"), "__p").where(F.contains(F.lower(text), F.lower(phrase)))
+    return found.drop("__p")
+
+
+def digits(c: Column) -> Column:
+    """An identifier's digits without leading zeros."""
+    return F.regexp_replace(F.regexp_replace(c, r"\D", ""), "^0+", "")
+
+
+def directed(roles: DataFrame, targets: DataFrame, target: str) -> DataFrame:
+    """Rows of ``roles(…, subject, filed_by)`` whose subject is a target and that someone else has filed."""
+    keyed = targets.withColumn("__key", digits(F.col(target)))
+    found = roles.withColumn("__key", digits(F.col("subject"))).where((F.col("__key") != "") & (F.col("__key") != digits(F.col("filed_by"))))
+    return found.join(keyed, "__key").drop("__key")
 
 
 def differs(a: Column, b: Column) -> Column:

@@ -27,32 +27,41 @@ def profiled(found: DataFrame) -> DataFrame:
     return with_tokens.withColumn("profile", F.array_distinct(F.concat(*[f"t_{f}" for f in WEIGHTS if f != "content"])))
 
 
-def bm25f(profiles: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, section, score) of every section that holds a term, scored within its document.
+def term_scores(found: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, section, scores): for each section that holds a term the score of every term, within its document.
 
-    Lengths and document frequencies are one aggregate per document, combined before the shuffle; sections without a
-    term are gone before they are joined with it. A repeated term counts as often as it is given.
+    A section is brought down to numbers, the words of each field and the places of each term in it, before anything is
+    shuffled. Lengths and document frequencies are one aggregate per document, combined before the shuffle.
     """
-    distinct = sorted(set(terms))
-    stats = profiles.groupBy("doc_id").agg(
-        F.count("*").alias("n"),
-        *[F.avg(F.size(f"t_{f}")).alias(f"avg_{f}") for f in WEIGHTS if f != "content"],
-        *[F.count_if(F.array_contains("profile", x)).alias(f"df_{i}") for i, x in enumerate(distinct)],
-    )
-    any_term = F.array(*map(F.lit, distinct))
-    hit = profiles.where(F.arrays_overlap(F.concat("profile", "t_content"), any_term)).join(stats, "doc_id")
-    total: Column = F.lit(0.0)
-    for i, term in enumerate(distinct):
+    cells = found.select("doc_id", "section", *[C.tokens(F.coalesce(f, F.lit(""))).alias(f) for f in WEIGHTS])
+    count = lambda f, x: F.size(f) - F.size(F.array_remove(f, x))
+    # Two arrays rather than a column for each number: Spark's reasoning about what columns imply grows fast with them.
+    fields = list(WEIGHTS)
+    numbers = cells.select("doc_id", "section", F.array(*[F.size(f) for f in fields]).alias("n_words"), F.array(*[count(f, x) for x in terms for f in fields]).alias("counts"))
+    words = lambda f: F.get("n_words", F.lit(fields.index(f)))
+    inside = lambda i, f: F.get("counts", F.lit(i * len(fields) + fields.index(f)))
+    profile = [f for f in fields if f != "content"]
+    held = lambda i: F.exists(F.array(*[inside(i, f) for f in profile]), lambda x: x > 0)
+    averages = F.array(*[F.avg(words(f)) for f in profile]).alias("averages")
+    stats = numbers.groupBy("doc_id").agg(F.count("*").alias("n"), averages, F.array(*[F.count_if(held(i)) for i in range(len(terms))]).alias("df") if terms else F.array().cast("array<bigint>").alias("df"))
+    scores = []
+    for i in range(len(terms)):
         weighted: Column = F.lit(0.0)
         for f, w in WEIGHTS.items():
-            average = F.col("avg_preview" if f == "content" else f"avg_{f}")
-            count = F.size(F.col(f"t_{f}")) - F.size(F.array_remove(f"t_{f}", term))
-            length = 1 - LENGTH_B[f] + LENGTH_B[f] * F.when(average > 0, F.size(f"t_{f}") / average).otherwise(0.0)
-            weighted = weighted + w * F.when(count > 0, count / length).otherwise(0.0)
-        df = F.col(f"df_{i}")
+            average, n, b = F.get("averages", F.lit(profile.index("preview" if f == "content" else f))), inside(i, f), LENGTH_B[f]
+            weighted = weighted + w * F.when(average > 0, n / (1 - b + b * words(f) / average)).otherwise(n)
+        df = F.get("df", F.lit(i))
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        total = total + F.when((df > 0) & (weighted > 0), terms.count(term) * idf * (K1 + 1) * weighted / (K1 + weighted)).otherwise(0.0)
-    return hit.select("doc_id", "section", F.round(total, 6).alias("score"))
+        scores.append(F.struct(F.when(df > 0, idf).otherwise(0.0).alias("idf"), weighted.alias("w")))
+    rated = F.transform(F.array(*scores), lambda s: s["idf"] * (K1 + 1) * s["w"] / (K1 + s["w"])) if scores else F.array().cast("array<double>")
+    return numbers.where(F.exists("counts", lambda x: x > 0)).join(stats, "doc_id").select("doc_id", "section", rated.alias("scores"))
+
+
+def bm25f(found: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, section, score) of every section that holds a term. A repeated term counts as often as it is given."""
+    distinct = sorted(set(terms))
+    total = sum((F.get("scores", F.lit(i)) * terms.count(x) for i, x in enumerate(distinct)), F.lit(0.0))
+    return term_scores(found, distinct).select("doc_id", "section", F.round(total, 6).alias("score"))
 
 
 def ambiguity(generic: Column, n_tokens: Column, mean_df: Column) -> Column:
@@ -61,14 +70,17 @@ def ambiguity(generic: Column, n_tokens: Column, mean_df: Column) -> Column:
     return F.when(n_tokens == 0, 0.0).otherwise(score)
 
 
-def capped(hits: DataFrame, scope: list[str], order: list[Column]) -> DataFrame:
-    """All exact hits, then expansions up to a share of all hits, once there are many hits and an exact one among them."""
+def capped(hits: DataFrame, scope: list[str], order: list[Column], display_budget: int | None = None) -> DataFrame:
+    """All exact hits, then expansions up to a share of all hits, once there are many hits and an exact one among them.
+    Where the exact hits fit the ``display_budget``, expansions get no more than what it leaves, but two at least."""
     counted = Window.partitionBy(*scope)
     exact = F.col("strategy") == "exact"
-    ranked = hits.withColumns({"n": F.count("*").over(counted), "n_exact": F.count_if(exact).over(counted), "rank": F.row_number().over(Window.partitionBy(*scope, exact).orderBy(*order))})
+    ranked = hits.withColumns({"n": F.count("*").over(counted), "n_exact": F.count_if(exact).over(counted), "__rank": F.row_number().over(Window.partitionBy(*scope, exact).orderBy(*order))})
     most = F.greatest(F.lit(CAP_LEAST), F.floor(F.col("n") * CAP_SHARE))
+    if display_budget:
+        most = F.when(F.col("n_exact") <= display_budget, F.least(most, F.greatest(F.lit(CAP_LEAST), display_budget - F.col("n_exact")))).otherwise(most)
     free = (F.col("n") < CAP_FROM) | (F.col("n_exact") == 0) | exact
-    return ranked.where(free | (F.col("rank") <= most)).drop("n", "n_exact", "rank")
+    return ranked.where(free | (F.col("__rank") <= most)).drop("n", "n_exact", "__rank")
 
 
 def sentences(text: Column) -> Column:
@@ -77,15 +89,17 @@ def sentences(text: Column) -> Column:
 
 
 def distinct_snippets(snippets: Column, most: int = 2) -> Column:
-    """Without snippets that equal or lie within another; the longer of two takes the earlier one's place."""
+    """Without snippets that equal or lie within another: the first kept one that a snippet equals, lies within or holds
+    decides, and in the last case gives its place to it. Blank ones go."""
     pair = "struct<text:string,norm:string>"
-    named = F.transform(snippets, lambda x: F.struct(x.alias("text"), C.comparable(x).alias("norm")))
+    named = F.filter(F.transform(snippets, lambda x: F.struct(C.collapsed(x).alias("text"), C.comparable(x).alias("norm"))), lambda s: s["norm"] != "")
 
     def step(kept: Column, x: Column) -> Column:
-        within = lambda k: F.contains(x["norm"], k["norm"])
-        place = F.array_position(F.transform(kept, within), True)
-        longer = F.concat(F.slice(kept, 1, place.cast("int") - 1), F.array(x), F.filter(F.slice(kept, place.cast("int") + 1, F.size(kept)), lambda k: ~within(k)))
-        return F.when(F.exists(kept, lambda k: F.contains(k["norm"], x["norm"])), kept).when(place > 0, longer).otherwise(F.concat(kept, F.array(x)))
+        alike = lambda k: F.contains(x["norm"], k["norm"]) | F.contains(k["norm"], x["norm"])
+        place = F.array_position(F.transform(kept, alike), True).cast("int")
+        swapped = F.concat(F.slice(kept, 1, place - 1), F.array(x), F.slice(kept, place + 1, F.size(kept)))
+        inside = F.contains(F.get(kept, place - 1)["norm"], x["norm"])
+        return F.when(place == 0, F.concat(kept, F.array(x))).when(inside, kept).otherwise(swapped)
 
     return F.slice(F.aggregate(named, F.array().cast(f"array<{pair}>"), step)["text"], 1, most)
 

@@ -15,16 +15,39 @@ def streaks(df: DataFrame, key: str, order: list[str], hit: Column, least: int =
     return found.where(F.col("streak_len") >= least).drop("__island")
 
 
-def water_fill(sizes: Column, budget: int, least: int) -> Column:
-    """Shares of a budget for sizes in ascending order: each gets its size, or an equal part of what is left, but that
-    part no less than ``least``; a fold over one array."""
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.size(sizes).cast("long").alias("n"), F.array().cast("array<bigint>").alias("shares"))
-
-    def step(s: Column, size: Column) -> Column:
-        share = F.least(size, F.greatest(F.lit(least).cast("long"), F.floor(s["left"] / s["n"])))
-        return F.struct(F.greatest(F.lit(0).cast("long"), s["left"] - share).alias("left"), (s["n"] - 1).alias("n"), F.concat(s["shares"], F.array(share)).alias("shares"))
-
-    return F.aggregate(sizes, start, step)["shares"]
+def water_fill(sizes: DataFrame, keys: list[str], size: str, budget: int, least: int) -> DataFrame:
+    """(keys, given, capped): a budget shared out over the sizes of each key in ascending order, each getting its size, or
+    an equal part of what is left, but that part no less than ``least``; what is given in all, and how many get less
+    than their size.
+
+    Equal sizes are counted first, so a task orders the distinct sizes of a key. From the first size on that is larger
+    than ``least`` and than an equal part, every size gets an equal part: rounded down, and one more at the end for as
+    many as the rest makes up.
+    """
+    counted = sizes.groupBy(*keys, size).agg(F.count("*").alias("c"))
+    before = Window.partitionBy(*keys).orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    placed = counted.withColumns({"spent": F.coalesce(F.sum(F.col(size) * F.col("c")).over(before), F.lit(0)), "n": F.sum("c").over(every) - F.coalesce(F.sum("c").over(before), F.lit(0))})
+    placed = placed.withColumn("left", F.greatest(F.lit(0), budget - F.col("spent"))).withColumn("over", (F.col(size) > least) & (F.col(size) * F.col("n") > F.col("left")))
+    first = placed.where("over").groupBy(*keys).agg(F.min_by(F.struct("left", "n"), size).alias("f"))
+    full = placed.where("NOT over").groupBy(*keys).agg(F.sum(F.col(size) * F.col("c")).alias("whole"))
+    part, rest = F.floor(F.col("f.left") / F.col("f.n")), F.col("f.left") % F.col("f.n")
+    # With a part of one less than the size, the last ones of that size may still get all of it.
+    late = placed.where("over").groupBy(*keys, size).agg(F.sum("c").alias("c"), F.max("n").alias("n")).join(first, keys)
+    reached = F.when((part >= least) & (F.col(size) == part + 1), F.greatest(F.lit(0), F.least(F.col("c"), F.col("c") - F.greatest(F.lit(0), F.col("n") - rest))))
+    capped = late.groupBy(*keys).agg(F.sum(F.col("c") - F.coalesce(reached, F.lit(0))).alias("capped"))
+    shared = F.when(part >= least, F.col("f.left")).otherwise(least * F.col("f.n"))
+    out = sizes.select(*keys).distinct().join(full, keys, "left").join(first, keys, "left").join(capped, keys, "left")
+    return out.select(*keys, (F.coalesce("whole", F.lit(0)) + F.coalesce(shared, F.lit(0))).cast("long").alias("given"), F.coalesce("capped", F.lit(0)).cast("long").alias("capped"))
+
+
+def value_at(counted: DataFrame, keys: list[str], value: str, n: str, rank, name: str) -> DataFrame:
+    """(keys, name): the value at a rank, counted from 1, of each key's values in order; ``rank`` is a function of how
+    many there are, ``counted`` has each distinct value once with its number. A task orders distinct values."""
+    up_to = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumns({"__to": F.sum(n).over(up_to), "__n": F.sum(n).over(Window.partitionBy(*keys))})
+    hit = placed.where(F.col("__to") >= rank(F.col("__n")))
+    return hit.groupBy(*keys).agg(F.min(value).alias(name)) if keys else hit.agg(F.min(value).alias(name))
 
 
 def newest_within(df: DataFrame, key: str, order: str, cost: str, budget: int, most: int) -> DataFrame:

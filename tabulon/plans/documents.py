@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import columns as C
+from tabulon.functions import forms
 from tabulon.operators import dedup, search
 from tabulon.plans.registry import plan
 from tabulon.sources import html, readers
@@ -26,7 +27,7 @@ def bm25f_sql() -> str:
         for f, w in search.WEIGHTS.items():
             average = "avg_preview" if f == "content" else f"avg_{f}"
             count, b = f"len(list_filter(t_{f}, lambda x: x = '{term}'))", search.LENGTH_B[f]
-            parts.append(f"{w} * CASE WHEN {count} > 0 THEN {count} / (1 - {b} + {b} * CASE WHEN {average} > 0 THEN len(t_{f}) / {average} ELSE 0 END) ELSE 0 END")
+            parts.append(f"{w} * CASE WHEN {count} > 0 THEN {count} / CASE WHEN {average} > 0 THEN 1 - {b} + {b} * len(t_{f}) / {average} ELSE 1 END ELSE 0 END")
         weighted = "(" + " + ".join(parts) + ")"
         scores.append(f"CASE WHEN df_{i} > 0 AND {weighted} > 0 THEN ln(1 + (n - df_{i} + 0.5) / (df_{i} + 0.5)) * {search.K1 + 1} * {weighted} / ({search.K1} + {weighted}) ELSE 0 END")
     averages = ", ".join(f"avg(len(t_{f})) AS avg_{f}" for f in search.WEIGHTS if f != "content")
@@ -36,7 +37,7 @@ def bm25f_sql() -> str:
 
 @plan(bm25f_sql())
 def search17_bm25f(t):
-    return search.bm25f(search.profiled(search.sections(t.documents)), TERMS)
+    return search.bm25f(search.sections(t.documents), TERMS)
 
 
 @plan("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, unnest(range(len(string_split(text, chr(10))))) AS section FROM documents),
@@ -157,7 +158,7 @@ def dt1_partial_dates(t):
 
 @plan("SELECT o_orderkey, ((o_orderdate::DATE - INTERVAL 5 YEAR)::DATE - 60)::VARCHAR AS window_start FROM orders")
 def dt3_form_window(t):
-    return t.orders.select("o_orderkey", C.window_start(F.lit("10-K"), F.to_date("o_orderdate")).cast("string").alias("window_start"))
+    return t.orders.select("o_orderkey", forms.window_start(F.lit("10-K"), F.to_date("o_orderdate")).cast("string").alias("window_start"))
 
 
 @plan("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS amount FROM lineitem")

@@ -49,11 +49,12 @@ def srch13_cooccurrence(t):
     return search.densest(lines, ["doc_id", "section"], "line", ["license", "version", "under", "the"], 120)
 
 
-@plan("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS section FROM documents)
-SELECT doc_id, section::INT AS section FROM l WHERE list_has_any(regexp_extract_all(lower(line), '[a-z0-9]+'), ['license', 'licenses', 'version'])""")
+@plan("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS section FROM documents)
+SELECT doc_id, section FROM l WHERE contains(lower(line), 'license') OR contains(lower(line), 'version') OR contains(lower(line), 'the')""")
 def join12_token_or(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "line"))
-    return lines.where(F.arrays_overlap(C.tokens(F.col("line")), F.array(*map(F.lit, ("license", "licenses", "version"))))).select("doc_id", "section")
+    any_term = F.exists(F.array(*map(F.lit, ("license", "version", "the"))), lambda x: F.contains(F.lower("line"), x))
+    return lines.where(any_term).select("doc_id", "section")
 
 
 @plan("SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), lambda x: x <> '' AND NOT regexp_matches(x, '^([a-z]+:|//|#)')))), ' ') AS links FROM pages")

@@ -114,7 +114,7 @@ def join8_asof(t):
 @plan("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def join11_text_containment(t):
     phrases = t.benchmark.select("item_id", F.col("text").alias("phrase"))
-    return joins.containing(t.documents.select("doc_id", "text"), "text", phrases, "phrase").select("doc_id", "item_id").distinct()
+    return joins.containing(t.documents.select("doc_id", "text"), "text", phrases, "phrase", "doc_id").select("doc_id", "item_id").distinct()
 
 
 @plan("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_totalprice <> b.o_totalprice THEN 'changed' ELSE 'same' END AS state
@@ -152,10 +152,15 @@ def join19_override(t):
     return found.select("doc_id", F.coalesce("quality", "claim").alias("verdict"), F.col("quality").isNotNull().alias("confirmed"))
 
 
-@plan("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey <> c_custkey WHERE c_acctbal > 9000 AND s_acctbal > 5000")
+@plan("""WITH r AS (SELECT o_orderkey, lpad(o_custkey::VARCHAR, 10, '0') AS subject, CASE WHEN o_orderkey % 4 = 0 THEN '00' || o_custkey ELSE (o_custkey + 1)::VARCHAR END AS filed_by FROM orders)
+SELECT o_orderkey, c_custkey FROM r JOIN customer ON subject::BIGINT = c_custkey AND filed_by::BIGINT <> c_custkey WHERE c_acctbal > 5000 AND c_custkey > 0""")
 def join20_direction(t):
-    subjects, filers = t.customer.where("c_acctbal > 9000"), t.supplier.where("s_acctbal > 5000")
-    return filers.join(subjects, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") != F.col("c_custkey"))).select("s_suppkey", "c_custkey")
+    """Filings about a watched company that the company hasn't filed itself; numbers are padded in different ways."""
+    number = F.col("o_custkey").cast("string")
+    filer = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("00"), number)).otherwise((F.col("o_custkey") + 1).cast("string"))
+    roles = t.orders.select("o_orderkey", F.lpad(number, 10, "0").alias("subject"), filer.alias("filed_by"))
+    watched = t.customer.where("c_acctbal > 5000 AND c_custkey > 0").select("c_custkey", F.concat(F.lit("CIK-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("cik"))
+    return joins.directed(roles, watched, "cik").select("o_orderkey", "c_custkey")
 
 
 @plan("SELECT coalesce(nullif(trim(event_type), ''), '<empty>') AS k, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, k")
@@ -172,7 +177,12 @@ def agg2_batch_summary(t):
 @plan("""SELECT event_type, count(*) AS calls, round(avg((value > 5)::INT), 6) AS success_rate, round(median(value), 6) AS median_value, list_sort(list(value))[ceil((count(*) - 1) * 0.9)::INT + 1] AS p90_value,
 (SELECT string_agg(k || ':' || n, ', ' ORDER BY n DESC, k) FROM (SELECT props AS k, count(*) AS n FROM events e WHERE e.event_type = o.event_type GROUP BY 1 ORDER BY n DESC, k LIMIT 3)) AS top_props FROM events o GROUP BY event_type""")
 def agg3_tool_stats(t):
-    stats = t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.avg((F.col("value") > 5).cast("int")), 6).alias("success_rate"), F.round(F.median("value"), 6).alias("median_value"), sequences.ceil_percentile(F.collect_list("value"), 0.9).alias("p90_value"))
+    counted = t.events.groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    stats = counted.groupBy("event_type").agg(F.sum("n").alias("calls"), F.round(F.sum(F.when(F.col("value") > 5, F.col("n")).otherwise(0)) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 6).alias("success_rate"))
+    for p, name in ((0.9, "p90_value"),):
+        stats = stats.join(sequences.value_at(counted.where("value IS NOT NULL"), ["event_type"], "value", "n", lambda n, p=p: F.ceil((n - 1) * p) + 1, name), "event_type", "left")
+    middle = [sequences.value_at(counted.where("value IS NOT NULL"), ["event_type"], "value", "n", lambda n, k=k: F.floor((n + k) / 2), name) for k, name in ((1, "low"), (2, "high"))]
+    stats = stats.join(middle[0].join(middle[1], "event_type").select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_value")), "event_type", "left")
     counts = t.events.groupBy("event_type", F.col("props").alias("k")).agg(F.count("*").alias("n"))
     top = dedup.keep_best(counts, ["event_type"], [F.desc("n"), F.asc("k")], 3).groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "k"))).alias("top"))
     text = F.array_join(F.transform("top", lambda x: F.concat(x["k"], F.lit(":"), -x["m"])), ", ")
@@ -186,7 +196,8 @@ def agg5_p10_linear(t):
 
 @plan("SELECT doc_id FROM documents, (SELECT greatest(quantile_disc(n_chars, 0.9), 2 * quantile_disc(n_chars, 0.5)) AS x FROM documents WHERE n_chars > 0) WHERE n_chars > x")
 def agg6_adaptive_threshold(t):
-    limits = t.documents.where("n_chars > 0").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY n_chars)").alias("p90"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars)").alias("p50"))
+    counted = t.documents.where("n_chars > 0").groupBy("n_chars").agg(F.count("*").alias("n"))
+    limits = sequences.value_at(counted, [], "n_chars", "n", lambda n: F.ceil(n * 0.9), "p90").crossJoin(sequences.value_at(counted, [], "n_chars", "n", lambda n: F.ceil(n * 0.5), "p50"))
     limits = limits.select(F.greatest("p90", 2 * F.col("p50")).alias("x"))  # one row
     return t.documents.join(F.broadcast(limits), F.col("n_chars") > F.col("x")).select("doc_id")
 
@@ -197,6 +208,16 @@ def agg8_duplicate_calls(t):
     return grouped.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
+@plan("""WITH g AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL HAVING count(*) > 1)
+SELECT event_id, first_id, n FROM events e JOIN g ON e.user_id = g.user_id AND e.event_type = g.event_type AND json_extract_string(e.props, '$.k') = g.k""")
+def agg8_duplicate_links(t):
+    """Every call that another one repeats, with the first of them; arguments are compared in canonical form. A row for
+    each call, so that a signature may have any number of them."""
+    keyed = t.events.select("event_id", "user_id", "event_type", C.canonical_json(F.col("props")).alias("args"))
+    groups = keyed.groupBy("user_id", "event_type", "args").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).where("n > 1")
+    return keyed.join(groups, ["user_id", "event_type", "args"]).select("event_id", "first_id", "n")
+
+
 @plan("SELECT user_id, (json_extract_string(props, '$.k')::INT) % 10 AS signature, count(*) AS n, arg_min(event_id, ts) AS sample FROM events WHERE event_type = 'error' GROUP BY 1, 2")
 def agg9_failure_patterns(t):
     signature = F.get_json_object("props", "$.k").cast("int") % 10
@@ -322,10 +343,16 @@ f AS (SELECT source, a, 0 AS i, 100000::BIGINT AS rest, 0::BIGINT AS given, 0::B
 UNION ALL SELECT source, a, i + 1, greatest(0, rest - least(a[i + 1], greatest(400, rest // (len(a) - i)))), given + least(a[i + 1], greatest(400, rest // (len(a) - i))), capped + (a[i + 1] > greatest(400, rest // (len(a) - i)))::BIGINT FROM f WHERE i < len(a))
 SELECT source, given, capped FROM f WHERE i = len(a)""")
 def win6_fair_share(t):
-    sizes = t.documents.groupBy("source").agg(F.array_sort(F.collect_list("n_chars")).alias("a"))
-    shared = sizes.withColumn("s", sequences.water_fill(F.col("a"), 100_000, 400))
-    total = F.aggregate("s", F.lit(0).cast("long"), lambda x, y: x + y)
-    return shared.select("source", total.alias("given"), F.size(F.filter(F.arrays_zip("a", "s"), lambda z: z["a"] > z["s"])).cast("long").alias("capped"))
+    return sequences.water_fill(t.documents, ["source"], "n_chars", 100_000, 400)
+
+
+@plan("""WITH RECURSIVE s AS (SELECT source, list_sort(list(n_chars)) AS a FROM documents GROUP BY source),
+f AS (SELECT source, a, 0 AS i, 600000::BIGINT AS rest, 0::BIGINT AS given, 0::BIGINT AS capped FROM s
+UNION ALL SELECT source, a, i + 1, greatest(0, rest - least(a[i + 1], greatest(4000, rest // (len(a) - i)))), given + least(a[i + 1], greatest(4000, rest // (len(a) - i))), capped + (a[i + 1] > greatest(4000, rest // (len(a) - i)))::BIGINT FROM f WHERE i < len(a))
+SELECT source, given, capped FROM f WHERE i = len(a)""")
+def win6_tool_budgets(t):
+    """With the least share of the tool results' budget."""
+    return sequences.water_fill(t.documents, ["source"], "n_chars", 600_000, 4_000)
 
 
 @plan("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, max(year(o_orderdate)) OVER (PARTITION BY o_custkey) AS y FROM orders) WHERE r <= 6 AND year(o_orderdate) = y")

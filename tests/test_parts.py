@@ -42,7 +42,21 @@ def test_canonical_json_orders_keys(spark):
 
 
 def test_water_fill_stays_within_the_budget(spark):
-    assert value(spark, sequences.water_fill(F.array(*[F.lit(x).cast("long") for x in (10, 50, 100)]), 120, 1)) == [10, 50, 60]
+    import random
+
+    draw = random.Random(7)
+    cases = {k: [draw.randrange(1, 12 if k % 2 else 400) for _ in range(draw.randrange(1, 30))] for k in range(40)}
+    rows = spark.createDataFrame([(k, x) for k, v in cases.items() for x in v], "k int, size long")
+    for budget, least in ((120, 1), (100, 5), (1000, 40), (37, 3)):
+        want = {}
+        for k, v in cases.items():
+            left, given, capped = budget, 0, 0
+            for i, x in enumerate(sorted(v)):
+                share = min(x, max(least, left // (len(v) - i)))
+                left, given, capped = max(0, left - share), given + share, capped + (x > share)
+            want[k] = (given, capped)
+        got = {r["k"]: (r["given"], r["capped"]) for r in sequences.water_fill(rows, ["k"], "size", budget, least).collect()}
+        assert got == want
 
 
 def test_ceil_percentile_of_one(spark):
@@ -60,6 +74,14 @@ def test_html(spark):
     df = spark.createDataFrame([(1, page), (2, None), (3, "<p")], "page_id long, html string")
     assert [(r["page_id"], r["level"], r["title"], r["content"]) for r in html.sections(df).orderBy("page_id", "position").collect()] == [(1, 1, "A", "one"), (1, 2, "B & C", "x\n1"), (3, 0, "", "<p")]
     assert [tuple(r)[1:] for r in html.cells(df).collect()] == [(0, 0, 0, True, "x"), (0, 0, 1, False, "1")]
+    assert [r["text"] for r in html.texts(df).orderBy("page_id").collect()] == ["A\none\nB & C\nx\n1", "", "<p"]
+
+
+def test_html_tables_with_spans_and_inner_tables(spark):
+    page = "<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c<table><tr><td>in</td></tr></table>d</td><td>e</td></tr><tr style='display: none'><td>no</td></tr><tr><td>f</td></tr></table><div hidden>x<br>y</div>"
+    got = {(r["table"], r["row"], r["col"]): r["text"] for r in html.cells(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()}
+    assert got == {(0, 0, 0): "a", (0, 1, 0): "a", (0, 0, 1): "b", (0, 0, 2): "b", (0, 1, 1): "cd", (0, 1, 2): "e", (0, 2, 0): "f", (1, 0, 0): "in"}
+    assert html.texts(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["text"] == "a\nb\nc\nin\nd\ne\nf"
 
 
 def test_readers(spark, tmp_path):
@@ -90,7 +112,8 @@ def test_distinct_snippets_is_the_fold(spark):
         "same": (["The Act.", "the act"], ["The Act."]),
         "longer": (["act", "other", "the act, as amended"], ["the act, as amended", "other"]),
         "within": (["the act as amended", "ACT", "more", "third"], ["the act as amended", "more"]),
-        "both": (["one", "two", "one two", "three"], ["one two", "three"]),
+        "both": (["one", "two", "one two", "three"], ["one two", "two"]),
+        "first": (["one two", "two", "TWO!", " "], ["one two"]),
         "none": ([], []),
     }
     rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k string, s array<string>")
