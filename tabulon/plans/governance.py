@@ -348,12 +348,12 @@ def arr8_row_labels(t):
     return first.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "label"))), lambda s: s["label"]), ",").alias("labels"))
 
 
-@plan("SELECT doc_id, sha256(substr(text, 1, 100)) AS chars, sha256(array_to_string(string_split(text, chr(10))[1:2], chr(10))) AS lines, string_split(text, ' ')[1:3] AS items, octet_length(encode(substr(coalesce(text, ''), 1, 0))) + least(50, octet_length(encode(text)))::INT AS n_bytes FROM documents WHERE text IS NOT NULL")
+@plan("SELECT doc_id, sha256(substr(text, 1, 100)) AS chars, sha256(array_to_string(string_split(text, chr(10))[1:2], chr(10))) AS lines, array_to_string(string_split(text, ' ')[1:3], ' ') AS items, octet_length(encode(substr(coalesce(text, ''), 1, 0))) + least(50, octet_length(encode(text)))::INT AS n_bytes FROM documents WHERE text IS NOT NULL")
 def lim1_strategies(t):
     """The four ways to cut a result."""
     rows = t.documents.where("text IS NOT NULL")
     cut = lambda strategy, most, c="text": governance.truncated(F.col(c), strategy, most)
-    return rows.withColumn("words", F.split("text", " ")).select("doc_id", F.sha2(cut("text_chars", 100).cast("binary"), 256).alias("chars"), F.sha2(cut("text_lines", 2).cast("binary"), 256).alias("lines"), cut("list_items", 3, "words").alias("items"), F.length(cut("binary_bytes", 50)).alias("n_bytes"))
+    return rows.withColumn("words", F.split("text", " ")).select("doc_id", F.sha2(cut("text_chars", 100).cast("binary"), 256).alias("chars"), F.sha2(cut("text_lines", 2).cast("binary"), 256).alias("lines"), F.array_join(cut("list_items", 3, "words"), " ").alias("items"), F.length(cut("binary_bytes", 50)).alias("n_bytes"))
 
 
 @plan("""WITH t AS (SELECT l_orderkey, 't_' || lpad(l_linenumber::VARCHAR, 4, '0') AS table_ref, bool_or(l_returnflag = 'R') AS is_financial, min(l_partkey % 3) AS section FROM lineitem GROUP BY ALL), f AS (SELECT l_orderkey, count(*) FILTER (is_financial) AS financial_count FROM t GROUP BY 1)
@@ -441,3 +441,109 @@ def wr2_violations(t):
     per = t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("high"), F.count_if(F.col("l_returnflag") == "A").alias("medium"))
     high, medium = F.col("high"), F.col("medium")
     return per.select("l_orderkey", ((high == 0) & (medium < 2)).alias("passed"), F.when(high >= 2, "regenerate").when((high == 1) | (medium >= 2), "patch").otherwise("none").alias("strategy"))
+
+
+@plan("SELECT l_orderkey, l_linenumber, string_agg(l_returnflag || '=' || l_quantity::INT, ';' ORDER BY l_partkey, l_suppkey, l_quantity) AS cells FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL")
+def api6_get_table(t):
+    """One table of every document, its cells in order."""
+    cell = F.concat(F.col("l_returnflag"), F.lit("="), F.col("l_quantity").cast("int").cast("string"))
+    rows = t.lineitem.where("l_linenumber = 3").groupBy("l_orderkey", "l_linenumber").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_quantity", cell.alias("cell")))).alias("c"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(F.transform("c", lambda x: x["cell"]), ";").alias("cells"))
+
+
+@plan("""WITH f AS (SELECT p_partkey, p_brand, p_type, p_size, (p_type = 'PROMO')::INT * 2 + (p_size % 3 = 0)::INT AS score FROM part WHERE p_type = 'PROMO' OR p_size % 3 = 0)
+SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS place FROM f QUALIFY place <= 5""")
+def flt13_facet_routing(t):
+    """Candidates by the kind of business first and by what they are bound to second; five of each at most."""
+    kind, bound = F.col("p_type") == "PROMO", F.col("p_size") % 3 == 0
+    score = F.when(kind, 2).otherwise(0) + F.when(bound, 1).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(score.desc(), "p_partkey"))
+    return t.part.where(kind | bound).withColumn("place", place).where("place <= 5").select("p_brand", "p_partkey", "place")
+
+
+@plan("SELECT user_id, max(ts) < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 30 MINUTE AS idle, max(ts) < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 5 DAY AS stale FROM events GROUP BY user_id")
+def dt7_cutoffs(t):
+    """Sessions that have been silent for half an hour, and for five days."""
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return last.select("user_id", (F.col("last") < now - F.expr("INTERVAL 30 MINUTES")).alias("idle"), (F.col("last") < now - F.expr("INTERVAL 5 DAYS")).alias("stale"))
+
+
+@plan("SELECT 'quarter_' || quarter(o_orderdate) AS period, o_custkey, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL")
+def arr4_periods_to_rows(t):
+    """A column for each period, turned into rows again; periods without a value have none."""
+    quarter = F.concat(F.lit("quarter_"), F.quarter("o_orderdate").cast("string"))
+    wide = t.orders.withColumn("p", quarter).groupBy("o_custkey").pivot("p", [f"quarter_{i}" for i in range(1, 5)]).agg(F.round(F.sum("o_totalprice"), 2))
+    return wide.unpivot("o_custkey", [f"quarter_{i}" for i in range(1, 5)], "period", "value").where("value IS NOT NULL").select("period", "o_custkey", "value")
+
+
+@plan("SELECT event_id, (json_extract_string(props, '$.k'))::INT AS k, value > 100 AS is_large, 'all' AS scope FROM events")
+def arr7_coerced_arguments(t):
+    """Arguments brought to the types of a schema: numbers out of texts, defaults for what is missing."""
+    text = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), (F.col("value") > 100).cast("string").alias("is_large")))
+    given = F.from_json(text, "k string, is_large string, scope string")
+    return t.events.select("event_id", given["k"].try_cast("int").alias("k"), given["is_large"].try_cast("boolean").alias("is_large"), F.coalesce(given["scope"], F.lit("all")).alias("scope"))
+
+
+@plan("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS section FROM documents WHERE text IS NOT NULL), h AS (SELECT *, last_value(CASE WHEN length(line) < 60 THEN contains(lower(line), 'in') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM l)
+SELECT doc_id, section FROM h WHERE inside AND length(line) >= 60""")
+def str14_lines_under_heading(t):
+    """Lines below a heading that has a word, up to the next heading."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "line"))
+    heading = F.when(F.length("line") < 60, F.contains(F.lower("line"), F.lit("in")))
+    inside = F.last(heading, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("section"))
+    return lines.withColumn("inside", inside).where(F.col("inside") & (F.length("line") >= 60)).select("doc_id", "section")
+
+
+@plan("""WITH p AS (SELECT DISTINCT l_orderkey, l_shipdate::DATE AS period_end FROM lineitem WHERE l_linenumber <= 2), v AS (SELECT l_orderkey, l_shipdate::DATE AS period_end, l_linenumber, round(l_extendedprice, 2) AS value FROM lineitem WHERE l_linenumber > 2)
+SELECT l_orderkey, period_end::VARCHAR AS period_end, l_linenumber, value FROM v SEMI JOIN p USING (l_orderkey, period_end)""")
+def join21_target_periods(t):
+    """Values of the periods that a statement is to have; of other periods none."""
+    date = F.to_date("l_shipdate").alias("period_end")
+    wanted = t.lineitem.where("l_linenumber <= 2").select("l_orderkey", date).distinct()
+    values = t.lineitem.where("l_linenumber > 2").select("l_orderkey", date, "l_linenumber", F.round("l_extendedprice", 2).alias("value"))
+    return values.join(wanted, ["l_orderkey", "period_end"], "left_semi").select("l_orderkey", F.col("period_end").cast("string").alias("period_end"), "l_linenumber", "value")
+
+
+@plan("SELECT o_orderkey, o_orderstatus = 'F' AND o_orderkey % 4 <> 1 AS reprocess, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS result FROM orders WHERE o_orderkey % 10 <> 9")
+def snk3_processed_lifecycle(t):
+    """Processed results: some marked for another run, some of these marks cleared, some results cleared, some deleted."""
+    rows = t.orders.where("o_orderkey % 10 <> 9").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("result"))
+    marked = rows.withColumn("reprocess", F.col("o_orderstatus") == "F")
+    return marked.select("o_orderkey", (F.col("reprocess") & (F.col("o_orderkey") % 4 != 1)).alias("reprocess"), F.when(F.col("o_orderkey") % 7 != 0, F.col("result")).alias("result"))
+
+
+@plan("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS section FROM documents WHERE text IS NOT NULL), c AS (SELECT *, count(*) FILTER (length(line) < 50) OVER (PARTITION BY doc_id ORDER BY section) AS chapter FROM l)
+SELECT doc_id, chapter, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY section)) AS body FROM c WHERE chapter > 0 GROUP BY ALL""")
+def wr1_chapters(t):
+    """A template's chapters: each heading with all that stands below it; what stands before the first is none's."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "line"))
+    numbered = lines.withColumn("chapter", F.count(F.when(F.length("line") < 50, 1)).over(Window.partitionBy("doc_id").orderBy("section"))).where("chapter > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "line"))), lambda s: s["line"]), "\n")
+    return numbered.groupBy("doc_id", "chapter").agg(F.count("*").alias("n_lines"), F.sha2(body.cast("binary"), 256).alias("body"))
+
+
+@plan("""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text ROWS UNBOUNDED PRECEDING) AS after FROM conversations), s AS (SELECT conv_id, min(turn) FILTER (role = 'user' AND after <= 2000) AS split FROM m GROUP BY conv_id)
+SELECT conv_id, split FROM s""")
+def wr4_compaction_split(t):
+    """Where a conversation is cut for compaction: the earliest turn of a user from which on all fits, so that no group
+    of calls and answers is torn."""
+    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.col("role"), F.col("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = t.conversations.withColumn("after", F.sum(F.length(F.coalesce("text", F.lit("")))).over(back))
+    return rows.groupBy("conv_id").agg(F.min(F.when((F.col("role") == "user") & (F.col("after") <= 2000), F.col("turn"))).alias("split"))
+
+
+@plan("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'promoted' WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS expected FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def up4_promotion(t):
+    """The ground truth with what was promoted to it."""
+    truth = t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("expected"))
+    promoted = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("promoted").alias("expected"))
+    return governance.upsert(truth, promoted, ["o_orderkey"], ["expected"])
+
+
+@plan("""SELECT c_custkey, c_name FROM customer WHERE regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') IN (SELECT 'customer' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier)""")
+def up3_alias_matches(t):
+    """Companies whose name is exactly one that a search has found, letters and digits alone being compared."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    found = t.supplier.select(bare(F.concat(F.lit("CUSTOMER # "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))).alias("key")).distinct()
+    return t.customer.withColumn("key", bare(F.col("c_name"))).join(found, "key", "left_semi").select("c_custkey", "c_name")
