@@ -4,8 +4,8 @@ Every window of ``window`` words holds an anchor, a short word n-gram whose hash
 windows hold equal anchors. Anchors that recur leave few windows that can repeat; these are counted, and the recurring
 ones, taken together where they stand in the first document that has them, are the passages. Passages are dealt over
 shards by that document, and every shard compiles their words into an Aho-Corasick automaton. All documents are streamed
-through the automata, but for those that hold no recurring anchor at all, or none of a shard: these can't hold a window
-of it. A hit places a passage against the document, and what is equal there, word by word, for a window or more is an
+through the automata, but for those without a window that has the hash of one of a shard's: these can't hold a window of
+it. A hit places a passage against the document, and what is equal there, word by word, for a window or more is an
 occurrence; nothing is removed by its hash.
 """
 
@@ -106,15 +106,31 @@ def candidates(text: bytes, known: list[int], window: int) -> np.ndarray:
     return w.windows(window)[place(w.smallest(), np.sort(np.array(known, np.int64)))[0]] if len(w.grams) else np.zeros(0, np.int64)
 
 
-def recurring_windows(held: DataFrame, window: int, path: str) -> DataFrame:
-    """(hash, source): windows that are at two places of ``held(id, text, anchors)`` at least, and the first document
-    that has them. A hash only says what to look for: what is removed was found word by word."""
+def candidate_windows(held: DataFrame, window: int, path: str) -> DataFrame:
+    """(id, hashes): each document's candidates, hashed once for the two steps that read them."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, known in batches_of(batches, 512):
-            yield packed(counted([candidates(t, k, window) for t, k in zip(texts, known)], ids), ["hash", "id", "n"])
+            own = [candidates(t, k, window) for t, k in zip(texts, known)]
+            offsets = np.cumsum([0, *map(len, own)])
+            lists = pa.LargeListArray.from_arrays(offsets, np.concatenate(own)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "hashes"])
+
+    return stored(held.mapInArrow(tidy(each, forget), "id long, hashes array<long>").where(F.size("hashes") > 0), f"{path}/hashes")
+
+
+def recurring_windows(hashed: DataFrame, path: str) -> DataFrame:
+    """(hash, source): windows that are at two places of ``hashed(id, hashes)`` at least, and the first document that
+    has them. A hash only says what to look for: what is removed was found word by word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            own = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            if len(lists):
+                yield packed(counted(own, batch.column(0).to_pylist()), ["hash", "id", "n"])
 
-    found = held.select("id", "text", "anchors").mapInArrow(tidy(count, forget), "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
+    found = hashed.mapInArrow(tidy(count), "hash long, id long, n long").groupBy("hash").agg(F.min("id").alias("source"), F.sum("n").alias("n"))
     return stored(found.where("n > 1").select("hash", "source"), f"{path}/windows")
 
 
@@ -122,12 +138,12 @@ def shard_of(n_shards: int):
     return F.pmod(F.xxhash64("source"), F.lit(n_shards)).alias("shard")
 
 
-def routes(held: DataFrame, parts: DataFrame, n_shards: int, path: str) -> DataFrame:
-    """(id, shard): the shards with a passage that shares an anchor with the document. One that shares none of a shard's
-    anchors can't hold any of its windows, so every document that could is streamed through that shard."""
-    shards = parts.select(F.explode("anchors").alias("anchor"), shard_of(n_shards)).distinct()
-    found = held.select("id", F.explode("anchors").alias("anchor")).join(shards, "anchor")
-    return stored(found.select("id", "shard").distinct(), f"{path}/routes")
+def routes(hashed: DataFrame, windows: DataFrame, n_shards: int, path: str) -> DataFrame:
+    """(id, shard): the shards with a window that has the hash of one of the document's. One that has none of a shard's
+    can't hold any of its windows, so every document that could is streamed through that shard, and no other: where
+    shared anchors alone decided, a large group of near copies went to every shard, each of them in full."""
+    shards = windows.select("hash", shard_of(n_shards))
+    return stored(hashed.select("id", F.explode("hashes").alias("hash")).join(shards, "hash").select("id", "shard").distinct(), f"{path}/routes")
 
 
 def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> DataFrame:
@@ -216,11 +232,13 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     small_batches(spark)
     known = recurring_anchors(docs, window, path)
     held = stored(restrict(docs, known.select("id"), "id").join(known, "id").select("id", "text", "anchors"), f"{path}/held")
-    windows = recurring_windows(held, window, path)
+    hashed = candidate_windows(held, window, path)
+    windows = recurring_windows(hashed, path)
     n_shards = 1 + windows.count() // SHARD_WORDS
     parts = passages(held, windows, window, path)
-    ways = routes(held, parts, n_shards, path)
+    ways = routes(hashed, windows, n_shards, path)
     parts = parts.withColumn("shard", shard_of(n_shards))
+    discard(spark, f"{path}/hashes")
     discard(spark, f"{path}/windows")
     sizes = stored(ways.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).alias("n_copies")), f"{path}/sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
