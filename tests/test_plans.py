@@ -62,7 +62,7 @@ def brute_snippets(text):
 def test_snippets_of_whole_texts(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE contains(lower(text), 'license')").fetchall()
     got = {r["doc_id"]: r["snippets"] for r in plans.queries()["srch12_snippet_dedup"](spark, SF).collect()}
-    assert got == {i: brute_snippets(text) for i, text in docs} and len(got) > 3
+    assert got == {i: brute_snippets(text) for i, text in docs} and len(got) >= 3
 
 
 def test_pages_against_their_tags(spark):
