@@ -71,6 +71,12 @@ def give_back() -> None:
         trim(0)
 
 
+def slices(items: list, size: int) -> Iterator[list]:
+    """The items in order, up to ``size`` at a time."""
+    for at in range(0, len(items), size):
+        yield items[at : at + size]
+
+
 def content_key(*columns: str) -> Column:
     """16 bytes that stand for the values: enough that no two unlike rows of any corpus share them."""
     return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns])))

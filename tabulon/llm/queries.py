@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, chat, exact_dedup, langid, license_scan, mixing, near_dedup, neighbours, phrases, repeats
+from tabulon.llm import bpe, chat, divergence, exact_dedup, langid, license_scan, mixing, near_dedup, neighbours, phrases, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,8 +96,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_phrase_dedup, op4_mixing, op5_jaccard_join, op6_byte_repeats, op7_language_id, op8_chat_format, op8_turn_order, op9_nearest, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_phrase_dedup, op4_mixing, op5_jaccard_join, op6_byte_repeats, op7_language_id, op8_chat_format, op8_turn_order, op9_nearest, op10_exact_dedup, op11_source_divergence)}
 
 
 def lowered_sql(column: str) -> str:
@@ -189,5 +193,26 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM t WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)"""
 
 
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}') AS t FROM documents),
+groups AS (SELECT lang, source FROM d GROUP BY lang, source),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS cl FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCUMENTS}),
+lv AS (SELECT lang, count(*)::HUGEINT AS v, sum(cl) AS nl FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+    1 + ({divergence.SCALE}::HUGEINT * (coalesce(c, 0) + 2)) // (coalesce(n, 0) + 2 * v) AS p,
+    1 + ({divergence.SCALE}::HUGEINT * (cl + 2)) // (nl + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN lv USING (lang) LEFT JOIN counts USING (lang, source, term) LEFT JOIN totals USING (lang, source)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+  ON z.lang = a.lang AND z.source = a.source AND z.item = b.source),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses_sql(), "op3_phrase_dedup": PHRASES_SQL, "op6_byte_repeats": REPEATS_SQL, "op8_chat_format": chat_sql(), "op8_turn_order": turn_order_sql(), "op10_exact_dedup": EXACT_SQL}
+    return {"op2_license_scan": licenses_sql(), "op3_phrase_dedup": PHRASES_SQL, "op6_byte_repeats": REPEATS_SQL, "op8_chat_format": chat_sql(), "op8_turn_order": turn_order_sql(), "op10_exact_dedup": EXACT_SQL, "op11_source_divergence": DIVERGENCE_SQL}
