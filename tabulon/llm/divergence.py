@@ -108,9 +108,7 @@ def divergence_audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, to
     by_lang = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("lang_sources"))
     kept_terms = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     by_lang = by_lang.join(kept_terms, "lang", "left").na.fill(0, ["v", "lang_total"])
-    heavy = F.col("sources") * HEAVY_SHARE >= F.col("lang_sources")
-    light = terms.join(by_lang, "lang").where(~heavy).groupBy("lang").agg(F.count(F.lit(1)).alias("light"))
-    by_lang = stored(by_lang.join(light, "lang", "left").na.fill(0, ["light"]), f"{path}/languages")
+    by_lang = stored(by_lang, f"{path}/languages")
     groups = groups.join(bounded(by_lang), "lang")
     sizes = [F.greatest(F.lit(1), F.ceil(F.col(c) / per)).cast("int").alias(name) for c, per, name in (("lang_sources", source_block, "blocks"), ("v", term_block, "slices"))]
     groups = stored(groups.select("*", *sizes).withColumn("block", F.pmod(F.xxhash64("source"), "blocks").cast("int")), f"{path}/sizes")
@@ -121,12 +119,13 @@ def divergence_audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, to
     telling = rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div (p + q)").alias("value"))
     telling = ranked(telling).where(F.col("rank") <= top_terms)
 
-    postings = rows.select("lang", "block", "blocks", F.pmod(F.xxhash64("term"), "slices").cast("int").alias("slice"), "source", "term", "p", heavy.alias("heavy"), F.lit(0).cast("long").alias("light"))
+    heavy = F.col("sources") * HEAVY_SHARE >= F.col("lang_sources")
+    postings = rows.select("lang", "block", "blocks", F.pmod(F.xxhash64("term"), "slices").cast("int").alias("slice"), "source", "term", "p", heavy.alias("heavy"), F.lit(0).cast("long").alias("terms"))
     slice_no = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     absent = groups.select("*", slice_no.alias("slice")).select(
         "lang", "block", "blocks", "slice", "source", F.lit(None).cast("string").alias("term"),
         F.when(F.col("v") > 0, share(F.lit(0), "total")).otherwise(F.lit(1)).alias("p"), F.lit(False).alias("heavy"),
-        F.when(F.col("slice") == 0, F.col("light")).otherwise(F.lit(0)).alias("light"),
+        F.when(F.col("slice") == 0, F.col("v")).otherwise(F.lit(0)).alias("terms"),
     )
     tiles = postings.unionByName(absent).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
@@ -170,7 +169,7 @@ def _tile(rows: pa.Table) -> pa.Table:
     number = {name: k for k, name in enumerate(names.to_pylist())}
     size = len(number)
     base = apart(p0[:, None], p0[None, :])
-    total = base * int(rows["light"].to_numpy()[at].max(initial=0))
+    total = base * int(rows["terms"].to_numpy()[at].max(initial=0))  # as if no source had any term; what follows corrects it
 
     here = np.flatnonzero(~absent)
     source = np.fromiter(map(number.__getitem__, rows["source"].take(pa.array(here)).to_pylist()), np.int64, len(here))
@@ -181,6 +180,7 @@ def _tile(rows: pa.Table) -> pa.Table:
         column = np.cumsum(np.bincount(term[heavy], minlength=len(coded.dictionary)) > 0) - 1
         dense = np.repeat(p0[:, None], column[-1] + 1, axis=1)
         dense[source[heavy], column[term[heavy]]] = p[heavy]
+        total -= base * dense.shape[1]
         for a in range(first):
             others = slice(a + 1 if i == j else first, size)
             total[a, others] += apart(dense[others], dense[a]).sum(axis=1)
