@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -77,6 +78,16 @@ def slices(items: list, size: int) -> Iterator[list]:
         yield items[at : at + size]
 
 
+def cut(text: bytes, between: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end where ``between`` matches, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = between.search(text, at + size)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
 def content_key(*columns: str) -> Column:
     """16 bytes that stand for the values: enough that no two unlike rows of any corpus share them."""
     return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns])))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import BROADCAST_ROWS, slices, small_batches, stored, tidy, work_dir
+from tabulon.llm.common import BROADCAST_ROWS, cut, slices, small_batches, stored, tidy, work_dir
 
 #: A language keeps the terms that at least so many of its documents have.
 LEAST_DOCUMENTS = 10
@@ -67,16 +67,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from passed_on()
 
 
-def cut(text: bytes, between: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
-    """The text in pieces of about ``size`` bytes that end where ``between`` matches, so that no word is cut."""
-    at = 0
-    while at < len(text):
-        end = between.search(text, at + size)
-        end = end.start() if end else len(text)
-        yield text[at:end]
-        at = end
-
-
 def divergence_audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top_terms: int = TOP_TERMS, source_block: int = SOURCE_BLOCK, term_block: int = TERM_BLOCK) -> DataFrame:
     """``docs(text, lang, source)`` -> ``(lang, source, part, item, value, rank)``.
 

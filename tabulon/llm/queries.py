@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, chat, divergence, exact_dedup, langid, license_scan, mixing, near_dedup, neighbours, phrases, repeats
+from tabulon.llm import bpe, chat, divergence, exact_dedup, langid, license_scan, mixing, near_dedup, neighbours, phrases, repeats, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,8 +100,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_audit(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    found = scoring.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_phrase_dedup, op4_mixing, op5_jaccard_join, op6_byte_repeats, op7_language_id, op8_chat_format, op8_turn_order, op9_nearest, op10_exact_dedup, op11_source_divergence)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_phrase_dedup, op4_mixing, op5_jaccard_join, op6_byte_repeats, op7_language_id, op8_chat_format, op8_turn_order, op9_nearest, op10_exact_dedup, op11_source_divergence, op12_lm_scores)}
 
 
 def lowered_sql(column: str) -> str:
@@ -214,5 +220,28 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 FROM both_parts QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
 
 
+#: crc32 of a number's digits, which DuckDB doesn't have as a function.
+CRC_SQL = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(strlen(id)), lambda i: ascii(id[i + 1])::UBIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [1::UBIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END))"""
+
+SCORES_SQL = f"""
+WITH ids AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+folds AS (SELECT doc_id, id <> '' AND xor({CRC_SQL}, 4294967295::UBIGINT) % 5 = 1 AS held_out FROM ids),
+d AS (SELECT row_number() OVER () AS r, doc_id, held_out, list_filter(regexp_split_to_array({lowered_sql('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents JOIN folds USING (doc_id)),
+t AS (SELECT r, doc_id, held_out, list_concat([' start'], w, [' end']) AS w, unnest(range(2, len(w) + 3)) AS i FROM d),
+g AS (SELECT r, doc_id, held_out, w[i] AS w, w[i - 1] AS v, CASE WHEN i > 2 THEN w[i - 2] END AS u FROM t),
+c1 AS (SELECT w, count(*) AS c1 FROM g WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c2 FROM g WHERE NOT held_out GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c3 FROM g WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
+n AS (SELECT coalesce(sum(c1), 0) AS n, count(*) AS v FROM c1),
+h1 AS (SELECT CASE WHEN w = ' end' THEN ' start' ELSE w END AS v, c1 AS h1 FROM c1),
+h2 AS (SELECT v AS u, w AS v, c2 AS h2 FROM c2),
+p1 AS (SELECT g.*, n.n, coalesce(c1, 0) AS c1, (coalesce(c1, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)) AS p1 FROM g LEFT JOIN c1 USING (w) CROSS JOIN n),
+p2 AS (SELECT p1.*, CASE WHEN h1 IS NULL THEN p1 ELSE (coalesce(c2, 0) + {scoring.PRIOR}::DOUBLE * p1) / (h1 + {scoring.PRIOR}::DOUBLE) END AS p2 FROM p1 LEFT JOIN c2 USING (v, w) LEFT JOIN h1 USING (v)),
+p3 AS (SELECT p2.*, CASE WHEN h2 IS NULL THEN p2 ELSE (coalesce(c3, 0) + {scoring.PRIOR}::DOUBLE * p2) / (h2 + {scoring.PRIOR}::DOUBLE) END AS p3 FROM p2 LEFT JOIN c3 USING (u, v, w) LEFT JOIN h2 USING (u, v))
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, fsum(log10(p1)) AS base_score, fsum(log10(p3)) AS score
+FROM p3 GROUP BY r, doc_id, held_out"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses_sql(), "op3_phrase_dedup": PHRASES_SQL, "op6_byte_repeats": REPEATS_SQL, "op8_chat_format": chat_sql(), "op8_turn_order": turn_order_sql(), "op10_exact_dedup": EXACT_SQL, "op11_source_divergence": DIVERGENCE_SQL}
+    return {"op2_license_scan": licenses_sql(), "op3_phrase_dedup": PHRASES_SQL, "op6_byte_repeats": REPEATS_SQL, "op8_chat_format": chat_sql(), "op8_turn_order": turn_order_sql(), "op10_exact_dedup": EXACT_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_lm_scores": SCORES_SQL}
