@@ -237,8 +237,8 @@ n AS (SELECT coalesce(sum(c1), 0) AS n, count(*) AS v FROM c1),
 h1 AS (SELECT CASE WHEN w = ' end' THEN ' start' ELSE w END AS v, c1 AS h1 FROM c1),
 h2 AS (SELECT v AS u, w AS v, c2 AS h2 FROM c2),
 p1 AS (SELECT g.*, n.n, coalesce(c1, 0) AS c1, (coalesce(c1, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)) AS p1 FROM g LEFT JOIN c1 USING (w) CROSS JOIN n),
-p2 AS (SELECT p1.*, CASE WHEN h1 IS NULL THEN p1 ELSE (coalesce(c2, 0) + {scoring.PRIOR}::DOUBLE * p1) / (h1 + {scoring.PRIOR}::DOUBLE) END AS p2 FROM p1 LEFT JOIN c2 USING (v, w) LEFT JOIN h1 USING (v)),
-p3 AS (SELECT p2.*, CASE WHEN h2 IS NULL THEN p2 ELSE (coalesce(c3, 0) + {scoring.PRIOR}::DOUBLE * p2) / (h2 + {scoring.PRIOR}::DOUBLE) END AS p3 FROM p2 LEFT JOIN c3 USING (u, v, w) LEFT JOIN h2 USING (u, v))
+p2 AS (SELECT p1.*, CASE WHEN h1 IS NULL THEN p1 ELSE (coalesce(c2, 0) + {scoring.PRIORS[0]}::DOUBLE * p1) / (h1 + {scoring.PRIORS[0]}::DOUBLE) END AS p2 FROM p1 LEFT JOIN c2 USING (v, w) LEFT JOIN h1 USING (v)),
+p3 AS (SELECT p2.*, CASE WHEN h2 IS NULL THEN p2 ELSE (coalesce(c3, 0) + {scoring.PRIORS[1]}::DOUBLE * p2) / (h2 + {scoring.PRIORS[1]}::DOUBLE) END AS p3 FROM p2 LEFT JOIN c3 USING (u, v, w) LEFT JOIN h2 USING (u, v))
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, fsum(log10(p1)) AS base_score, fsum(log10(p3)) AS score
 FROM p3 GROUP BY r, doc_id, held_out"""
 

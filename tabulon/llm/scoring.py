@@ -1,9 +1,9 @@
 """Log-probabilities of texts by a backoff automaton over the n-grams of training texts.
 
 The model has words, pairs and triples, each smoothed towards the next shorter one (Dirichlet prior): of a history h and
-a word w, p(w | h) = (c(hw) + PRIOR * p(w | h')) / (c(h) + PRIOR), where h' is h without its first word; a word alone has
-(c + 0.5) / (N + 0.5 * (V + 1)). As an automaton, histories that training has seen are states, n-grams that it has seen
-are arcs, and for any other word a state has a failure arc of weight PRIOR / (c(h) + PRIOR) to the state of h'. No n-gram
+a word w, p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), where h' is h without its first word and m one of PRIORS; a word
+alone has (c + 0.5) / (N + 0.5 * (V + 1)). As an automaton, histories that training has seen are states, n-grams that it
+has seen are arcs, and for any other word a state has a failure arc of weight m / (c(h) + m) to the state of h'. No n-gram
 is left out, so the model grows with the corpus: a task compiles the part of the automaton that its chunk of texts can
 reach, from counts over the whole corpus (see ``grams``), and reads each text once from left to right.
 
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tabulon.llm import grams
 from tabulon.llm.common import cut, small_batches, stored, tidy, work_dir
 
-PRIOR = 2.0
+#: Strength of the priors of pairs and of triples, in tokens. Large: most texts don't repeat the phrases of others.
+PRIORS = (1000.0, 8.0)
 #: What stands for the start and the end of a text; no word holds a space.
 START, END = b" start", b" end"
 
@@ -120,21 +121,22 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
 class Automaton:
     """The part of the model that a chunk can reach. State 0 has no history, then come words, then pairs."""
 
-    def __init__(self, found: Ngrams, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, known: int, prior: float):
+    def __init__(self, found: Ngrams, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, known: int, priors: tuple[float, float]):
         size = len(found.words)
         if START in found.words:  # every training text starts and ends once
             c1[found.words.index(START)] = c1[found.words.index(END)] if END in found.words else 0
         self.size = size
         self.alone = (c1 + 0.5) / (total + 0.5 * (known + 1))
-        p2 = (c2 + prior * self.alone[found.right]) / (c1[found.left] + prior)
-        p3 = (c3 + prior * p2[found.lower]) / (c2[found.context] + prior)
+        m2, m3 = priors
+        p2 = (c2 + m2 * self.alone[found.right]) / (c1[found.left] + m2)
+        p3 = (c3 + m3 * p2[found.lower]) / (c2[found.context] + m3)
         pairs, triples = np.flatnonzero(c2), np.flatnonzero(c3)
         word_state, pair_state = np.where(c1 > 0, 1 + np.arange(size), 0), 1 + size + np.arange(len(c2))
         states = np.concatenate([np.arange(size), (1 + found.left[pairs]) * size + found.right[pairs], (1 + size + found.context[triples]) * size + found.last[triples]])
         self.arcs = dict(zip(states.tolist(), range(len(states))))
         self.weight = np.log10(np.concatenate([self.alone, p2[pairs], p3[triples]])).tolist()
         self.target = np.concatenate([word_state, pair_state[pairs], pair_state[found.lower[triples]]]).tolist()
-        self.back = np.log10(np.concatenate([[1.0], prior / (c1 + prior), prior / (c2 + prior)])).tolist()
+        self.back = np.log10(np.concatenate([[1.0], m2 / (c1 + m2), m3 / (c2 + m3)])).tolist()
         self.failure = np.concatenate([np.zeros(1 + size, np.int64), word_state[found.right]]).tolist()
         self.word_state = word_state.tolist()
         self.pair_state = np.where(c2 > 0, pair_state, word_state[found.right]).tolist()
@@ -150,7 +152,7 @@ class Automaton:
             state = target[arc]
 
 
-def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known: int, prior: float) -> pa.Table:
+def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known: int, priors: tuple[float, float]) -> pa.Table:
     """Scores of the pieces of one chunk."""
     row = next(_rows(chunks))
     found = Ngrams(row)
@@ -159,7 +161,7 @@ def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known:
         by_size[size - 1][shard] = blob
     c1, c2, c3 = (grams.received(keys, got, shards) for keys, got in zip(found.keys, by_size))
     seen = (c1 > 0).astype(np.int64)
-    model = Automaton(found, c1, c2, c3, total, known, prior)
+    model = Automaton(found, c1, c2, c3, total, known, priors)
     alone = np.log10(model.alone)
     base, score, n_known = [], [], []
     for start, lead, n in zip(found.starts.tolist(), found.lead.tolist(), found.n.tolist()):
@@ -171,7 +173,7 @@ def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known:
     return pa.table({"row": row["row"], "doc_id": pa.array(row["doc_id"], pa.int64()), "train": pa.array(row["train"], pa.bool_()), "n": pa.array(row["n"], pa.int64()), "n_known": n_known, "base": base, "score": score})
 
 
-def score_texts(docs: DataFrame, train: Column, prior: float = PRIOR, chunk_tokens: int = grams.CHUNK_TOKENS, shard_tokens: int = grams.SHARD_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, priors: tuple[float, float] = PRIORS, chunk_tokens: int = grams.CHUNK_TOKENS, shard_tokens: int = grams.SHARD_TOKENS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, train, n_tokens, n_known, train_tokens, base_score, score)``, log10 throughout;
     the model learns from the rows where ``train`` holds."""
     spark = docs.sparkSession
@@ -185,6 +187,6 @@ def score_texts(docs: DataFrame, train: Column, prior: float = PRIOR, chunk_toke
     answers = grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT))
     answers = stored(answers, f"{path}/totals")
     known = answers.where("size = 1").agg(F.sum("known")).first()[0] or 0
-    pieces = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _score(c, a, shards, total, known, prior), "row long, doc_id long, train boolean, n long, n_known long, base double, score double")
+    pieces = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _score(c, a, shards, total, known, priors), "row long, doc_id long, train boolean, n long, n_known long, base double, score double")
     whole = pieces.groupBy("row", "doc_id", "train").agg(*[F.sum(c).alias(c) for c in ("n", "n_known", "base", "score")])
     return whole.select("doc_id", "train", F.col("n").alias("n_tokens"), "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

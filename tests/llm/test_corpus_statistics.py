@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import divergence, queries
+from tabulon.llm import divergence, grams, queries, scoring
 from tabulon.llm.common import cut
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -58,3 +59,56 @@ def test_divergence_of_nothing_and_of_long_texts(spark, monkeypatch):
     assert set(as_rows(divergence.divergence_audit(spark.createDataFrame(rows, DOCS)))) == said_by(queries.DIVERGENCE_SQL, rows)
     pieces = list(cut(b"abc def  x" * 50, divergence._BETWEEN, 10))
     assert b"".join(pieces) == b"abc def  x" * 50 and all(p[:1] == b" " for p in pieces[1:]) and len(pieces) > 30
+
+
+def rounded(rows):
+    return sorted(tuple((k, round(v, 6) if isinstance(v, float) else v) for k, v in r) for r in rows)
+
+
+def scored(docs, **sizes):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    found = scoring.score_texts(docs, ~held_out, **sizes)
+    return as_rows(found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 40, "shard_tokens": 300}])
+def test_scores_of_odd_texts_in_small_and_large_chunks(spark, sizes):
+    rows = noisy(5, 150, 2, words=30, most=90)
+    rows += [(200, "A b\x0bC\x0c a B c  d a b c", "en", "s"), (None, "a b c", "en", "s"), (201, " \n", "en", "s"), (7, "w unheard of", "en", "s"), (3, "repeated id", "en", "s"), (202, "one two three " * 80, "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"chunk": F.lit("x"), "n": F.lit(1), "train": F.lit("no")}).repartition(3)
+    found = scored(docs, **sizes)
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64", "text": "string"})
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        said = con.execute(queries.SCORES_SQL.replace("JOIN folds USING (doc_id)", "JOIN folds ON folds.doc_id IS NOT DISTINCT FROM documents.doc_id").replace("row_number() OVER () AS r, doc_id", "row_number() OVER () AS r, documents.doc_id"))
+        names = [c[0] for c in said.description]
+        want = [tuple(sorted(zip(names, r))) for r in said.fetchall()]
+    key = lambda r: str(r)
+    assert len(found) == len(rows) and sorted(rounded(found), key=key) == sorted(rounded(want), key=key)
+
+
+def test_scores_are_probabilities_and_better_than_words_alone(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    rng = random.Random(2)
+    texts = []
+    for i in range(400):
+        at, said = rng.randrange(4), []
+        for _ in range(30):
+            at = (at + rng.choice([1, 1, 1, 2])) % 4
+            said.append(words[at])
+        texts.append((i, " ".join(said), "en", "s"))
+    found = [dict(r) for r in scored(spark.createDataFrame(texts, DOCS))]
+    held = [r for r in found if r["held_out"]]
+    assert len(held) > 40 and all(r["score"] > r["base_score"] for r in held)
+
+
+def test_no_documents_and_nothing_to_learn_from(spark):
+    assert scored(spark.createDataFrame([], DOCS)) == []
+    one = scoring.score_texts(spark.createDataFrame([(1, "a b", "x", "y")], DOCS), F.lit(False)).first()
+    assert (one.n_tokens, one.n_known, one.train_tokens, one.base_score, one.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(1)
+    for values in (np.zeros(0, np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64)):
+        assert (grams.unpacked(grams.packed(values)) == values).all()
