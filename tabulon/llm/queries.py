@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, chat, divergence, exact_dedup, langid, license_scan, mixing, near_dedup, neighbours, phrases, repeats, scoring
+from tabulon.llm import bpe, chat, collocations, divergence, exact_dedup, langid, license_scan, mixing, near_dedup, neighbours, phrases, repeats, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,8 +106,12 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_phrase_dedup, op4_mixing, op5_jaccard_join, op6_byte_repeats, op7_language_id, op8_chat_format, op8_turn_order, op9_nearest, op10_exact_dedup, op11_source_divergence, op12_lm_scores)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_phrase_dedup, op4_mixing, op5_jaccard_join, op6_byte_repeats, op7_language_id, op8_chat_format, op8_turn_order, op9_nearest, op10_exact_dedup, op11_source_divergence, op12_lm_scores, op13_collocations)}
 
 
 def lowered_sql(column: str) -> str:
@@ -243,5 +247,23 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_kno
 FROM p3 GROUP BY r, doc_id, held_out"""
 
 
+COLLOCATIONS_SQL = f"""
+WITH pieces AS (SELECT coalesce(lang, '{collocations.UNKNOWN_LANGUAGE}') AS lang, unnest(regexp_split_to_array({lowered_sql('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+phrases AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, w[i:i + m - 1] AS said FROM places, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, any_value(said) AS said, count(*)::HUGEINT AS a FROM phrases GROUP BY lang, m, phrase HAVING count(*) >= {collocations.LEAST}),
+candidates AS (SELECT * FROM f WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, {collocations.SCALE}::HUGEINT * c.a // (x.a + y.a) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.said[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.said[c.k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(said[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m)) AS i FROM candidates WHERE m > 2), (VALUES (2), (3)) AS sizes(s) WHERE s < m AND i + s - 1 <= m GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {collocations.INSIDE_PERCENT} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= {collocations.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses_sql(), "op3_phrase_dedup": PHRASES_SQL, "op6_byte_repeats": REPEATS_SQL, "op8_chat_format": chat_sql(), "op8_turn_order": turn_order_sql(), "op10_exact_dedup": EXACT_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_lm_scores": SCORES_SQL}
+    return {"op2_license_scan": licenses_sql(), "op3_phrase_dedup": PHRASES_SQL, "op6_byte_repeats": REPEATS_SQL, "op8_chat_format": chat_sql(), "op8_turn_order": turn_order_sql(), "op10_exact_dedup": EXACT_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_lm_scores": SCORES_SQL, "op13_collocations": COLLOCATIONS_SQL}

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import divergence, grams, queries, scoring
+from tabulon.llm import collocations, divergence, grams, queries, scoring
 from tabulon.llm.common import cut
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -112,3 +112,37 @@ def test_packed_counts():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64)):
         assert (grams.unpacked(grams.packed(values)) == values).all()
+
+
+def spoken(seed, n):
+    """Texts of a small vocabulary in which some phrases are fixed."""
+    rng = random.Random(seed)
+    fixed = ["new york city", "At least", "in spite of it", "ha ha ha ha ha", "Çok güzel"]
+    out = []
+    for i in range(n):
+        said = [rng.choice(fixed) if rng.random() < 0.3 else rng.choice("abcdefgHIJ") for _ in range(rng.choice([0, 1, 4, 60]))]
+        out.append((i % 50, rng.choice([None, "", *[rng.choice([" ", " ", "\t"]).join(said).replace("J ", rng.choice(["J, ", "J.", "J \x0b", "J\xa0"]))] * 8]), rng.choice(["en", "de", "de", None, ""]), "s"))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 120, "shard_tokens": 100, "places": 25}])
+def test_collocations_in_small_and_large_tasks(spark, sizes):
+    rows = spoken(3, 700) + [(1, "only once here. twice", "fr", "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"n": F.lit("x"), "phrase": F.lit(1), "part": F.lit(None)}).repartition(3)
+    found = as_rows(collocations.collocations(docs, **sizes))
+    assert len(found) == len(set(found)) > 100 and set(found) == said_by(queries.COLLOCATIONS_SQL, rows)
+    assert {dict(r)["phrase"] for r in found} >= {"new york city", "in spite of it"}
+
+
+def test_collocations_of_one_text_without_end_and_of_nothing(spark):
+    rows = [(1, "x y z " * 500_000 + "q. x y", "en", "s"), (2, "x y", None, "s")]
+    found = as_rows(collocations.collocations(spark.createDataFrame(rows, DOCS), chunk_tokens=1000))
+    assert found and set(found) == said_by(queries.COLLOCATIONS_SQL, rows)
+    assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_the_best_phrases_alone(spark):
+    rows = spoken(4, 500)
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r for r in as_rows(collocations.collocations(docs))}
+    assert set(as_rows(collocations.collocations(docs, top=7))) == {r for r in found if dict(r)["rank"] <= 7}
