@@ -144,8 +144,7 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
         for row in batch.to_pylist():
             found = Places(row)
             for size, (keys, own) in enumerate(zip(found.keys, found.own), 1):
-                columns = zip(*grams.sent(row["chunk"], size, keys, own, shards))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "size", "shard", "keys", "n"])
+                yield grams.sent(row["chunk"], size, keys, own, shards)
 
 
 def _project(chunks: pa.Table, answers: pa.Table, shards: int, least: int, places: int) -> pa.Table:

@@ -9,6 +9,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -100,16 +101,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    spark, schema = df.sparkSession, df.schema
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df  # while anything remembers how it was made, its shuffle files stay
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Has the driver collect its garbage: Spark deletes the shuffle files of a finished step once the driver has
-    forgotten the step, which without memory pressure it would not for a long time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    forgotten the step, which without memory pressure it would not for a long time. What the first round frees holds
+    what the second finds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -69,13 +69,15 @@ def _ordered(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def sent(chunk: int, size: int, keys: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple]:
-    """Rows for SENT: the distinct n-grams of ``size`` words of a chunk and how often it counts each."""
+def sent(chunk: int, size: int, keys: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rows of SENT: the distinct n-grams of ``size`` words of a chunk and how often it counts each."""
     order, start = _ordered(keys, shards)
     key, n = keys[order, 0], n[order]
-    for shard in np.flatnonzero(np.diff(start)).tolist():
-        own = slice(start[shard], start[shard + 1])
-        yield chunk, size, shard, packed(np.diff(key[own], prepend=np.uint64(0))), packed(n[own])
+    to = np.flatnonzero(np.diff(start))
+    own = [slice(start[shard], start[shard + 1]) for shard in to.tolist()]
+    blobs = [[packed(np.diff(key[x], prepend=np.uint64(0))) for x in own], [packed(n[x]) for x in own]]
+    constants = [pa.array([chunk] * len(to), pa.int64()), pa.array([size] * len(to), pa.int32()), pa.array(to, pa.int32())]
+    return pa.RecordBatch.from_arrays([*constants, *[pa.array(x, pa.binary()) for x in blobs]], ["chunk", "size", "shard", "keys", "n"])
 
 
 def received(keys: np.ndarray, answers: dict[int, bytes], shards: int) -> np.ndarray:

@@ -104,18 +104,12 @@ class Ngrams:
         self.own = [np.bincount(at[counted[places]], minlength=k) for at, places, k in ((self.tokens, slice(None), size), (which, at2, len(pairs)), (which3, at3, len(triples)))]
 
 
-def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
-    yield from batch.to_pylist()
-
-
 def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    names = ["chunk", "size", "shard", "keys", "n"]
     for batch in batches:
-        for row in _rows(batch):
+        for row in batch.to_pylist():
             found = Ngrams(row)
             for size, (keys, own) in enumerate(zip(found.keys, found.own), 1):
-                columns = zip(*grams.sent(row["chunk"], size, keys, own, shards))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
+                yield grams.sent(row["chunk"], size, keys, own, shards)
 
 
 class Automaton:
@@ -154,7 +148,7 @@ class Automaton:
 
 def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known: int, priors: tuple[float, float]) -> pa.Table:
     """Scores of the pieces of one chunk."""
-    row = next(_rows(chunks))
+    row = chunks.to_pylist()[0]
     found = Ngrams(row)
     by_size: list[dict[int, bytes]] = [{}, {}, {}]
     for size, shard, blob in zip(*(answers[c].to_pylist() for c in ("size", "shard", "totals"))):
@@ -184,8 +178,7 @@ def score_texts(docs: DataFrame, train: Column, priors: tuple[float, float] = PR
     each = F.explode(F.arrays_zip("train", "n")).alias("piece")
     sums = chunks.select(each).agg(F.sum("piece.n"), F.sum(F.when(F.col("piece.train"), F.col("piece.n")))).first()
     shards, total = grams.shards_for(sums[0] or 0, shard_tokens), sums[1] or 0
-    answers = grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT))
-    answers = stored(answers, f"{path}/totals")
+    answers = stored(grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT)), f"{path}/totals")
     known = answers.where("size = 1").agg(F.sum("known")).first()[0] or 0
     pieces = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _score(c, a, shards, total, known, priors), "row long, doc_id long, train boolean, n long, n_known long, base double, score double")
     whole = pieces.groupBy("row", "doc_id", "train").agg(*[F.sum(c).alias(c) for c in ("n", "n_known", "base", "score")])

@@ -127,7 +127,7 @@ def spoken(seed, n):
 
 @pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 120, "shard_tokens": 100, "places": 25}])
 def test_collocations_in_small_and_large_tasks(spark, sizes):
-    rows = spoken(3, 700) + [(1, "only once here. twice", "fr", "s")]
+    rows = spoken(3, 3000) + [(1, "only once here. twice", "fr", "s")]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"n": F.lit("x"), "phrase": F.lit(1), "part": F.lit(None)}).repartition(3)
     found = as_rows(collocations.collocations(docs, **sizes))
     assert len(found) == len(set(found)) > 100 and set(found) == said_by(queries.COLLOCATIONS_SQL, rows)
@@ -135,7 +135,7 @@ def test_collocations_in_small_and_large_tasks(spark, sizes):
 
 
 def test_collocations_of_one_text_without_end_and_of_nothing(spark):
-    rows = [(1, "x y z " * 500_000 + "q. x y", "en", "s"), (2, "x y", None, "s")]
+    rows = [(1, f"{'x' * 1000} y z " * 1200 + "q. x y", "en", "s"), (2, "x y", None, "s")]
     found = as_rows(collocations.collocations(spark.createDataFrame(rows, DOCS), chunk_tokens=1000))
     assert found and set(found) == said_by(queries.COLLOCATIONS_SQL, rows)
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
