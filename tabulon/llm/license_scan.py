@@ -1,7 +1,9 @@
 """License scans: an exact containment join of text blocks with license templates, with DataFrame functions alone.
 
-A block is a line of a document, or, for texts wrapped over lines, any run of WINDOW times a template's words within a
-paragraph. A template is found in a block if the block holds at least ``threshold`` of the template's distinct words.
+A block is any run of WINDOW times a template's words within a paragraph (or the whole of a shorter paragraph), whether
+its lines are wrapped or one very long. A template is found in a block if the block holds at least ``threshold`` of the
+template's distinct words, and all of the words that tell its licence from others. A line that is no longer than that is
+compared as a set of words; what is longer or wrapped, around its rare words.
 Template words are ordered by how many texts of the whole table hold them, rarest first.
 A block that shares the needed number of words shares one of the rarest of either side (prefix filter), has enough
 template words at all (length filter), and has enough of them left from the shared word on (positional filter); what
@@ -28,17 +30,18 @@ WINDOW = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that count wherever their words stand consecutively, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Opening sentences of common licences, and the labels of blocks that contain them.
+#: Opening sentences of common licences, the labels of blocks that contain them, and the words without which a block
+#: may be of another licence.
 TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl", "this work is licensed under the gnu general public license", "gnu"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache 2"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby charge"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
 )
 
 
@@ -70,17 +73,18 @@ def needed(template: tuple[str, ...], threshold: float) -> int:
 
 @dataclass(frozen=True)
 class Side:
-    """A template's distinct words, how many of them a block needs, and the most words of a block across lines."""
+    """A template's distinct words, how many of them a block needs, the most words of a block, and the telling words."""
 
     label: str
     words: tuple[str, ...]
     need: int
     window: int
+    telling: tuple[str, ...]
 
 
 def sides(templates, threshold: float) -> list[Side]:
-    sets = [(label, tuple(sorted(set(text.split()))), WINDOW * len(text.split())) for label, text in templates]
-    return [Side(label, own, needed(own, threshold), window) for label, own, window in sets]
+    sets = [(label, tuple(sorted(set(text.split()))), WINDOW * len(text.split()), tuple(telling.split())) for label, text, telling in templates]
+    return [Side(label, own, needed(own, threshold), window, telling) for label, own, window, telling in sets]
 
 
 def scanned(docs: DataFrame, phrases: dict[str, str], templates: list[Side]) -> DataFrame:
@@ -105,18 +109,21 @@ def scanned(docs: DataFrame, phrases: dict[str, str], templates: list[Side]) ->
 
 
 def lines(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(content, held): a row for each line that holds a template word; held: the distinct ones."""
+    """(content, n, held): a row for each line that holds a template word; n: its words; held: the distinct ones."""
     each = texts.select("content", F.explode(F.split("lower", "\n")).alias("line"))
-    return each.select("content", F.array_intersect(words(F.col("line")), F.array(*map(F.lit, vocabulary))).alias("held")).where(F.size("held") > 0)
+    each = each.select("content", words(F.col("line")).alias("words"))
+    return each.select("content", F.size("words").alias("n"), F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("held")).where(F.size("held") > 0)
 
 
-def passages(texts: DataFrame, rare: Column, reach: int) -> DataFrame:
-    """(content, word, at, near): each rare word in a paragraph of several lines, and the words around it.
+def passages(texts: DataFrame, rare: Column, short: int, reach: int) -> DataFrame:
+    """(content, word, at, near): each rare word in a paragraph of several lines or over ``short`` words, and the words
+    around it.
 
     near: the word with up to ``reach`` - 1 words before and after it; at: its index there. A line without a word ends a paragraph.
     """
-    each = texts.select("content", F.explode(F.split("lower", BLANK)).alias("part")).where(F.contains("part", F.lit("\n")))
-    each = each.select("content", words(F.col("part")).alias("words"))
+    each = texts.select("content", F.explode(F.split("lower", BLANK)).alias("part"))
+    each = each.select("content", words(F.col("part")).alias("words"), F.contains("part", F.lit("\n")).alias("wrapped"))
+    each = each.where(F.col("wrapped") | (F.size("words") > short))
     begin = lambda i: F.greatest(i - (reach - 1), F.lit(0))
     spot = lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), (i - begin(i)).alias("at"), F.slice("words", begin(i) + 1, i - begin(i) + reach).alias("near")))
     return each.select("content", F.explode(F.filter(F.transform("words", spot), lambda s: s.isNotNull())).alias("s")).select("content", "s.*")
@@ -133,25 +140,29 @@ def joined_blocks(found: DataFrame, templates: list[Side]) -> DataFrame:
     prefixes = []
     for s in templates:
         mine = sorted(s.words, key=order.get)
-        prefixes += [(s.label, mine, s.need, s.window, w, i) for i, w in enumerate(mine[: len(mine) - s.need + 1])]
-    values = ", ".join(f"('{label}', array({', '.join(map(repr, mine))}), {need}, {window}, '{w}', {i})" for label, mine, need, window, w, i in prefixes)
-    side = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(label, template, need, window, word, first)"))
-    rare = F.array(*map(F.lit, sorted({p[4] for p in prefixes})))
+        prefixes += [(s.label, mine, s.need, s.window, s.telling, w, i) for i, w in enumerate(mine[: len(mine) - s.need + 1])]
+    listed = lambda own: f"CAST(array({', '.join(map(repr, own))}) AS array<string>)"
+    values = ", ".join(f"('{label}', {listed(mine)}, {need}, {window}, {listed(telling)}, '{w}', {i})" for label, mine, need, window, telling, w, i in prefixes)
+    side = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(label, template, need, window, telling, word, first)"))
+    rare = F.array(*map(F.lit, sorted({p[5] for p in prefixes})))
+    tells = lambda held: F.size(F.array_except("telling", held)) == 0
     total = F.size("template")
     texts = found.where("lower IS NOT NULL").select("content", "lower").dropDuplicates(["content"])
 
     ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     sorted_held = F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w), w.alias("w")))), lambda s: s["w"])
     each = lines(texts, vocabulary).where((F.size("held") >= min(s.need for s in templates)) & F.arrays_overlap("held", rare))
-    joined = each.select("content", sorted_held.alias("held")).select("content", "held", F.posexplode("held").alias("pos", "word")).join(side, "word")
+    joined = each.select("content", "n", sorted_held.alias("held")).select("content", "n", "held", F.posexplode("held").alias("pos", "word")).join(side, "word")
     size = F.size("held")
+    joined = joined.where((F.col("n") <= F.col("window")) & tells(F.col("held")))
     joined = joined.where((size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (1 + F.least(total - F.col("first") - 1, size - F.col("pos") - 1) >= F.col("need")))
     within = joined.select("content", "label", "need", total.alias("total"), F.size(F.array_intersect("held", "template")).alias("shared"))
 
-    near = passages(texts, rare, max(s.window for s in templates)).join(side, "word")
-    near = near.where(F.size(F.array_intersect("near", "template")) >= F.col("need"))
+    near = passages(texts, rare, min(s.window for s in templates), max(s.window for s in templates)).join(side, "word")
+    near = near.where((F.size(F.array_intersect("near", "template")) >= F.col("need")) & tells(F.col("near")))
     starts = F.sequence(F.greatest(F.col("at") - F.col("window") + 1, F.lit(0)), F.col("at"))
-    shared = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s + 1, F.col("window")), "template"))))
+    block = lambda s: F.slice("near", s + 1, F.col("window"))
+    shared = F.array_max(F.transform(starts, lambda s: F.when(tells(block(s)), F.size(F.array_intersect(block(s), "template"))).otherwise(0)))
     across = near.select("content", "label", "need", total.alias("total"), shared.alias("shared"))
     verified = within.union(across).where("shared >= need").select("content", "label", (F.col("shared") / F.col("total")).alias("containment"))
     return verified.groupBy("content", "label").agg(F.max("containment").alias("containment"))

@@ -123,14 +123,15 @@ def licenses_sql() -> str:
     for phrase, label in license_scan.PHRASES.items():
         same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(), 1))
         hits.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'label': '{label}', 'place': i}})")
-    sides = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in license_scan.TEMPLATES)
+    sides = ", ".join(f"('{x.label}', {list(x.words)!r}, {x.need}, {x.window}, {list(x.telling)!r})" for x in license_scan.sides(license_scan.TEMPLATES, 0.8))
     return f"""
 WITH d AS (SELECT doc_id, {lowered_sql('text')} AS t FROM documents),
 b AS (SELECT doc_id, regexp_extract_all(t, '{license_scan.WORD}') AS w FROM d),
 h AS (SELECT doc_id, len(w) AS n_words, list_concat({hits[0]}, list_concat({hits[1]}, list_concat({hits[2]}, {hits[3]}))) AS hits FROM b),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{license_scan.WORD}')) AS held FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-sides(label, template) AS (VALUES {sides}),
-m AS (SELECT doc_id, label, max(len(list_intersect(held, template)) / len(template)) AS c FROM lines, sides WHERE len(list_intersect(held, template)) >= ceil(0.8 * len(template) - 1e-9) GROUP BY doc_id, label),
+paragraphs AS (SELECT doc_id, regexp_extract_all(part, '{license_scan.WORD}') AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '{license_scan.BLANK}')) AS part FROM d)),
+sides(label, template, need, width, telling) AS (VALUES {sides}),
+blocks AS (SELECT doc_id, label, template, need, telling, list_distinct(w[i:i + width - 1]) AS held FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(template, w[i]))) AS i FROM paragraphs, sides WHERE len(list_intersect(list_distinct(w), template)) >= need)),
+m AS (SELECT doc_id, label, max(len(list_intersect(held, template)) / len(template)) AS c FROM blocks WHERE len(list_intersect(held, template)) >= need AND len(list_intersect(held, telling)) = len(telling) GROUP BY doc_id, label),
 g AS (SELECT doc_id, list(label) AS more, max(c) AS c FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base,
   CAST(list_min(list_transform(hits, lambda x: x.place)) AS BIGINT) AS first_word,

@@ -131,20 +131,34 @@ def brute_templates(text, threshold=0.8):
         parts[-1] += found
         if not found:
             parts.append([])
-    for label, template in license_scan.TEMPLATES:
+    for label, template, telling in license_scan.TEMPLATES:
         n, wanted = license_scan.WINDOW * len(template.split()), set(template.split())
-        held = [pattern.findall(line) for line in lower.split("\n")] + [p[i : i + n] for p in parts for i in range(len(p))]
-        c = max(len(wanted & set(h)) for h in held) / len(wanted)
+        held = [p[i : i + n] for p in parts for i in range(len(p)) if set(telling.split()) <= set(p[i : i + n])]
+        c = max((len(wanted & set(h)) for h in held), default=0) / len(wanted)
         if c >= threshold - 1e-9:
             best[label] = max(c, best.get(label, 0))
     return best
 
 
+def test_licenses_that_look_like_others(spark):
+    said = {
+        "This software is released under the Apache License": "apache",
+        "released under the GPL license, version 3": "",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY 4.0": "cc-by",
+        "released things under the " + "other " * 3000 + "license of the mit": "",
+        "x " * 3000 + "released under the MIT license " + "y " * 3000: "mit",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+    }
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == dict(enumerate(said.values()))
+
+
 def test_license_templates_wrapped_over_lines(spark):
-    words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()}) + ["other"] * 20
+    words = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()}) + ["other"] * 20
     texts = list(WRAPPED.values()) + ["Some words before\n" + t.replace("\n", "\n\n") for t in WRAPPED.values()]
-    texts += ["\n".join(t.split()) for _, t in license_scan.TEMPLATES] + [None, "", "\n\n", "Released under\n" + "other " * 8 + "the license"]
-    for _, t in license_scan.TEMPLATES * 8:
+    texts += ["\n".join(t.split()) for _, t, _ in license_scan.TEMPLATES] + [None, "", "\n\n", "Released under\n" + "other " * 8 + "the license"]
+    for _, t, _ in license_scan.TEMPLATES * 8:
         mixed = t.split()
         for _ in range(draw.randrange(12)):
             mixed.insert(draw.randrange(len(mixed)), draw.choice(words))
