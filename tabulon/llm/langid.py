@@ -167,8 +167,9 @@ def train(labelled: DataFrame, chars_per_language: int = 2_000_000, most_chars:
     """Fits the model on ``labelled(text, lang)``.
 
     The fit reads a sample, bounded by its parameters: texts of about ``chars_per_language`` characters of each label,
-    and ``most_chars`` of all, chosen by a hash of the text; equal texts of a label teach once. Every word and n-gram of
-    the sample becomes an entry, so the model has no more of them than the sample. Rows with a null text or label teach
+    and ``most_chars`` of all, chosen by a hash of the text; equal texts of a label teach once. A label with letters of
+    which no text was chosen has its text of the smallest hash, cut to the bound. Every word and n-gram of the sample
+    becomes an entry, so the model has no more of them than the sample. Rows with a null text or label teach
     nothing; where no row is left the model answers ``und``.
     """
     spark = labelled.sparkSession
@@ -183,7 +184,17 @@ def train(labelled: DataFrame, chars_per_language: int = 2_000_000, most_chars:
     chosen = rows.join(F.broadcast(share) if n <= BROADCAST_ROWS // 10 else share, "lang")
     chosen = chosen.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang").dropDuplicates()
     tallies = chosen.mapInArrow(tidy(count_entries), "lang string, is_word boolean, entry string, n long")
-    found = tallies.groupBy("is_word", "entry", "lang").agg(F.sum("n").alias("n")).toArrow()
+    summed = ["is_word", "entry", "lang"]
+    found = tallies.groupBy(*summed).agg(F.sum("n").alias("n")).toArrow()
+    left = sizes.select("lang").join(spark.createDataFrame(found.select(["lang"]).group_by("lang").aggregate([])), "lang", "left_anti")
+    if not left.isEmpty():
+        rest = rows.join(F.broadcast(left) if n <= BROADCAST_ROWS // 10 else left, "lang").where(F.col("text").rlike(r"\p{L}"))
+        bound = max(1, int(min(chars_per_language, most_chars / n)))
+        # From its first letter on, so that what is cut to the bound teaches something.
+        lettered = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, bound)
+        rest = rest.groupBy("lang").agg(F.min_by(lettered, F.xxhash64("text")).alias("text")).select("text", "lang")
+        more = rest.mapInArrow(tidy(count_entries), tallies.schema).groupBy(*summed).agg(F.sum("n").alias("n")).toArrow()
+        found = pa.concat_tables([found, more])
     languages = sorted(found.column("lang").unique().to_pylist())
     code = pc.index_in(found.column("lang"), value_set=pa.array(languages, pa.string())).to_numpy()
     is_word = found.column("is_word").to_numpy()

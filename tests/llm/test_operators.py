@@ -556,3 +556,12 @@ def test_queries_by_brute_force(spark):
     for r in queries.op1_bpe(spark, SF).collect():
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids[r["doc_id"]]), hashlib.sha256(",".join(map(str, ids[r["doc_id"]])).encode()).hexdigest())
     assert sorted(map(tuple, queries.op5_jaccard_join(spark, SF).collect())) == brute_links([tuple(r) for r in rows])
+
+
+def test_no_language_is_lost_in_the_sample(spark):
+    german = [(f"Der Hund und die Katze schlafen {i} " * 90_000, "de") for i in range(3)]
+    english = [(f"the dog and the cat sleep {i}", "en") for i in range(50)]
+    odd = [("1 2 3", "none"), (None, "none"), ("... " * 10 + "un chien", "fr")]
+    model = langid.train(spark.createDataFrame(german + english + odd, "text string, lang string"), chars_per_language=1000)
+    assert model.languages == ["de", "en", "fr"]
+    assert model.predict(["der Hund schläft", "the cat", "chien", "12"])[0] == ["de", "en", "fr", "und"]
