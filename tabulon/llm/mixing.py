@@ -129,10 +129,12 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = 0.97, max_p
 def some_copies(copies: DataFrame, out: list[str]) -> DataFrame:
     """The first ``end_copies`` of the rows of each source's last key. Rows that are alike in every column are counted
     before they are shuffled, so that many copies are a few rows for the task that numbers them."""
-    alike = copies.groupBy(*out, "end_copies").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("mix_source").orderBy(F.xxhash64(*out)).rowsBetween(Window.unboundedPreceding, -1)
+    # As text, since maps can't be grouped by.
+    alike = copies.select("mix_source", "end_copies", F.to_json(F.struct(*out)).alias("mix_text"), F.struct(*out).alias("mix_out"))
+    alike = alike.groupBy("mix_source", "end_copies", "mix_text").agg(F.first("mix_out").alias("mix_out"), F.count("*").alias("n"))
+    before = Window.partitionBy("mix_source").orderBy(F.xxhash64("mix_text")).rowsBetween(Window.unboundedPreceding, -1)
     due = alike.withColumn("due", F.least(F.col("n"), F.col("end_copies") - F.coalesce(F.sum("n").over(before), F.lit(0)))).where("due > 0")
-    return due.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("due")))).select(out)
+    return due.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("due")))).select("mix_out.*")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:

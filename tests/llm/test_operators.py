@@ -565,3 +565,9 @@ def test_no_language_is_lost_in_the_sample(spark):
     model = langid.train(spark.createDataFrame(german + english + odd, "text string, lang string"), chars_per_language=1000)
     assert model.languages == ["de", "en", "fr"]
     assert model.predict(["der Hund schläft", "the cat", "chien", "12"])[0] == ["de", "en", "fr", "und"]
+
+
+def test_a_budget_that_ends_between_copies_with_a_map(spark):
+    docs = spark.createDataFrame([(1, "four words of text", "a", {"k": 1})] * 9, "doc_id long, text string, source string, more map<string, int>")
+    found = mixing.mix(docs, budget=20).collect()
+    assert len(found) == 5 and all(r["more"] == {"k": 1} for r in found)
