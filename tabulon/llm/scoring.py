@@ -15,7 +15,6 @@ than a chunk continues in the next one from the state of its last two words. Oth
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from itertools import count
@@ -67,8 +66,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 def _parts(text: bytes) -> Iterator[list[bytes]]:
     """The tokens of a text, a piece at a time; the last has the end."""
     words = []
-    for k, part in enumerate(cut(text, _BETWEEN)):
-        if k:
+    for part in cut(text, _BETWEEN):
+        if words:
             yield words
         words = part.lower().split()  # of bytes: splits at ASCII blanks, lowers A to Z alone
     yield [*words, END]
@@ -95,6 +94,8 @@ class Ngrams:
         self.pair = np.full(len(self.tokens), -1)
         self.pair[at2] = which
         triples, which3 = np.unique(self.pair[at3 - 1] * size + self.tokens[at3], return_inverse=True)
+        self.triple = np.full(len(self.tokens), -1)
+        self.triple[at3] = which3
         self.context, self.last = triples // size, triples % size
         self.lower = np.empty(len(triples), np.int64)
         self.lower[which3] = self.pair[at3]
@@ -109,41 +110,67 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
         for row in batch.to_pylist():
             found = Ngrams(row)
             for size, (keys, own) in enumerate(zip(found.keys, found.own), 1):
-                yield grams.sent(row["chunk"], size, keys, own, shards)
+                yield grams.sent(row["chunk"], size, keys, own, shards, BITS[size - 1])
 
 
 class Automaton:
-    """The part of the model that a chunk can reach. State 0 has no history, then come words, then pairs."""
+    """The part of the model that a chunk can reach. State 0 has no history, then come words, then pairs.
+
+    ``weight``, ``source`` and ``target`` have an arc for each word, pair and triple of the chunk; arcs that training has
+    not seen start at state -1, so that no traversal takes them.
+    """
 
     def __init__(self, found: Ngrams, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, known: int, priors: tuple[float, float]):
-        size = len(found.words)
+        size, (m2, m3) = len(found.words), priors
         if START in found.words:  # every training text starts and ends once
             c1[found.words.index(START)] = c1[found.words.index(END)] if END in found.words else 0
-        self.size = size
+        self.found = found
         self.alone = (c1 + 0.5) / (total + 0.5 * (known + 1))
-        m2, m3 = priors
         p2 = (c2 + m2 * self.alone[found.right]) / (c1[found.left] + m2)
         p3 = (c3 + m3 * p2[found.lower]) / (c2[found.context] + m3)
-        pairs, triples = np.flatnonzero(c2), np.flatnonzero(c3)
-        word_state, pair_state = np.where(c1 > 0, 1 + np.arange(size), 0), 1 + size + np.arange(len(c2))
-        states = np.concatenate([np.arange(size), (1 + found.left[pairs]) * size + found.right[pairs], (1 + size + found.context[triples]) * size + found.last[triples]])
-        self.arcs = dict(zip(states.tolist(), range(len(states))))
-        self.weight = np.log10(np.concatenate([self.alone, p2[pairs], p3[triples]])).tolist()
-        self.target = np.concatenate([word_state, pair_state[pairs], pair_state[found.lower[triples]]]).tolist()
-        self.back = np.log10(np.concatenate([[1.0], m2 / (c1 + m2), m3 / (c2 + m3)])).tolist()
-        self.failure = np.concatenate([np.zeros(1 + size, np.int64), word_state[found.right]]).tolist()
-        self.word_state = word_state.tolist()
-        self.pair_state = np.where(c2 > 0, pair_state, word_state[found.right]).tolist()
-
-    def weights(self, tokens: list[int], state: int) -> Iterator[float]:
-        """Reads the tokens from the state on: the weight of each arc and failure arc on the way."""
-        arcs, weight, target, back, failure, size = self.arcs, self.weight, self.target, self.back, self.failure, self.size
-        for token in tokens:
-            while (arc := arcs.get(state * size + token)) is None:
-                yield back[state]
-                state = failure[state]
-            yield weight[arc]
-            state = target[arc]
+        self.weight = [np.log10(p) for p in (self.alone, p2, p3)]
+        self.word_state = np.where(c1 > 0, 1 + np.arange(size), 0)
+        self.pair_state = np.where(c2 > 0, 1 + size + np.arange(len(c2)), self.word_state[found.right])
+        self.source = [np.zeros(size, np.int64), np.where(c2 > 0, 1 + found.left, -1), np.where(c3 > 0, 1 + size + found.context, -1)]
+        self.target = [self.word_state, self.pair_state, self.pair_state[found.lower]]
+        self.back = np.log10(np.concatenate([[1.0], m2 / (c1 + m2), m3 / (c2 + m3)]))
+        self.failure = np.concatenate([np.zeros(1 + size, np.int64), self.word_state[found.right]])
+
+    def read(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Sums of the weights on the way through many stretches of tokens side by side, each from left to right.
+
+        A stretch starts in the state of the words before it; an arc whose word fits is taken if it starts at the state
+        at hand, else the failure arc is.
+        """
+        found = self.found
+        state = np.where(found.pair[first - 1] >= 0, self.pair_state[found.pair[first - 1]], self.word_state[found.tokens[first - 1]])
+        order = np.argsort(-n, kind="stable")
+        first, state, sums = first[order], state[order], np.zeros(len(n))
+        running = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), side="left").tolist()  # stretches longer than each step
+        for step, k in enumerate(running):
+            at, now, added, left = first[:k] + step, state[:k], sums[:k], np.arange(k)
+            for size, numbers in ((2, found.triple), (1, found.pair), (0, found.tokens)):
+                arc = numbers[at[left]]
+                here = now[left]
+                fits = (arc >= 0) & (self.source[size][arc] == here)
+                taken, arc = left[fits], arc[fits]
+                added[taken] += self.weight[size][arc]
+                now[taken] = self.target[size][arc]
+                if not size:
+                    break
+                left, here = left[~fits], here[~fits]
+                fails = here > (len(found.words) if size == 2 else 0)  # only a pair is left for its word, and a word for none
+                added[left[fails]] += self.back[here[fails]]
+                now[left[fails]] = self.failure[here[fails]]
+        out = np.empty(len(n))
+        out[order] = sums
+        return out
+
+
+#: Stretches that are read side by side are no longer than this.
+STRETCH = 1024
+#: Bits of a pair's or triple's key; see ``grams``.
+BITS = (64, 48, 48)
 
 
 def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known: int, priors: tuple[float, float]) -> pa.Table:
@@ -153,18 +180,19 @@ def _score(chunks: pa.Table, answers: pa.Table, shards: int, total: int, known:
     by_size: list[dict[int, bytes]] = [{}, {}, {}]
     for size, shard, blob in zip(*(answers[c].to_pylist() for c in ("size", "shard", "totals"))):
         by_size[size - 1][shard] = blob
-    c1, c2, c3 = (grams.received(keys, got, shards) for keys, got in zip(found.keys, by_size))
-    seen = (c1 > 0).astype(np.int64)
+    c1, c2, c3 = (grams.received(keys, got, shards, bits) for keys, got, bits in zip(found.keys, by_size, BITS))
+    seen = c1 > 0
     model = Automaton(found, c1, c2, c3, total, known, priors)
-    alone = np.log10(model.alone)
-    base, score, n_known = [], [], []
-    for start, lead, n in zip(found.starts.tolist(), found.lead.tolist(), found.n.tolist()):
-        own = found.tokens[start + lead : start + lead + n]
-        state = model.word_state[found.tokens[start]] if lead == 1 else model.pair_state[found.pair[start + 1]]
-        base.append(math.fsum(alone[own].tolist()))
-        score.append(math.fsum(model.weights(own.tolist(), state)))
-        n_known.append(int(seen[own].sum()))
-    return pa.table({"row": row["row"], "doc_id": pa.array(row["doc_id"], pa.int64()), "train": pa.array(row["train"], pa.bool_()), "n": pa.array(row["n"], pa.int64()), "n_known": n_known, "base": base, "score": score})
+    first, n = found.starts + found.lead, found.n
+    # Long pieces in stretches, each of which starts in the state that the words before it lead to.
+    parts = -(-n // STRETCH)
+    piece = np.repeat(np.arange(len(n)), parts)
+    offset = (np.arange(len(piece)) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
+    scores = model.read(first[piece] + offset, np.minimum(n[piece] - offset, STRETCH))
+    own = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    cuts = np.cumsum(n) - n
+    sums = {"n_known": np.add.reduceat(seen[found.tokens[own]].astype(np.int64), cuts), "base": np.add.reduceat(model.weight[0][found.tokens[own]], cuts), "score": np.bincount(piece, scores, len(n))}
+    return pa.table({"row": row["row"], "doc_id": pa.array(row["doc_id"], pa.int64()), "train": pa.array(row["train"], pa.bool_()), "n": pa.array(row["n"], pa.int64()), **sums})
 
 
 def score_texts(docs: DataFrame, train: Column, priors: tuple[float, float] = PRIORS, chunk_tokens: int = grams.CHUNK_TOKENS, shard_tokens: int = grams.SHARD_TOKENS) -> DataFrame:
