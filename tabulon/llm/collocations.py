@@ -2,7 +2,7 @@
 
 Each chunk of the corpus learns how often its words and pairs occur in all of it (see ``grams``). A frequent pair is a
 prefix: wherever it stands, what follows it, as far as pairs stay frequent, is projected to the task of that prefix. The
-task holds the projected places of one prefix and grows it depth-first: the places of a phrase are split by their next
+task holds the projected places of a bucket of prefixes and grows each depth-first: the places of a phrase are split by their next
 word, and those of a longer phrase that is still frequent are split again. A prefix with very many places is shared by
 several tasks, each with its own next words, so that every longer phrase still has all its places in one task; places
 with the same following words are one entry with a count.
@@ -23,6 +23,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,9 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(ENDS + b"\t" + bytes(range(65, 91)), b"\n" * len(ENDS) + b" " + bytes(range(97, 123)))
 _BETWEEN = re.compile(rb"[ \t.,;:!?\n-\r]")
 CHUNKS = "chunk long, langs array<string>, n_words array<int>, said array<long>, words binary, tokens binary, length binary, own binary"
-PLACED = "lang string, w1 binary, w2 binary, part int, n long, n1 long, n2 long, tails binary"
+PLACED = "bucket int, lang string, places binary"
+#: Buckets of prefixes for each shard of tokens.
+BUCKETS = 4
 GROWN = "lang string, phrase binary, size int, a long, firsts array<long>"
 
 
@@ -147,8 +150,9 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
                 yield grams.sent(row["chunk"], size, keys, own, shards)
 
 
-def _project(chunks: pa.Table, answers: pa.Table, shards: int, least: int, places: int) -> pa.Table:
-    """What follows each frequent pair in one chunk."""
+def _project(chunks: pa.Table, answers: pa.Table, shards: int, buckets: int, least: int, places: int) -> pa.Table:
+    """What follows each frequent pair in one chunk: for each bucket and language a packed text with a line ". w1 w2 part n
+    n1 n2" for each prefix, and under it "w3 w4 n" for what follows. No word begins with a full stop."""
     row = chunks.to_pylist()[0]
     found = Places(row)
     by_size: list[dict[int, bytes]] = [{}, {}]
@@ -171,17 +175,20 @@ def _project(chunks: pa.Table, answers: pa.Table, shards: int, least: int, place
     names = [*found.words, b""]
     for p, third, last, times, shared in zip(which.tolist(), w3.tolist(), w4.tolist(), n.tolist(), (parts[which] > 1).tolist()):
         lines[p, zlib.crc32(names[third]) % int(parts[p]) if shared else 0].append(b"%b %b %d" % (names[third], names[last], times))
-    own = np.flatnonzero(frequent[:-1]).tolist()
-    groups = [(p, 0) for p in own if (p, 0) not in lines] + list(lines)
-    p = np.array([g[0] for g in groups], np.int64)
-    words = pa.array(found.words, pa.binary())
-    langs = pa.array(row["langs"], pa.string())
-    columns = [langs.take(pa.array(found.langs[found.first[p]])), words.take(pa.array(found.first[p])), words.take(pa.array(found.second[p])), pa.array([g[1] for g in groups], pa.int32()), *[pa.array(x, pa.int64()) for x in (n2[p], n1[found.first[p]], n1[found.second[p]])], pa.array([b"\n".join(lines.get(g, ())) for g in groups], pa.binary())]
-    return pa.Table.from_arrays(columns, names=["lang", "w1", "w2", "part", "n", "n1", "n2", "tails"])
+    for p in np.flatnonzero(frequent[:-1]).tolist():
+        lines[p, 0]  # a prefix that nothing frequent follows is a phrase too
+    key = found.keys[1][:, 0]
+    out: defaultdict[tuple[int, int], list[bytes]] = defaultdict(list)
+    for (p, part), theirs in lines.items():
+        first, second = int(found.first[p]), int(found.second[p])
+        out[(int(key[p]) + part) % buckets, int(found.langs[first])] += [b". %b %b %d %d %d %d" % (names[first], names[second], part, n2[p], n1[first], n1[second]), *theirs]
+    packer = zstandard.ZstdCompressor(level=3)
+    columns = [[bucket for bucket, _ in out], [row["langs"][lang] for _, lang in out], [packer.compress(b"\n".join(x)) for x in out.values()]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary()))], names=["bucket", "lang", "places"])
 
 
 def _grow(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of each prefix, from its projected places of all chunks."""
+    """Phrases of each prefix of a bucket, from its projected places of all chunks."""
     out: list[tuple] = []
 
     def passed_on() -> pa.RecordBatch:
@@ -189,35 +196,48 @@ def _grow(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         out.clear()
         return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "a", "firsts"])
 
-    for (lang, w1, w2, part), (totals, n1, n2, blobs) in runs(batches, 4):
-        entries: Counter[bytes] = Counter()
+    unpacker = zstandard.ZstdDecompressor()
+    for (_, lang), (blobs,) in runs(batches, 2):
+        prefixes: defaultdict[bytes, dict[bytes, int]] = defaultdict(dict)
         for blob in blobs:
-            for line in blob.split(b"\n") if blob else ():
-                tail, _, n = line.rpartition(b" ")
-                entries[tail] += int(n)
-        tails, n = [tail.split(b" ") for tail in entries], list(entries.values())
-        if not part:
-            out += [(lang, w1, 1, n1[0], []), (lang, w2, 1, n2[0], []), (lang, w1 + b" " + w2, 2, totals[0], [n1[0]])]
-
-        def extend(phrase: bytes, pointers: list[int], depth: int, firsts: list[int]) -> None:
-            by_word: defaultdict[bytes, list[int]] = defaultdict(list)
-            for pointer in pointers:
-                if word := tails[pointer][depth]:
-                    by_word[word].append(pointer)
-            for word, theirs in by_word.items():
-                if (f := sum(n[pointer] for pointer in theirs)) >= least:
-                    longer = phrase + b" " + word
-                    out.append((lang, longer, depth + 3, f, firsts))
-                    if depth + 3 < LONGEST:
-                        extend(longer, theirs, depth + 1, [*firsts, f])
-
-        extend(w1 + b" " + w2, list(range(len(tails))), 0, [n1[0], totals[0]])
-        if len(out) >= 2000:
-            yield passed_on()
+            tails: dict[bytes, int] = {}
+            for line in unpacker.decompress(blob).split(b"\n"):
+                if line[:1] == b".":
+                    tails = prefixes[line]
+                else:
+                    tail, _, n = line.rpartition(b" ")
+                    tails[tail] = tails.get(tail, 0) + int(n)
+        for prefix in list(prefixes):
+            out += grown(lang, prefix.split(b" ")[1:], prefixes.pop(prefix), least)
+            if len(out) >= 2000:
+                yield passed_on()
     if out:
         yield passed_on()
 
 
+def grown(lang: str, prefix: list[bytes], places: dict[bytes, int], least: int) -> list[tuple]:
+    """The prefix and the phrases that it grows to: (lang, phrase, words, places, places of its beginnings)."""
+    w1, w2 = prefix[:2]
+    part, total, n1, n2 = map(int, prefix[2:])
+    out = [] if part else [(lang, w1, 1, n1, []), (lang, w2, 1, n2, []), (lang, w1 + b" " + w2, 2, total, [n1])]
+    tails, n = [tail.split(b" ") for tail in places], list(places.values())
+
+    def extend(phrase: bytes, pointers: list[int], depth: int, firsts: list[int]) -> None:
+        by_word: defaultdict[bytes, list[int]] = defaultdict(list)
+        for pointer in pointers:
+            if word := tails[pointer][depth]:
+                by_word[word].append(pointer)
+        for word, theirs in by_word.items():
+            if (f := sum(n[pointer] for pointer in theirs)) >= least:
+                longer = phrase + b" " + word
+                out.append((lang, longer, depth + 3, f, firsts))
+                if depth + 3 < LONGEST:
+                    extend(longer, theirs, depth + 1, [*firsts, f])
+
+    extend(w1 + b" " + w2, list(range(len(tails))), 0, [n1, total])
+    return out
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, chunk_tokens: int = grams.CHUNK_TOKENS, shard_tokens: int = grams.SHARD_TOKENS, places: int = PLACES) -> DataFrame:
     """``docs(text, lang)`` -> ``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of 2 to 4 words.
 
@@ -233,13 +253,15 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, chunk_toke
     words = stored(words, f"{path}/words")
     shards = grams.shards_for(words.agg(F.sum("n")).first()[0] or 0, shard_tokens)
     answers = stored(grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT)), f"{path}/totals")
-    projected = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _project(c, a, shards, least, places), PLACED)
-    prefix = ["lang", "w1", "w2", "part"]
-    grown = projected.repartition(*prefix).sortWithinPartitions(*prefix).mapInArrow(tidy(lambda batches: _grow(batches, least)), GROWN)
-    grown = stored(grown.withColumn("phrase", F.col("phrase").cast("string")), f"{path}/grown")
-
-    candidates = grown.where("size > 1")
-    parts = candidates.select("lang", "phrase", "a").unionByName(grown.where("size = 1").groupBy("lang", "phrase").agg(F.max("a").alias("a")))
+    buckets = shards * BUCKETS
+    projected = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _project(c, a, shards, buckets, least, places), PLACED)
+    # As many tasks as buckets, since each holds one bucket at a time.
+    tasks = projected.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang")
+    found = tasks.mapInArrow(tidy(lambda batches: _grow(batches, least)), GROWN).withColumn("phrase", F.col("phrase").cast("string"))
+    found = stored(found, f"{path}/grown")
+
+    candidates = found.where("size > 1")
+    parts = candidates.select("lang", "phrase", "a").unionByName(found.where("size = 1").groupBy("lang", "phrase").agg(F.max("a").alias("a")))
     said = F.split("phrase", " ")
     cuts = candidates.select("lang", "phrase", "a", F.posexplode("firsts").alias("k", "l"), said.alias("said"))
     cuts = cuts.withColumn("rest", F.array_join(F.expr("slice(said, k + 2, size(said))"), " ")).drop("said")
