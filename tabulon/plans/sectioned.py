@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulon.operators import scoring, sectioning
+from tabulon.operators import anchors, scoring, sectioning
 from tabulon.plans.registry import plan
 
 TEN_K = list(scoring.PROFILES["10-K"].order)
@@ -72,3 +72,37 @@ def doc6_event_sections(t):
 def win9_contents_end(t):
     """Where the table of contents ends."""
     return sectioning.contents_end(items(t, TEN_K)[0])
+
+
+QUARTERLY = ["Part I. Financial Information", "Item 1. Financial Statements", "Item 2. Discussion", "Item 3. Market Risk", "Item 4. Controls", "Part II. Other Information", "Item 1. Legal Proceedings", "Item 1A. Risk Factors", "Item 2. Sales", "Item 6. Exhibits", "SIGNATURE"]
+ANNUAL = ["Item 3. Key Information", "Item 4. Company", "Item 5. Review", "Item 6. Directors", "Item 8. Accounts", "Item 15. Controls", "Item 18. Statements", "SIGNATURES"]
+
+
+def report_lines(t, headings: list[str], guided: bool = False):
+    """Lines of documents with the next of the headings in front of every second one, from another one on in each document
+    (of a fifth from the first); contents in front of every other document, or a guide to lines that it has."""
+    n = len(headings)
+    start = F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("doc_id") % 3)
+    heading = F.get(F.array(*map(F.lit, headings)), ((F.floor(F.col("k") / 2) + start) % n).cast("int"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    pair = F.array(F.struct((F.col("k") * 2 + 1000).alias("position"), F.when(F.col("k") % 2 == 0, heading).alias("line")), F.struct((F.col("k") * 2 + 1001).alias("position"), F.col("text").alias("line")))
+    body = lines.select("doc_id", F.explode(pair).alias("l")).select("doc_id", "l.*").where("line IS NOT NULL")
+    listed = F.transform(F.array(*map(F.lit, headings[:-1])), lambda h: F.concat(h, F.lit(" .... 7")))
+    front = t.documents.where("doc_id % 2 = 0 AND text IS NOT NULL").select("doc_id", F.posexplode(listed).alias("position", "line"))
+    if guided:
+        token = F.get(F.array(*map(F.lit, ["3", "4", "5", "18", "6", "8", "15"])), F.col("k"))
+        row = F.concat(F.lit("Item "), token, F.lit(" Caption | "), F.regexp_replace(F.substring("text", 1, 60), r"[^A-Za-z ]+", " "), F.lit(", 12"))
+        front = front.unionByName(lines.where("doc_id % 7 = 0 AND k < 7 AND length(text) > 12").select("doc_id", (F.col("k") + 500).alias("position"), row.alias("line")))
+    return sectioning.placed_lines(body.unionByName(front))
+
+
+@plan()
+def doc4_quarterly_report(t):
+    """Parts by their anchors and the items in them; what a walk over the lines finds (tests)."""
+    return anchors.quarterly_sections(report_lines(t, QUARTERLY))
+
+
+@plan()
+def doc5_foreign_report(t):
+    """Items by number behind the contents, or by the document's own guide."""
+    return anchors.foreign_sections(report_lines(t, ANNUAL, guided=True))

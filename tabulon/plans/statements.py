@@ -47,7 +47,7 @@ def printed(t: Tables) -> tuple[DataFrame, DataFrame]:
     years = yearly(t)
     year, way = F.col("year").cast("string"), F.col("doc_id") % 4
     column = (2 + F.col("at") * 2).cast("int")
-    upper = F.when(way == 0, F.when(F.col("at") == 0, "Year ended December 31,").otherwise("")).otherwise("Amount")
+    upper = F.when(way == 0, "Year ended December 31,").otherwise("Amount")
     lower = F.when(way == 0, year).when(way == 1, F.concat(F.lit("FY"), year)).when(way == 2, F.concat(F.lit("31 December "), year)).otherwise(F.concat(F.lit("December 31, "), year))
 
     def laid(table: int, top: list[tuple[int, Column]], rows: dict[str, str], first: int) -> DataFrame:
