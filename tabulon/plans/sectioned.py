@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulon.operators import anchors, scoring, sectioning
+from tabulon.operators import anchors, scoring, section_tree, sectioning
 from tabulon.plans.registry import plan
 
 TEN_K = list(scoring.PROFILES["10-K"].order)
@@ -106,3 +107,55 @@ def doc4_quarterly_report(t):
 def doc5_foreign_report(t):
     """Items by number behind the contents, or by the document's own guide."""
     return anchors.foreign_sections(report_lines(t, ANNUAL, guided=True))
+
+
+LINES_SQL = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM l0)"""
+
+
+def numbered_lines(t):
+    return sectioning.placed_lines(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line")))
+
+
+@plan(f"""WITH {LINES_SQL}, h AS (SELECT doc_id, k, pos, 1 + length(line) % 4 AS level, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS section FROM l WHERE k % 3 = 1),
+s AS (SELECT h.*, (SELECT max(p.section) FROM h p WHERE p.doc_id = h.doc_id AND p.section < h.section AND p.level < h.level) AS parent,
+  coalesce((SELECT min(n.pos) FROM h n WHERE n.doc_id = h.doc_id AND n.section > h.section AND n.level <= h.level), (SELECT max(pos + length(line)) FROM l WHERE l.doc_id = h.doc_id)) AS "end" FROM h),
+tables AS (SELECT l.doc_id, l.k, max(h.section) AS section FROM l JOIN h ON h.doc_id = l.doc_id AND h.pos < l.pos WHERE l.k % 4 = 3 AND l.k % 3 <> 1 GROUP BY ALL)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, section, parent, CAST(level AS INTEGER) AS level, pos AS start, CAST("end" AS BIGINT) AS "end",
+  coalesce((SELECT string_agg(c.section, ',' ORDER BY c.section) FROM s c WHERE c.doc_id = s.doc_id AND c.parent = s.section), '') AS children,
+  coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM tables WHERE tables.doc_id = s.doc_id AND tables.section = s.section), '') AS tables FROM s""")
+def doc7_section_tree(t):
+    """Every third line as a heading of one of four levels, every fourth as a table."""
+    lines = numbered_lines(t)
+    headings = lines.where("position % 3 = 1").select("doc_id", "at", (1 + F.length("line") % 4).alias("level"), F.col("line").alias("title"))
+    tables = lines.where("position % 4 = 3 AND position % 3 <> 1").select("doc_id", F.col("position").alias("table"), "at")
+    sizes = lines.groupBy("doc_id").agg(F.max(F.col("at") + F.length("line")).alias("size"))
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return section_tree.section_tree(headings, tables, sizes).select("doc_id", "section", "parent", "level", "start", "end", listed("children"), listed("tables"))
+
+
+NORM_SQL = "lower(translate(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '’‘`“”', '\"\"'))"
+FULL = section_tree.FINGERPRINT_CHARS
+
+
+@plan(f"""WITH {LINES_SQL}, n AS (SELECT doc_id, k, k // 4 AS section, {NORM_SQL.format('line')} AS said FROM l),
+p AS (SELECT *, rtrim(left(said, {FULL})) AS print, string_split(coalesce(lag(said) OVER (PARTITION BY doc_id ORDER BY k), ''), ' ') AS words FROM n),
+sections AS (SELECT doc_id, k // 4 AS section, {NORM_SQL.format("string_agg(line, ' ' ORDER BY k)")} AS content FROM l GROUP BY ALL),
+having_ AS (SELECT *, count(*) OVER (PARTITION BY doc_id, print) AS n FROM (SELECT DISTINCT doc_id, section, print FROM p WHERE k % 2 = 0 AND print <> '')),
+t AS (SELECT * FROM p WHERE k % 2 = 0),
+clear AS (SELECT t.doc_id, k, h.section, 'fingerprint' AS way FROM t JOIN having_ h USING (doc_id, print) WHERE n = 1),
+told AS (SELECT doc_id, k, print, unnest(m) AS marker, unnest(range(len(m))) AS rank FROM (SELECT doc_id, k, print, list_filter(list_concat(
+    [CASE WHEN length(said) > {FULL} THEN said END], list_transform({list(section_tree.BEGINNINGS)}, lambda b: CASE WHEN length(said) >= b THEN rtrim(left(said, b)) END),
+    list_transform({list(section_tree.TAIL_WORDS)}, lambda b: CASE WHEN len(words) >= b AND length(array_to_string(words[-b:], ' ')) >= {section_tree.TAIL_CHARS} THEN array_to_string(words[-b:], ' ') END)), lambda x: x IS NOT NULL) AS m FROM t)),
+met AS (SELECT told.doc_id, k, rank, min(section) AS section FROM told JOIN having_ h USING (doc_id, print) JOIN sections USING (doc_id, section) WHERE n > 1 AND contains(content, marker) GROUP BY told.doc_id, k, rank HAVING count(*) = 1),
+marked AS (SELECT doc_id, k, min_by(section, rank) AS section, 'marker' AS way FROM met GROUP BY doc_id, k)
+SELECT t.doc_id, CAST(t.k AS BIGINT) AS "table", CAST(coalesce(clear.section, marked.section) AS BIGINT) AS section, coalesce(clear.way, marked.way) AS way FROM t LEFT JOIN clear USING (doc_id, k) LEFT JOIN marked USING (doc_id, k)""")
+def join6_table_sections(t):
+    """Every second line as a table, every four lines as a section."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("k"))
+    tables = lines.withColumn("context", before).where("k % 2 = 0").select("doc_id", F.col("k").cast("long").alias("table"), F.col("line").alias("text"), "context")
+    listed = F.array_sort(F.collect_list(F.struct("k", "line")))
+    sections = lines.groupBy("doc_id", F.floor(F.col("k") / 4).alias("section")).agg(listed.alias("ls"))
+    sections = sections.select("doc_id", "section", F.array_join(F.transform("ls", lambda x: x["line"]), " ").alias("text"), F.transform(F.filter("ls", lambda x: x["k"] % 2 == 0), lambda x: x["line"]).alias("tables"))
+    return section_tree.table_sections(tables, sections)
