@@ -24,6 +24,7 @@ class Profile:
     sections: tuple[int, int] = (0, 1 << 30)
     topics: bool = False
     statements: bool = True
+    keywords: tuple[tuple[str, tuple[str, ...]], ...] = ()  # of forms without items: what names a section, first match wins
 
 
 def items(*numbers: str) -> tuple[str, ...]:
@@ -65,6 +66,18 @@ PROFILES = {
         sections=(2, 8),
         statements=False,
     ),
+    "6-K": Profile(
+        lengths=(("Financial Results", 300, 20), ("Safe Harbor", 100, 10)),
+        sections=(3, 15),
+        statements=False,
+        keywords=(("Financial Results", ("financial results", "key highlights", "results of operations", "financial and business")), ("Safe Harbor", ("safe harbor", "forward-looking"))),
+    ),
+    "DEF 14A": Profile(
+        lengths=(("Executive Compensation", 2000, 12), ("Directors", 500, 10), ("Security Ownership", 300, 8)),
+        sections=(8, 25),
+        statements=False,
+        keywords=(("Executive Compensation", ("executive compensation", "compensation discussion")), ("Directors", ("election of director", "directors")), ("Security Ownership", ("security ownership", "beneficial ownership"))),
+    ),
     "SC 13G": Profile(order=items(*map(str, range(1, 11))), required=items("2", "4"), lengths=(("Item 2", 50, 15), ("Item 4", 50, 15)), sections=(5, 12), statements=False),
 }
 # Rates of found queries that give 5, 7 and 9 points, by the kind of form.
@@ -73,6 +86,7 @@ COVERAGE = {"annual": (0.55, 0.7, 0.85), "event": (0.25, 0.4, 0.55), "governance
 PASS, WARN, BATCH_AVERAGE, BATCH_P10, HUGE_WARN, HUGE_FAIL = 93.0, 83.0, 93.0, 86.0, 200_000, 350_000
 FINANCIAL_COVERAGE = {"10-K": 0.99, "10-Q": 0.99, "20-F": 0.99, "6-K": 0.9}
 STATEMENTS = ("income", "balance_sheet", "cash_flow", "equity", "comprehensive_income")
+# Broken characters, and last words of a text that was cut off.
 MOJIBAKE = r"Ã.|Â.|â€.|ï¿½|\x{FFFD}|[\x{80}-\x{9F}]"
 CUT_OFF = r"(?i)(?:^|\s)(?:to|and|or|the|of|in|for|with|by|that|at|from|as|a|an|refer|see|including|such|under|pursuant|per|into|upon)\s*$"
 
@@ -87,11 +101,18 @@ def per_form(pick, form: Column) -> Column:
 
 
 def item_of(title: Column, form: Column) -> Column:
-    """The item that a section's title names, in the way in which its form numbers items; null for none."""
+    """The item that a section's title names, in the way in which its form numbers items; null for none. Forms without
+    items name their sections by words of the title."""
     part = F.concat(F.lit("Part "), F.upper(F.regexp_extract(title, r"(?i)Part\s+(I{1,4})\s*[-–—]\s*Item\s+\d+[A-Z]?", 1)), F.lit(" - Item "), F.regexp_extract(title, r"(?i)Part\s+I{1,4}\s*[-–—]\s*Item\s+(\d+[A-Z]?)", 1))
     decimal, plain = F.regexp_extract(title, r"(?i)Item\s+(\d+\.\d+)", 1), F.regexp_extract(title, r"(?i)Item\s+(\d+[A-Z]?)", 1)
     named = lambda n: F.when(n != "", F.concat(F.lit("Item "), n))
-    return F.when(form == "10-Q", F.when(title.rlike(r"(?i)Part\s+I{1,4}\s*[-–—]\s*Item\s+\d"), part)).when(form == "8-K", named(decimal)).otherwise(named(plain))
+    words = F.lit(None).cast("string")
+    for name, profile in PROFILES.items():
+        for label, said in reversed(profile.keywords):
+            hit = F.exists(F.array(*map(F.lit, said)), lambda w: F.contains(F.lower(title), w))
+            words = F.when((form == name) & hit, label).otherwise(words)
+    item = F.when(form == "10-Q", F.when(title.rlike(r"(?i)Part\s+I{1,4}\s*[-–—]\s*Item\s+\d"), part)).when(form == "8-K", named(decimal)).otherwise(named(plain))
+    return F.coalesce(item, words)
 
 
 def bands(value: Column, steps: list[tuple[float, float]], otherwise: float = 0.0) -> Column:
@@ -113,8 +134,8 @@ def structure(sections: DataFrame) -> DataFrame:
     per = marked.groupBy("doc_id", "form").agg(F.bool_or("back").alias("back"), F.count("known").alias("n_known"), F.collect_set("item").alias("items"), F.count("*").alias("n_sections"))
     low, high = per_form(lambda p: p.sections[0], F.col("form")), per_form(lambda p: p.sections[1], F.col("form"))
     off = F.greatest(F.lit(0), low - F.col("n_sections"), F.col("n_sections") - high)
-    per = per.withColumns({"n_missing": F.size(F.array_except(per_form(lambda p: p.required, F.col("form")), "items")), "order_ok": ~F.col("back") & (F.col("n_known") > 0)})
-    in_order = F.when((F.size(per_form(lambda p: p.order, F.col("form"))) == 0) | F.col("order_ok"), 8.0).otherwise(0.0)
+    per = per.withColumns({"n_missing": F.size(F.array_except(per_form(lambda p: p.required, F.col("form")), "items")), "order_ok": F.when(F.size(per_form(lambda p: p.order, F.col("form"))) > 0, ~F.col("back") & (F.col("n_known") > 0))})
+    in_order = F.when(F.coalesce("order_ok", F.lit(True)), 8.0).otherwise(0.0)  # a form without an order can't be out of it
     points = in_order + F.greatest(F.lit(0.0), 10.0 - 2 * F.col("n_missing")) + F.greatest(F.lit(0.0), 7.0 - 2 * F.ceil(off / 5))
     return per.select("doc_id", "form", points.alias("a_structure"), "order_ok", "n_missing", "n_sections")
 

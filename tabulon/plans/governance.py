@@ -296,11 +296,11 @@ def str5_placeholders(t):
     return t.orders.select("o_orderkey", F.array_join(C.table_references(content), ",").alias("refs"), filled.alias("filled"))
 
 
-@plan("SELECT o_orderkey, lpad(o_custkey::VARCHAR, 10, '0') || '-' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '-' || lpad(o_orderkey::VARCHAR, 6, '0') AS dashed, lpad(o_custkey::VARCHAR, 10, '0') || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad(o_orderkey::VARCHAR, 6, '0') AS bare, o_custkey AS cik FROM orders WHERE o_custkey > 0 AND o_orderkey < 1000000")
+@plan("SELECT o_orderkey, lpad(o_custkey::VARCHAR, 10, '0') || '-' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS dashed, lpad(o_custkey::VARCHAR, 10, '0') || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS bare, o_custkey AS cik FROM orders WHERE o_custkey > 0")
 def str17_accessions(t):
     """Accession numbers with and without hyphens, and the company's number in them."""
-    rows = t.orders.where("o_custkey > 0 AND o_orderkey < 1000000")
-    bare = F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"))
+    rows = t.orders.where("o_custkey > 0")
+    bare = F.concat(F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") % 1_000_000).cast("string"), 6, "0"))
     dashed = C.accession(bare)
     return rows.select("o_orderkey", dashed.alias("dashed"), F.replace(dashed, F.lit("-"), F.lit("")).alias("bare"), F.substring(bare, 1, 10).cast("long").alias("cik"))
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 HIDDEN = {"script", "style", "noscript", "template", "ix:header", "ix:hidden"}
 BLOCKS = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "ul", "ol", "br", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Spans beyond this are taken for mistakes of the page.
-MOST_SPAN = 1_000
+#: The most rows and columns that HTML lets a cell span.
+MOST_SPAN = {"rowspan": 65_534, "colspan": 1_000}
 
 
 def unseen(tag: str, attrs: list) -> bool:
@@ -47,7 +47,7 @@ class Table:
 
 def span(attrs: list, name: str) -> int:
     value = dict(attrs).get(name) or ""
-    return min(int(value), MOST_SPAN) if value.strip().isdigit() and int(value) > 0 else 1
+    return min(int(value), MOST_SPAN[name]) if value.strip().isdigit() and int(value) > 0 else 1
 
 
 class Page(HTMLParser):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulon import plans
 from tabulon.functions import columns as C
-from tabulon.operators import search, sequences
+from tabulon.operators import scoring, search, sequences
 from tabulon.sources import html, readers
 from tabulon.streaming import jobs
 
@@ -135,3 +135,14 @@ def test_unique_words_takes_whole_texts(spark, tmp_path):
     got = [tuple(r) for r in plans.queries()["arr1_unique_words"](spark, str(tmp_path)).collect()]
     whole = " ".join(["one", "filler", *(f"filler_{i}" for i in range(2, 41)), "one_2", "last", "last_2"])
     assert sorted(got, key=str) == sorted([(1, whole), (1, "a a_2"), (None, whole), (2, "")], key=str)
+
+
+def test_forms_without_items_are_scored_by_their_own_profiles(spark):
+    rows = [
+        ("k", "6-K", 0, "Third Quarter Financial Results", 400, False), ("k", "6-K", 1, "Safe Harbor Statement", 50, False), ("k", "6-K", 2, "About us", 10, False),
+        ("p", "DEF 14A", 0, "Election of Directors", 600, False), ("p", "DEF 14A", 1, "Compensation Discussion and Analysis", 2500, False),
+    ]
+    sections = spark.createDataFrame(rows, "doc_id string, form string, position int, title string, length long, refers boolean")
+    got = {r["doc_id"]: (r["a_structure"], r["order_ok"], r["n_missing"]) for r in scoring.structure(sections).collect()}
+    assert got == {"k": (25.0, None, 0), "p": (21.0, None, 0)}  # two sections where eight are expected: two steps of two points
+    assert {r["doc_id"]: (r["b_content"], r["n_hard_missing"]) for r in scoring.content(sections).collect()} == {"k": (20.0, 0), "p": (22.0, 0)}
