@@ -9,7 +9,7 @@ from tabulon.functions import columns as C
 from tabulon.functions import forms
 from tabulon.operators import dedup, search
 from tabulon.plans.registry import plan
-from tabulon.sources import html, readers
+from tabulon.sources import html, main_content, readers
 from tabulon.streaming import jobs
 
 TERMS = ["license", "version", "the"]
@@ -205,3 +205,9 @@ def stm4_fan_out(t):
 def score5_noise(t):
     lines = F.split("text", "\n")
     return t.documents.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, lambda x: F.length(x).cast("long"))).alias("longest"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("blank"))
+
+
+@plan()
+def src9_main_content(t):
+    """Each page's main content and whether it is good enough; compared with the pages' articles in the tests."""
+    return main_content.contents(t.pages)
