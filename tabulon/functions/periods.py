@@ -8,7 +8,7 @@ import functools
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,8 @@ HALF_OF_MONTH = {6: "H1", 12: "H2"}
 BALANCE_OF_MONTH = {3: "Q1", 6: "Q2", 9: "Q3", 12: "FY"}
 QUARTER_LENGTHS, YEAR_LENGTHS = ("three months ended", "quarter ended", "three-month period"), ("twelve months ended", "year ended", "fiscal year")
 YEAR_SCOPES = ("year ended", "fiscal year", "twelve months")
+# What a currency is printed as, and its code.
+PRINTED = ("HK$", "US$", "RMB", "BRL", "EUR", "GBP", "$")
 CURRENCY_CODES = {"HK$": "HKD", "US$": "USD", "RMB": "CNY", "CNY": "CNY", "$": "USD"}
 
 _YEAR, _NAME = r"19\d{2}|20\d{2}|2100", r"[A-Za-zÀ-ÿ]{3,12}"
@@ -54,6 +56,7 @@ LABEL_FORMS = tuple((re.compile("(?i)" + form), name) for form, name in (
     (r"\b(?:FY|FYE)\s*[-/']?\s*(?P<y>\d{2,4})\b", "FY"),
     *[(rf"\b{word}\s+quarter\s+(?P<y>\d{{2,4}})\b", f"Q{k}") for k, word in enumerate(("first", "second", "third", "fourth"), 1)],
 ))
+DIGIT = re.compile(r"\d")  # Every date and label has one.
 BARE_YEAR, MONTH_DAY = re.compile(rf"\b({_YEAR})\b"), re.compile(rf"\b({_NAME})\s+(\d{{1,2}}),?\b")
 FUSED = re.compile(r"(?i)\b(ended|ending|as\s+of|as\s+at)(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\b")
 
@@ -101,6 +104,8 @@ def read_date(kinds: str, groups: tuple[str, ...]) -> dt.date | None:
 
 def first_date(text: str | None) -> dt.date | None:
     """The first valid date of the first form of DATE_FORMS that has one."""
+    if not text or not DIGIT.search(text):
+        return None
     said = spaced(text)
     found = (read_date(kinds, m.groups()) for form, kinds in DATE_FORMS for m in form.finditer(said))
     return next((d for d in found if d), None)
@@ -108,6 +113,8 @@ def first_date(text: str | None) -> dt.date | None:
 
 def fiscal_label(text: str | None) -> tuple[str, int] | None:
     """The first form of LABEL_FORMS in the text, as Q1, H2 or FY and a year."""
+    if not text or not DIGIT.search(text):
+        return None
     said = spaced(text)
     for form, name in LABEL_FORMS:
         if m := form.search(said):
@@ -152,22 +159,48 @@ def fiscal_period(header: str | None, scope: str | None, end: dt.date) -> str |
     return BALANCE_OF_MONTH.get(end.month) if "as of" in low or "as at" in low else None
 
 
-PERIOD = T.StructType([T.StructField("period_end", T.DateType()), T.StructField("fiscal_period", T.StringType()), T.StructField("dated", T.BooleanType())])
+PERIOD = T.StructType([T.StructField("period_end", T.DateType()), T.StructField("fiscal_period", T.StringType())])
+DEPTHS = T.ArrayType(T.StructType([T.StructField("scope", PERIOD), T.StructField("dated", T.BooleanType()), T.StructField("columns", T.ArrayType(PERIOD))]))
+# Fixed value: headers with their scopes whose periods a task keeps, since tables are alike.
+KEPT = 20_000
+
+
+def periods_of_depths(headers: Column, scopes: Column, counts: Column, columns: Column, value_rows: int) -> Column:
+    """array<struct<scope, dated, columns>>: for each depth of a table's header the period of the scope alone, whether the
+    headers alone have a date or a fiscal label, and the period of each of its columns.
+
+    The array ends with the first depth of which every column has a period of its own, and is a column of values: below
+    it there are no more columns and no more rows, so that no deeper header reads more. In Arrow batches, since the
+    cascade of forms outgrows what Spark compiles; equal headers of a task are read once."""
+
+    def read(headers: pa.Array, scopes: pa.Array, counts: pa.Array, columns: pa.Array) -> pa.Array:
+        one = pa.struct([("period_end", pa.date32()), ("fiscal_period", pa.string())])
+        rows = zip(headers.to_pylist(), scopes.to_pylist(), counts.to_pylist(), columns.to_pylist())
+        return pa.array([_depths(*row, value_rows) for row in rows], pa.list_(pa.struct([("scope", one), ("dated", pa.bool_()), ("columns", pa.list_(one))])))
+
+    return F.arrow_udf(read, DEPTHS)(headers, scopes, counts, columns)
+
 
+def _depths(headers: list[str], scopes: list[str], counts: list[list[int]], columns: list[list[str]], value_rows: int) -> list[dict]:
+    out = []
+    for head, scope, numbers, names in zip(headers, scopes, counts, columns):
+        found = [_period(name or "", scope or "") for name in names]
+        out.append({"scope": _period("", scope or ""), "dated": _dated(head or ""), "columns": found})
+        ends = {(p["period_end"], p["fiscal_period"]) for p in found if p["period_end"]}
+        if len(ends) == len(names) and (min(numbers) >= value_rows or max(numbers) < value_rows and out[-1]["dated"]):
+            break
+    return out
 
-def period(header: Column, scope: Column) -> Column:
-    """struct<period_end, fiscal_period, dated>; dated: the header alone has a date or a fiscal label. In Arrow batches,
-    since the cascade of forms outgrows what Spark compiles; equal headers of a batch are read once."""
-    return F.pandas_udf(_period, PERIOD)(header, scope)
 
+@functools.lru_cache(KEPT)
+def _period(header: str, scope: str) -> dict:
+    end = period_end(header, scope)
+    return {"period_end": end, "fiscal_period": end and fiscal_period(header, scope, end)}
 
-def _period(header: pd.Series, scope: pd.Series) -> pd.DataFrame:
-    @functools.cache
-    def read(head: str, around: str) -> tuple:
-        end = period_end(head, around)
-        return end, end and fiscal_period(head, around, end), bool(first_date(head) or fiscal_label(head))
 
-    return pd.DataFrame([read(h or "", s or "") for h, s in zip(header, scope)], columns=["period_end", "fiscal_period", "dated"])
+@functools.lru_cache(KEPT)
+def _dated(headers: str) -> bool:
+    return bool(first_date(headers) or fiscal_label(headers))
 
 
 def printed_currency(header: Column, scope: Column) -> Column:

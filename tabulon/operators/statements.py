@@ -26,14 +26,20 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def matrices(cells: DataFrame) -> DataFrame:
-    """(doc_id, table, m, width): rows in order, each an array of struct<text, number> without gaps."""
+    """(doc_id, table, m, width): rows in order, each a struct of what is asked of it at any depth of the header.
+
+    texts and numbers: of its cells, without gaps; label, said: its first words, and all of its texts; heads: what stands
+    in each column or in the cells before it; data: whether it looks like a row of data.
+    """
     cells = cells.select(*TABLE, "row", "col", collapsed(F.coalesce("text", F.lit(""))).alias("text"))
     cells = once(cells, number=periods.statement_number(F.col("text")))
-    rows = cells.groupBy(*TABLE, "row").agg(F.max("col").alias("last"), F.map_from_entries(F.collect_list(F.struct("col", F.struct("text", "number")))).alias("at"))
+    rows = cells.groupBy(*TABLE, "row").agg(F.max("col").cast("int").alias("last"), F.map_from_entries(F.collect_list(F.struct("col", F.struct("text", "number")))).alias("at"))
     empty = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("number"))
-    placed = rows.select(*TABLE, "row", "last", F.transform(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long")), lambda c: F.coalesce(F.try_element_at("at", c), empty)).alias("cells"))
-    tables = placed.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"), F.max("last").alias("last"))
-    return tables.select(*TABLE, F.col("rows.cells").alias("m"), (F.col("last") + 1).cast("int").alias("width"))
+    rows = once(rows, cells=F.transform(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long")), lambda c: F.coalesce(F.try_element_at("at", c), empty)))
+    rows = once(rows.drop("at"), texts=F.transform("cells", lambda c: c["text"]), numbers=F.transform("cells", lambda c: c["number"]), label=label(F.col("cells")))
+    rows = once(rows.drop("cells"), said=F.array_join(F.filter("texts", lambda t: t != ""), " "), heads=heads(F.col("texts"), F.col("last")), data=like_data(F.col("label"), F.col("numbers")))
+    row = F.struct("row", "texts", "numbers", "label", "said", "heads", "data")
+    return rows.groupBy(*TABLE).agg(F.array_sort(F.collect_list(row)).alias("m"), (F.max("last") + 1).alias("width"))
 
 
 def label(row: Column) -> Column:
@@ -41,32 +47,39 @@ def label(row: Column) -> Column:
     return F.get(F.filter(F.slice(row, 1, LABEL_CELLS), lambda c: (c["text"] != "") & (F.lower(c["text"]) != "nan") & c["number"].isNull()), F.lit(0))["text"]
 
 
-def like_data(row: Column) -> Column:
+def like_data(label: Column, numbers: Column) -> Column:
     """A row with a label that is no header's, and numbers that aren't all years."""
-    said = F.lower(F.coalesce(label(row), F.lit("")))
-    heads = F.exists(F.array(*map(F.lit, HEADER_WORDS)), lambda w: F.contains(said, w))
-    numbers = F.filter(F.transform(F.slice(row, 2, F.size(row)), lambda c: c["number"]), lambda x: x.isNotNull())
-    years = F.forall(numbers, lambda x: (x == F.floor(x)) & x.between(1900, 2100))
-    return (said != "") & ~heads & (F.size(numbers) > 0) & ~years
+    said = F.lower(F.coalesce(label, F.lit("")))
+    heading = F.exists(F.array(*map(F.lit, HEADER_WORDS)), lambda w: F.contains(said, w))
+    found = F.filter(F.slice(numbers, 2, F.size(numbers)), lambda x: x.isNotNull())
+    years = F.forall(found, lambda x: (x == F.floor(x)) & x.between(1900, 2100))
+    return (said != "") & ~heading & (F.size(found) > 0) & ~years
+
+
+def heads(texts: Column, last: Column) -> Column:
+    """For each column, and as many beyond the row's last as its texts reach, the nearest text in it or before it."""
+    window = lambda c: F.get(F.filter(F.reverse(F.slice(texts, F.greatest(F.lit(1), c + 1 - LOOK_LEFT), F.least(c + 1, F.lit(LOOK_LEFT + 1)))), lambda t: t != ""), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last + LOOK_LEFT), window)
 
 
 def candidates(tables: DataFrame) -> DataFrame:
-    """A row for each depth of the header that a table may have, from the first row that looks like data to HEADER_ROWS."""
+    """``options``: an array of the depths of the header that a table may have, from the first row that looks like data to
+    HEADER_ROWS, each with its headers and, for each column with numbers below it, how many and what stands above."""
     n = F.size("m")
-    first = F.array_position(F.transform(F.slice("m", 1, HEADER_ROWS), like_data), True).cast("int") - 1
+    first = F.array_position(F.slice(F.col("m")["data"], 1, HEADER_ROWS), True).cast("int") - 1
     inferred = F.when(first >= 0, F.greatest(F.lit(1), first)).otherwise(F.least(F.lit(DEFAULT_HEADER), n - 1))
     deep = F.greatest(inferred, F.least(n - 1, F.lit(HEADER_ROWS)))
-    return tables.where(n > 1).withColumn("depth", F.explode(F.sequence(inferred, deep))).where("depth < size(m)")
-
-
-def text_of(row: Column) -> Column:
-    return F.array_join(F.filter(F.transform(row, lambda c: c["text"]), lambda t: t != ""), " ")
-
-
-def header_of(col: Column) -> Column:
-    """What stands above a column in each header row, or in the cell before it, said once."""
-    window = lambda row: F.get(F.filter(F.reverse(F.slice(F.transform(row, lambda c: c["text"]), F.greatest(F.lit(1), col + 1 - LOOK_LEFT), F.least(col + 1, F.lit(LOOK_LEFT + 1)))), lambda t: t != ""), F.lit(0))
-    return F.array_join(F.array_distinct(F.filter(F.transform(F.slice("m", 1, F.col("depth")), window), lambda t: t.isNotNull())), " ")
+    made = once(tables.where(n > 1), depths=F.filter(F.sequence(inferred, deep), lambda d: d < n), values=F.col("m")["numbers"], said=F.col("m")["said"], heads=F.col("m")["heads"])
+    numbers = lambda d, c: F.size(F.filter(F.slice("values", d + 1, n), lambda row: F.get(row, c).isNotNull()))
+    filled = lambda d: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("width") - 1)), lambda c: F.struct(c.alias("col"), numbers(d, c).alias("n"))), lambda x: x["n"] > 0)
+    headers = lambda d: F.array_join(F.filter(F.slice("said", F.lit(1), d), lambda t: t != ""), " ")
+    made = once(made, options=F.transform("depths", lambda d: F.struct(d.alias("depth"), headers(d).alias("headers"), filled(d).alias("filled"))))
+    # What stands above a column in each header row, or in the cell before it, said once.
+    above = lambda d, c: F.array_join(F.array_distinct(F.filter(F.transform(F.slice("heads", F.lit(1), d), lambda row: F.get(row, c)), lambda t: t.isNotNull())), " ")
+    columns = lambda o: F.transform(o["filled"], lambda x: F.struct(x["col"].alias("col"), x["n"].alias("n"), above(o["depth"], x["col"]).alias("header")))
+    scope = lambda o: collapsed(F.concat_ws(" ", F.right(collapsed(F.coalesce("context", F.lit(""))), F.lit(CONTEXT_CHARS)), "caption", o["headers"]))
+    held = F.filter("options", lambda o: F.size(o["filled"]) > 0)
+    return once(made, opened=F.transform(held, lambda o: F.struct(o["depth"].alias("depth"), o["headers"].alias("headers"), scope(o).alias("scope"), columns(o).alias("columns")))).select(*tables.columns, F.col("opened").alias("options"))
 
 
 def parsed(cells: DataFrame, tables: DataFrame) -> DataFrame:
@@ -78,32 +91,28 @@ def parsed(cells: DataFrame, tables: DataFrame) -> DataFrame:
     rows, then the least depth is kept; a table without any isn't returned. Null texts are empty cells.
     """
     known = tables.select(*TABLE, "caption", "context").dropDuplicates(TABLE)
-    made = candidates(matrices(cells)).join(known, TABLE, "left")
-    head = F.array_join(F.filter(F.transform(F.slice("m", 1, F.col("depth")), text_of), lambda t: t != ""), " ")
-    body = F.slice("m", F.col("depth") + 1, F.size("m"))
-    made = once(made, headers=head, body=body)
-    scope = collapsed(F.concat_ws(" ", F.right(collapsed(F.coalesce("context", F.lit(""))), F.lit(CONTEXT_CHARS)), "caption", "headers"))
-    numbers = lambda c: F.size(F.filter("body", lambda row: F.get(row, c)["number"].isNotNull()))
-    filled = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("width") - 1)), lambda c: F.struct(c.alias("col"), numbers(c).alias("n"))), lambda x: x["n"] > 0)
-    made = once(made, scope=scope, filled=filled)
-    made = made.withColumns({"scope_period": periods.period(F.lit(""), F.col("scope")), "hint": periods.period(F.col("headers"), F.lit(""))})
-    made = once(made, many=F.filter("filled", lambda x: x["n"] >= VALUE_ROWS))
+    made = candidates(matrices(cells).join(known, TABLE, "left")).where("size(options) > 0")
+    made = made.withColumn("told", periods.periods_of_depths(F.col("options")["headers"], F.col("options")["scope"], F.transform("options", lambda o: o["columns"]["n"]), F.transform("options", lambda o: o["columns"]["header"]), VALUE_ROWS))
+    made = made.select(*TABLE, "m", "caption", "context", F.posexplode("told").alias("at", "told"), "options")
+    made = once(made, o=F.get("options", F.col("at"))).select(*TABLE, "caption", "context", "m", "told", "o.depth", "o.headers", "o.scope", F.col("o.columns").alias("above"))
+    each = F.transform(F.arrays_zip("above", F.col("told.columns").alias("own")), lambda x: F.struct(x["above"]["col"].alias("col"), x["above"]["n"].alias("n"), x["above"]["header"].alias("header"), x["own"].alias("own")))
+    made = once(made, each=each, body=F.slice("m", F.col("depth") + 1, F.size("m"))).drop("m", "above")
+    made = once(made, many=F.filter("each", lambda x: x["n"] >= VALUE_ROWS))
     # Columns with two numbers; else, below a header with a period, with one; else the only one, if the scope has a period.
-    chosen = F.when(F.size("many") > 0, F.col("many")).when(F.col("hint.dated") & (F.size("filled") > 0), F.col("filled")).when(F.col("scope_period.period_end").isNotNull() & (F.size("filled") == 1), F.col("filled"))
-    made = once(made, chosen=chosen)
+    chosen = F.when(F.size("many") > 0, F.col("many")).when(F.col("told.dated"), F.col("each")).when(F.col("told.scope.period_end").isNotNull() & (F.size("each") == 1), F.col("each"))
+    made = once(made, chosen=chosen).where("chosen IS NOT NULL")
 
-    each = made.select(*TABLE, "depth", "m", "scope", "scope_period", (F.size("chosen") == 1).alias("alone"), F.explode("chosen.col").alias("col"))
-    each = once(each, header=header_of(F.col("col")))
-    each = each.withColumn("own", periods.period(F.col("header"), F.col("scope")))
     # A column on its own may have its period from the scope alone.
-    found = F.when(F.col("own.period_end").isNotNull() | ~F.col("alone"), F.col("own")).otherwise(F.col("scope_period"))
-    each = once(each, end=found["period_end"], fiscal=found["fiscal_period"], currency=periods.printed_currency(F.col("header"), F.col("scope"))).where("end IS NOT NULL")
-    same = [*TABLE, "depth", "end", "fiscal", "currency"]
-    each = each.groupBy(*same).agg(F.min("col").alias("col"))
-    of_depth = each.groupBy(*TABLE, "depth").agg(F.array_sort(F.collect_list(F.struct("col", F.col("end").alias("period_end"), F.col("fiscal").alias("fiscal_period"), "currency"))).alias("periods"))
-    read = made.select(*TABLE, "caption", "context", "headers", "depth", "body").join(of_depth, [*TABLE, "depth"])
-    lines = F.transform("body", lambda row: F.struct(label(row).alias("label"), F.transform("periods", lambda p: F.get(row, p["col"])["number"]).alias("values")))
-    read = once(read, rows=F.filter(lines, lambda r: r["label"].isNotNull() & F.exists(r["values"], lambda v: v.isNotNull()))).where("size(rows) > 0").drop("body")
+    period = lambda x: F.when(x["own"]["period_end"].isNotNull() | (F.size("chosen") != 1), x["own"]).otherwise(F.col("told.scope"))
+    found = F.filter(F.transform("chosen", lambda x: F.struct(x["col"].alias("col"), x["header"].alias("header"), period(x).alias("p"))), lambda x: x["p"]["period_end"].isNotNull())
+    made = once(made, found=found).where("size(found) > 0")
+    named = F.transform("found", lambda x: F.struct(x["col"].alias("col"), F.struct(x["p"]["period_end"].alias("period_end"), x["p"]["fiscal_period"].alias("fiscal_period"), periods.printed_currency(x["header"], F.col("scope")).alias("currency")).alias("p")))
+    made = once(made, named=named)
+    # Of columns that are alike in all that is told the first.
+    firsts = F.filter("named", lambda x, i: F.array_position(F.col("named")["p"], x["p"]) == i + 1)
+    made = once(made, periods=F.transform(firsts, lambda x: F.struct(x["col"].alias("col"), x["p"]["period_end"].alias("period_end"), x["p"]["fiscal_period"].alias("fiscal_period"), x["p"]["currency"].alias("currency"))))
+    lines = F.transform("body", lambda row: F.struct(row["label"].alias("label"), F.transform("periods", lambda p: F.get(row["numbers"], p["col"])).alias("values")))
+    read = once(made, rows=F.filter(lines, lambda r: r["label"].isNotNull() & F.exists(r["values"], lambda v: v.isNotNull()))).where("size(rows) > 0")
     best = F.max_by(F.struct("caption", "context", "headers", "depth", "periods", "rows"), F.struct(F.size("periods"), F.size("rows"), -F.col("depth")))
     return read.groupBy(*TABLE).agg(best.alias("b")).select(*TABLE, "b.*")
 
@@ -141,15 +150,17 @@ def extract(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """
     found = candidate_tables(parsed(cells, tables))
     of = ["doc_id", "statement_type"]
-    currencies = found.select(*of, F.explode("periods").alias("p")).where("p.currency IS NOT NULL").groupBy(*of, F.col("p.currency").alias("currency")).agg(F.count(F.lit(1)).alias("n"))
-    main = currencies.groupBy(*of).agg(F.min(F.struct((-F.col("n")).alias("n"), "currency"))["currency"].alias("main"))
-    found = found.join(main, of, "left")
+    # The currencies that tables print are few, so each is counted beside the tables.
+    of_statement = Window.partitionBy(*of)
+    printed = lambda code: F.sum(F.size(F.filter("periods", lambda p: p["currency"] == code))).over(of_statement)
+    counts = F.array(*[F.struct((-printed(code)).alias("n"), F.lit(code).alias("currency")) for code in periods.PRINTED])
+    found = found.withColumn("counts", counts).withColumn("main", F.array_min(F.filter("counts", lambda x: x["n"] < 0))["currency"]).drop("counts")
     mine = F.filter("periods", lambda p: F.col("main").isNull() | (p["currency"] == F.col("main")))
     found = once(found, target=F.when(F.size(mine) > 0, mine).otherwise(F.col("periods")))
     signature = F.transform("target", lambda p: F.struct(p["period_end"], p["fiscal_period"]))
     clipped = F.filter(F.transform("rows", lambda r: F.struct(r["label"].alias("label"), aligned(r["values"], F.col("periods"), F.col("target")).alias("values"))), lambda r: F.exists(r["values"], lambda v: v.isNotNull()))
     found = once(found, signature=signature, clipped=clipped, scale=periods.printed_scale(F.col("caption"))).drop("rows").withColumnRenamed("clipped", "rows").where("size(rows) > 0")
-    first_scale = F.min_by("scale", "table").over(Window.partitionBy(*of))
+    first_scale = F.min_by("scale", "table").over(of_statement)
     found = found.withColumn("scale", first_scale)
     groups = found.groupBy(*of, "main", "scale", "signature").agg(
         F.array_sort(F.collect_list(F.struct("table", "rows"))).alias("parts"), F.min("table").alias("first"), F.sum(F.size("rows")).alias("n_rows"), F.count(F.lit(1)).alias("n_tables")

@@ -88,6 +88,16 @@ def test_kinds_of_tables(spark):
         assert r["got"] == r["want"], r
 
 
+def test_headers_are_read_no_deeper_than_needed():
+    """Values of rows aren't read as headers once every column has its period; they are where one has none."""
+    heads, scopes, counts = ["2023-12-31", "2023-12-31 7"], ["Balance 2023-12-31"] * 2, [[3], [2]]
+    assert len(periods._depths(heads, scopes, counts, [["2023-12-31"], ["2023-12-31 7"]], 2)) == 1
+    assert len(periods._depths(["x", "x 7"], ["", ""], counts, [["x"], ["x 7"]], 2)) == 2
+    # Two columns of one period, or one that is too thin to be a column of values, leave the next depth open.
+    assert len(periods._depths(heads, scopes, [[3, 3], [2, 2]], [["2023", "2023"], ["2023", "2022"]], 2)) == 2
+    assert len(periods._depths(heads, scopes, [[3, 1], [2, 1]], [["FY2023", "FY2022"]] * 2, 2)) == 2
+
+
 def frames(spark, docs):
     """docs: (doc_id, table, caption, context, lines), a line with its cells between bars."""
     cells = [(d, n, r, c, x) for d, n, _, _, lines in docs for r, line in enumerate(lines) for c, x in enumerate(line.split("|"))]
