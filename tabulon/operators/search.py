@@ -30,31 +30,38 @@ def profiled(found: DataFrame) -> DataFrame:
 def term_scores(found: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, section, scores): for each section that holds a term the score of every term, within its document.
 
-    A section is brought down to numbers, the words of each field and the places of each term in it, before anything is
-    shuffled. Lengths and document frequencies are one aggregate per document, combined before the shuffle.
+    A section is brought down to the numbers of its words and to those words that are terms, before anything is shuffled.
+    Lengths and document frequencies are one aggregate per document, combined before the shuffle. Terms are an array that
+    functions go over: a column for each outgrows what the JVM compiles, and the row is then interpreted.
     """
-    cells = found.select("doc_id", "section", *[C.tokens(F.coalesce(f, F.lit(""))).alias(f) for f in WEIGHTS])
-    count = lambda f, x: F.size(f) - F.size(F.array_remove(f, x))
-    # Two arrays rather than a column for each number: Spark's reasoning about what columns imply grows fast with them.
     fields = list(WEIGHTS)
-    numbers = cells.select("doc_id", "section", F.array(*[F.size(f) for f in fields]).alias("n_words"), F.array(*[count(f, x) for x in terms for f in fields]).alias("counts"))
-    words = lambda f: F.get("n_words", F.lit(fields.index(f)))
-    inside = lambda i, f: F.get("counts", F.lit(i * len(fields) + fields.index(f)))
     profile = [f for f in fields if f != "content"]
-    held = lambda i: F.exists(F.array(*[inside(i, f) for f in profile]), lambda x: x > 0)
-    averages = F.array(*[F.avg(words(f)) for f in profile]).alias("averages")
-    stats = numbers.groupBy("doc_id").agg(F.count("*").alias("n"), averages, F.array(*[F.count_if(held(i)) for i in range(len(terms))]).alias("df") if terms else F.array().cast("array<bigint>").alias("df"))
-    scores = []
-    for i in range(len(terms)):
+    cells = found.select("doc_id", "section", *[C.tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields])
+    own = lambda f: F.filter(f, lambda w: w.isin(*terms) if terms else F.lit(False))
+    # The content is apart, so that the aggregate doesn't take it into words.
+    numbers = cells.select("doc_id", "section", F.array(*[F.size(f) for f in profile]).alias("n_words"), F.array(*[own(f) for f in profile]).alias("own"), F.size("content").alias("n_content"), own("content").alias("own_content"))
+    averages = F.array(*[F.avg(F.get("n_words", F.lit(k))) for k in range(len(profile))]).alias("averages")
+    df = F.array(*[F.count_if(F.array_contains("held", x)) for x in terms]).alias("df") if terms else F.array().cast("array<bigint>").alias("df")
+    stats = numbers.withColumn("held", F.array_distinct(F.flatten("own"))).groupBy("doc_id").agg(F.count("*").alias("n"), averages, df)
+
+    def length(f: str) -> Column:
+        """What a field's counts are divided by for its length."""
+        average, b = F.get("averages", F.lit(profile.index("preview" if f == "content" else f))), LENGTH_B[f]
+        words = F.col("n_content") if f == "content" else F.get("n_words", F.lit(profile.index(f)))
+        return F.when(average > 0, 1 - b + b * words / average).otherwise(F.lit(1.0))
+
+    def score(x: Column, i: Column) -> Column:
         weighted: Column = F.lit(0.0)
-        for f, w in WEIGHTS.items():
-            average, n, b = F.get("averages", F.lit(profile.index("preview" if f == "content" else f))), inside(i, f), LENGTH_B[f]
-            weighted = weighted + w * F.when(average > 0, n / (1 - b + b * words(f) / average)).otherwise(n)
-        df = F.get("df", F.lit(i))
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        scores.append(F.struct(F.when(df > 0, idf).otherwise(0.0).alias("idf"), weighted.alias("w")))
-    rated = F.transform(F.array(*scores), lambda s: s["idf"] * (K1 + 1) * s["w"] / (K1 + s["w"])) if scores else F.array().cast("array<double>")
-    return numbers.where(F.exists("counts", lambda x: x > 0)).join(stats, "doc_id").select("doc_id", "section", rated.alias("scores"))
+        for k, (f, w) in enumerate(WEIGHTS.items()):
+            texts = F.col("own_content") if f == "content" else F.get("own", F.lit(profile.index(f)))
+            weighted = weighted + w * (F.size(F.filter(texts, lambda y: y == x)) / F.get("lengths", F.lit(k)))
+        df = F.get("df", i)
+        idf = F.when(df > 0, F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))).otherwise(0.0)
+        return C.let(F.struct(idf.alias("idf"), weighted.alias("w")), lambda s: s["idf"] * (K1 + 1) * s["w"] / (K1 + s["w"]))
+
+    holding = numbers.where((F.size("own_content") > 0) | F.exists("own", lambda o: F.size(o) > 0)).join(stats, "doc_id")
+    rated = F.transform(F.array(*map(F.lit, terms)), score) if terms else F.array().cast("array<double>")
+    return holding.withColumn("lengths", F.array(*map(length, fields))).select("doc_id", "section", rated.alias("scores"))
 
 
 def bm25f(found: DataFrame, terms: list[str]) -> DataFrame:
