@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -111,11 +114,20 @@ n AS (SELECT r, doc_id, word, pos, row_number() OVER (PARTITION BY r, word ORDER
 SELECT doc_id, string_agg(CASE WHEN n > 1 THEN word || '_' || n ELSE word END, ' ' ORDER BY pos) AS headers FROM n GROUP BY r, doc_id""")
 def arr1_unique_words(t):
     """Like arr1_unique_headers, over whole texts; repeated and null ids are rows of their own."""
-    rows = t.documents.where("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").repartition("row").select("row", "doc_id", F.posexplode(F.split(F.lower("text"), " ")).alias("pos", "word"))
-    n = F.row_number().over(Window.partitionBy("row", "doc_id", "word").orderBy("pos"))
-    named = rows.select("row", "doc_id", "pos", "word", n.alias("n")).withColumn("word", F.when(F.col("n") > 1, F.concat_ws("_", "word", "n")).otherwise(F.col("word")))
-    named = named.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    return named.select("doc_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("headers"))
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.arrow_udf(_numbered, "string")(F.lower("text")).alias("headers"))
+
+
+def _numbered(texts: pa.Array) -> pa.Array:
+    """The words of each text, from the second time on with their number: one pass and no exchange, however long it is."""
+
+    def one(text: str) -> str:
+        seen, out = Counter(), []
+        for word in text.split(" "):
+            seen[word] += 1
+            out.append(word if seen[word] == 1 else f"{word}_{seen[word]}")
+        return " ".join(out)
+
+    return pa.array([one(x.as_py()) for x in texts], pa.string())
 
 
 @plan("SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line, n_name AS second FROM nation")
