@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import columns as C
