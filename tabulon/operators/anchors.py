@@ -1,15 +1,20 @@
 """Sections of quarterly and foreign annual filings, from the parts and items that their lines head.
 
-What heads a line goes into one array for each document; anchors, picks and repairs are folds over it, so that a document
-is one row after a single exchange, and tables of contents, running headers and guides are told apart by what follows.
+What heads a line goes into one array for each document, after a single exchange; a task folds over a document's marks,
+so that tables of contents, running headers and guides are told apart by what follows. Each token's places are sorted
+and searched by halving, so that a document with many anchors doesn't have its items read again for each of them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import collapsed, let
+from tabulon.functions.columns import collapsed
 from tabulon.operators.sectioning import CONTENTS_RUN, CONTENTS_SPAN
 
 # Items of both parts of a quarterly report, and of a foreign annual one.
@@ -27,13 +32,16 @@ FOREIGN_ITEM = r"(?i)^\s*item\s+(16[A-K]|4A|1[0-9]|[1-9])\s*(?:[.:\-–—]|\s(?
 SIGNATURE = r"(?i)^\s*signatures?\s*$"
 GUIDE_ROW = r"(?i)^\s*(?:item\s+)?(16[A-K]|4A|1[0-9]|[1-9])\b[^|]*\|\s*[\"“']?([A-Za-z][^|\"”]{3,120}?)[\"”']?\s*[,;:]?\s*(?:\(?pages?\s.*|\d{1,4}(?:\s*[-–,]\s*\d{1,4})*)?\s*$"
 
-PICKS = "array<struct<token:string,at:bigint>>"
+Marks = list[tuple[int, str]]
 
 
 def documents(lines: DataFrame, **marks: Column) -> DataFrame:
-    """``lines(doc_id, at, line)`` -> (doc_id, size, and for each mark the array of struct<at, token> of its lines)."""
-    found = {name: F.array_sort(F.collect_list(F.when(token.isNotNull(), F.struct("at", token.alias("token"))))) for name, token in marks.items()}
-    return lines.groupBy("doc_id").agg(F.max(F.col("at") + F.length("line")).alias("size"), *[c.alias(name) for name, c in found.items()])
+    """``lines(doc_id, at, line)`` -> (doc_id, size, and for each mark two arrays, ``<mark>_at`` and ``<mark>``, of its
+    lines' places in order and of their tokens)."""
+    read = lines.select("doc_id", "at", (F.col("at") + F.length("line")).alias("end"), *[token.alias(name) for name, token in marks.items()])
+    found = [F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("at", name)))).alias(name) for name in marks]
+    found = read.groupBy("doc_id").agg(F.max("end").alias("size"), *found)
+    return found.select("doc_id", "size", *[c for name in marks for c in (F.col(f"{name}.at").alias(f"{name}_at"), F.col(f"{name}.{name}").alias(name))])
 
 
 def headed(pattern: str, group: int = 1) -> Column:
@@ -41,32 +49,39 @@ def headed(pattern: str, group: int = 1) -> Column:
     return F.nullif(F.upper(F.regexp_extract("line", pattern, group)), F.lit(""))
 
 
-def picked(marks: Column, order: tuple[str, ...], start: Column, end: Column) -> Column:
-    """Of each token in order the first mark behind the one picked before, from ``start`` on and before ``end`` (null: to
-    the last); tokens without one are left out."""
-    begin = F.struct((start - 1).cast("long").alias("at"), F.array().cast(PICKS).alias("out"))
-
-    def step(s: Column, token: Column) -> Column:
-        fits = F.filter(marks, lambda x: (x["token"] == token) & (x["at"] > s["at"]) & (end.isNull() | (x["at"] < end)))
-        return let(F.array_min(F.transform(fits, lambda x: x["at"])), lambda at: F.when(at.isNull(), s).otherwise(F.struct(at.alias("at"), F.concat(s["out"], F.array(F.struct(token.alias("token"), at.alias("at")))).alias("out"))))
-
-    return F.aggregate(F.array(*map(F.lit, order)), begin, step)["out"]
-
-
-def full_sections(picks: Column, end: Column) -> Column:
+class Items:
+    """A document's items in the order of their places."""
+
+    def __init__(self, at: list[int], tokens: list[str]):
+        self.at, self.tokens = at, tokens
+        self.places: dict[str, list[int]] = {}
+        for a, token in zip(at, tokens):
+            self.places.setdefault(token, []).append(a)
+
+    def picked(self, order: tuple[str, ...], start: int, end: int | None) -> Marks:
+        """Of each token in order the first mark behind the one picked before, from ``start`` on and before ``end`` (None:
+        to the last); tokens without one are left out."""
+        out: Marks = []
+        for token in order:
+            places = self.places.get(token, [])
+            k = bisect_left(places, start)
+            if k < len(places) and (end is None or places[k] < end):
+                out.append((places[k], token))
+                start = places[k] + 1
+        return out
+
+    def behind_contents(self) -> int:
+        """Where the contents end: at the last of a run of marks from the first on, each close to the next; 0 without such a
+        run. The last one stays in play if tokens begin again with it."""
+        stop = next((k for k in range(len(self.at)) if k + 1 == len(self.at) or self.at[k + 1] - self.at[k] >= CONTENTS_SPAN), -1)
+        if stop < CONTENTS_RUN:
+            return 0
+        return self.at[stop] + (0 if self.tokens[stop] in self.tokens[:stop] else 1)
+
+
+def full_sections(picks: Marks, end: int) -> int:
     """How many of the picks are LEAST_SPAN characters or more before the next one, the last before ``end``."""
-    ends = F.transform(picks, lambda x, i: F.coalesce(F.get(picks, i + 1)["at"], end) - x["at"])
-    return F.size(F.filter(ends, lambda n: n >= LEAST_SPAN))
-
-
-def behind_contents(marks: Column) -> Column:
-    """Where the contents end: at the last of a run of marks from the first on, each close to the next; 0 without such a run.
-    The last one stays in play if tokens begin again with it."""
-    places = F.transform(marks, lambda x: x["at"])
-    gap = F.transform(places, lambda at, i: F.coalesce(F.get(places, i + 1) - at, F.lit(CONTENTS_SPAN)))
-    stop = F.array_position(F.transform(gap, lambda g: g >= CONTENTS_SPAN), True).cast("int") - 1
-    again = F.exists(F.slice(marks, 1, F.greatest(stop, F.lit(0))), lambda x: x["token"] == F.get(marks, stop)["token"])
-    return F.when(stop >= CONTENTS_RUN, F.get(places, stop) + F.when(again, 0).otherwise(1)).otherwise(F.lit(0).cast("long"))
+    return sum(b - a >= LEAST_SPAN for (a, _), b in zip(picks, [*[a for a, _ in picks[1:]], end]))
 
 
 def quarterly_sections(lines: DataFrame) -> DataFrame:
@@ -80,29 +95,47 @@ def quarterly_sections(lines: DataFrame) -> DataFrame:
     """
     item = F.coalesce(headed(QUARTERLY_ITEM), headed(BARE_ITEM))
     found = documents(lines, one=F.when(F.col("line").rlike(PART_ONE_HEADING), F.lit("I")), two=F.when(F.col("line").rlike(PART_TWO_HEADING), F.lit("II")), items=item, signs=F.when(F.col("line").rlike(SIGNATURE), F.lit("SIGNATURE")))
-    two = F.array_max(F.col("two.at"))
-    found = found.withColumn("second", two)
-    before = F.filter("one.at", lambda at: F.col("second").isNull() | (at < F.col("second")))
-    good = F.filter(F.reverse(F.array_sort(before)), lambda at: full_sections(picked(F.col("items"), PART_ONE, at, F.col("second")), F.coalesce("second", "size")) >= LEAST_SECTIONS)
-    found = found.withColumn("first", F.get(good, F.lit(0)))
-    close = F.col("second") - F.array_min("one.at") < CONTENTS_SPREAD
-    loose = picked(F.col("items"), PART_ONE, behind_contents(F.col("items")), F.when(F.coalesce(close, F.lit(False)), None).otherwise(F.col("second")))
-    loose = let(loose, lambda x: F.when(F.size(x) >= LEAST_AFTER_CONTENTS, x).otherwise(F.array().cast(PICKS)))
-    found = found.withColumn("part_one", F.when(F.col("first").isNotNull(), picked(F.col("items"), PART_ONE, F.col("first"), F.col("second"))).otherwise(loose))
-    begin = F.when(F.size("part_one") > 0, F.try_element_at(F.col("part_one.at"), F.size("part_one")) + 1).otherwise(F.coalesce("second", behind_contents(F.col("items"))))
-    found = found.withColumn("part_two", picked(F.col("items"), PART_TWO, begin, F.lit(None).cast("long")))
-    named = lambda picks, part: F.transform(picks, lambda x: F.struct(x["at"].alias("start"), F.concat(F.lit(f"Part {part} - Item "), x["token"]).alias("title")))
-    return sections(found, F.concat(named("part_one", "I"), named("part_two", "II")), LEAST_MARKERS)
-
-
-def sections(found: DataFrame, marks: Column, least: int) -> DataFrame:
-    """(doc_id, title, start, end) of marks(start, title), with the first signature behind the last one."""
-    found = found.select("doc_id", "size", "signs", marks.alias("marks")).where(F.size("marks") >= least)
-    furthest = F.array_max(F.transform("marks", lambda x: x["start"]))
-    sign = F.slice(F.filter("signs", lambda s: s["at"] > furthest), 1, 1)
-    every = F.array_sort(F.concat("marks", F.transform(sign, lambda s: F.struct(s["at"].alias("start"), s["token"].alias("title")))))
-    each = found.select("doc_id", "size", every.alias("marks")).select("*", F.posexplode("marks").alias("k", "m"))
-    return each.select("doc_id", F.col("m.title").alias("title"), F.col("m.start").alias("start"), F.coalesce(F.get("marks", F.col("k") + 1)["start"], "size").alias("end"))
+    return sections(found.select("doc_id", "size", "signs_at", "one_at", "two_at", "items_at", "items"), quarterly_marks)
+
+
+def quarterly_marks(size: int | None, one: list[int], two: list[int], at: list[int], tokens: list[str]) -> Marks:
+    """(start, title) of a document's items."""
+    items = Items(at, tokens)
+    second = two[-1] if two else None
+    part: Marks = []
+    for anchor in reversed(one[: bisect_left(one, second)] if two else one):
+        trial = items.picked(PART_ONE, anchor, second)
+        if trial and full_sections(trial, size if second is None else second) >= LEAST_SECTIONS:
+            part = trial
+            break
+    else:
+        close = one and two and second - one[0] < CONTENTS_SPREAD
+        loose = items.picked(PART_ONE, items.behind_contents(), None if close else second)
+        part = loose if len(loose) >= LEAST_AFTER_CONTENTS else []
+    begin = part[-1][0] + 1 if part else items.behind_contents() if second is None else second
+    return [*[(a, f"Part I - Item {t}") for a, t in part], *[(a, f"Part II - Item {t}") for a, t in items.picked(PART_TWO, begin, None)]]
+
+
+def sections(found: DataFrame, marks: Callable[..., Marks]) -> DataFrame:
+    """(doc_id, title, start, end) of the marks that ``marks`` makes of a document's size and what follows its signatures
+    in ``found(doc_id, size, signs_at, ...)``, with the first signature behind the last one; LEAST_MARKERS of them at least."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, titles, starts, ends = [], [], [], []
+            for k, (size, signs, *own) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                every = marks(size, *own)
+                if len(every) < LEAST_MARKERS:
+                    continue
+                last = max(a for a, _ in every)
+                every = sorted([*every, *[(s, "SIGNATURE") for s in signs if s > last][:1]])
+                row += [k] * len(every)
+                titles += [t for _, t in every]
+                starts += [a for a, _ in every]
+                ends += [*[a for a, _ in every[1:]], size]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(titles, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "title", "start", "end"])
+
+    return found.mapInArrow(fold, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, title string, start long, end long")
 
 
 def foreign_sections(lines: DataFrame) -> DataFrame:
@@ -114,25 +147,34 @@ def foreign_sections(lines: DataFrame) -> DataFrame:
     if it is four items or more, not all within LEAST_SPAN of each other, and, with the items found by number where it has
     none, has every key item; else the numbered ones stay. Fewer than three give no section.
     """
-    row = lambda group: F.regexp_extract("line", GUIDE_ROW, group)
+    row = lambda group: F.when(F.contains("line", F.lit("|")), F.regexp_extract("line", GUIDE_ROW, group)).otherwise("")
     guide = lines.where(row(2) != "").select("doc_id", F.upper(row(1)).alias("token"), F.lower(collapsed(row(2))).alias("heading"), F.col("at").alias("listed"))
     guide = guide.groupBy("doc_id", "token").agg(F.min_by("heading", "listed").alias("heading"), F.min("listed").alias("listed"))
-    # A line and a heading meet by their first three words, then by the whole heading: no document's lines are paired with all its headings.
-    opening = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
-    said = lines.where(row(2) == "").select("doc_id", "at", F.lower(collapsed("line")).alias("said"))
-    ends = guide.groupBy("doc_id").agg(F.max("listed").alias("guide_end"))
-    said = said.join(ends, "doc_id").where("at > guide_end")
-    keyed = said.select("doc_id", "at", "said", F.explode(F.array_distinct(F.array(*[F.array_join(F.slice(F.split("said", " "), 1, n), " ") for n in (1, 2, 3)]))).alias("opening"))
-    met = guide.withColumn("opening", opening("heading")).join(keyed, ["doc_id", "opening"]).where(F.startswith("said", "heading"))
-    rebuilt = met.groupBy("doc_id", "token").agg(F.min("at").alias("at")).groupBy("doc_id").agg(F.collect_list(F.struct("token", "at")).alias("guided"))
-
-    found = documents(lines, items=F.when(row(2) == "", headed(FOREIGN_ITEM)), signs=F.when(F.col("line").rlike(SIGNATURE), F.lit("SIGNATURE"))).join(rebuilt, "doc_id", "left")
-    found = found.withColumn("numbered", picked(F.col("items"), FOREIGN, behind_contents(F.col("items")), F.lit(None).cast("long")))
-    keys = F.array(*map(F.lit, FOREIGN_KEY))
-    covers = lambda picks: F.size(F.array_except(keys, F.transform(picks, lambda x: x["token"]))) == 0
-    spread = F.array_max(F.col("guided.at")) - F.array_min(F.col("guided.at"))
-    merged = F.concat("guided", F.filter("numbered", lambda x: ~F.array_contains(F.col("guided.token"), x["token"])))
-    broken = (F.size("numbered") < LEAST_FOREIGN) | ~covers("numbered")
-    usable = broken & (F.size("guided") >= LEAST_FOREIGN) & (spread >= LEAST_SPAN)
-    kept = F.when(usable & covers("guided"), F.col("guided")).when(usable & covers(merged), merged).otherwise(F.col("numbered"))
-    return sections(found, F.transform(kept, lambda x: F.struct(x["at"].alias("start"), F.concat(F.lit("Item "), x["token"]).alias("title"))), LEAST_MARKERS)
+    # A document's guide has one heading for each token, so a line is compared with a bounded number of them; headings of up
+    # to three words are met as whole words.
+    short = F.size(F.split("heading", " ")) <= 3
+    guide = guide.withColumn("heading", F.concat("heading", F.when(short, " ").otherwise("")))
+    guide = guide.groupBy("doc_id").agg(F.max("listed").alias("guide_end"), F.collect_list(F.struct("token", "heading")).alias("guide"))
+    read = lines.join(guide, "doc_id", "left").withColumn("plain", row(2) == "")
+    read = read.withColumn("said", F.when(F.col("plain") & (F.col("at") > F.col("guide_end")), F.concat(F.lower(collapsed("line")), F.lit(" "))))
+    begun = F.transform(F.filter("guide", lambda g: F.startswith(F.col("said"), g["heading"])), lambda g: g["token"])
+    found = documents(read, items=F.when(F.col("plain"), headed(FOREIGN_ITEM)), signs=F.when(F.col("line").rlike(SIGNATURE), F.lit("SIGNATURE")), met=F.when(F.col("said").isNotNull(), F.nullif(F.array_join(begun, " "), F.lit(""))))
+    return sections(found.select("doc_id", "size", "signs_at", "items_at", "items", "met_at", "met"), foreign_marks)
+
+
+def foreign_marks(size: int | None, at: list[int], tokens: list[str], met_at: list[int], met: list[str]) -> Marks:
+    """(start, title) of a document's items; ``met``: the tokens, parted by spaces, whose headings lines begin with."""
+    items = Items(at, tokens)
+    numbered = items.picked(FOREIGN, items.behind_contents(), None)
+    first: dict[str, int] = {}
+    for a, begun in zip(met_at, met):
+        for token in begun.split(" "):
+            first.setdefault(token, a)
+    guided = [(a, token) for token, a in first.items()]
+    merged = guided + [(a, token) for a, token in numbered if token not in first]
+    covers = lambda picks: {token for _, token in picks}.issuperset(FOREIGN_KEY)
+    kept = numbered
+    broken = len(numbered) < LEAST_FOREIGN or not covers(numbered)
+    if broken and len(guided) >= LEAST_FOREIGN and max(first.values()) - min(first.values()) >= LEAST_SPAN and covers(merged):
+        kept = guided if covers(guided) else merged
+    return [(a, f"Item {token}") for a, token in kept]

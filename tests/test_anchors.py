@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -131,6 +132,29 @@ def test_quarterly_reports_against_a_walk(spark):
         assert sorted(e for *_, e in got.get(d, [])) == sorted([a for a, _ in want[1:]] + [size] * bool(want)), d
 
 
+def test_a_document_with_many_anchors(spark):
+    """Thousands of running headers, none of which has two full sections behind it: items aren't read again for each."""
+    items = [x for _ in range(1500) for x in ("Item 1. A", "Item 2. A", "Item 3. A", "Part I. Financial Information", "Part I. Financial Information")]
+    lines, _ = placed(spark, {1: [*items[:3], FILL, *items[3:], "PART II OTHER INFORMATION", "Item 1. B", "Item 6. B"]})
+    start = time.monotonic()
+    got = [r["title"] for r in anchors.quarterly_sections(lines).orderBy("start").collect()]
+    assert got == ["Part I - Item 1", "Part I - Item 2", "Part I - Item 3", "Part II - Item 1", "Part II - Item 2", "Part II - Item 3", "Part II - Item 6"]
+    assert time.monotonic() - start < 60
+
+
+def test_a_foreign_reports_lines_are_placed_once_for_guides_and_once_for_items(spark):
+    from tabulon import plans
+
+    plan = plans.queries()["doc5_foreign_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2
+
+
+def test_short_headings_of_a_guide_are_whole_words(spark):
+    guide = ["3 Key | Risk, 12", "4 Company | Our business, 20", "5 Review | Operating review and prospects, 31", "18 Statements | Accounts, 90"]
+    lines, text = placed(spark, {1: [*guide, "Risky", "RISK  of", FILL, "Our business", FILL, "Operating review and prospectss", FILL, "Accounts"]})
+    assert titles(anchors.foreign_sections(lines), text)[1] == [("Item 3", "RISK  of"), ("Item 4", "Our business"), ("Item 5", "Operating review and prospectss"), ("Item 18", "Accounts")]
+
+
 @pytest.mark.parametrize("key_found", [True, False])
 def test_foreign_reports_by_number_and_by_guide(spark, key_found):
     guide = ["Form 20-F caption | Location", "Item 3 Key information | Risk factors, 12", "Item 4 Company | Our business in brief, pages 20-30", 'Item 5 Review | "Operating review", 31', "Item 6 Directors | Board and people, 40", "18 Statements | Consolidated accounts, 90"]
