@@ -193,34 +193,58 @@ class Automaton:
         self.passages.append((source, start, np.array([self.ids.setdefault(w, len(self.ids)) for w in found])))
 
     def compiled(self) -> Automaton:
-        for phrase, places in self.places.items():
-            self.automaton.add_word(phrase, (len(phrase), places))
+        """All passages' words become one array, and so do all phrases' places, so that a document's hits are compared at
+        once."""
+        for k, phrase in enumerate(self.places):
+            self.automaton.add_word(phrase, (len(phrase), k))
         self.automaton.make_automaton()
+        self.first = np.cumsum([0, *map(len, self.places.values())])
+        self.of, self.offset = np.array([p for places in self.places.values() for p in places], np.int64).reshape(-1, 2).T
+        self.source, self.start = np.array([p[:2] for p in self.passages], np.int64).reshape(-1, 2).T
+        self.length = np.array([len(p[2]) for p in self.passages], np.int64)
+        self.base = np.cumsum(self.length) - self.length
+        self.known = np.concatenate([*[p[2] for p in self.passages], [-2]]).astype(np.int64)
         return self
 
+    def alignments(self, at: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each passage that one of the phrases, found at these words of a document, is in, and the word at which the passage
+        would begin there; each pair once."""
+        n = self.first[phrases + 1] - self.first[phrases]
+        which = np.repeat(self.first[phrases] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.unique((self.of[which] << 32) | (np.repeat(at, n) - self.offset[which] + (1 << 31)))
+        return both >> 32, (both & ((1 << 32) - 1)) - (1 << 31)
+
     def locate(self, doc: int, text: bytes) -> tuple[list[int], list[int]]:
         """Starts and ends of the runs of words that windows cover which also start earlier."""
         own = words(text)
         if len(own) < self.window or not len(self.automaton):
             return [], []
         stream = (b" " + b" ".join(own) + b" ").decode("latin-1")
-        hits = [(end - size + 1, places) for end, (size, places) in self.automaton.iter(stream)]
+        hits = [(end - size + 1, k) for end, (size, k) in self.automaton.iter(stream)]
         if not hits:
             return [], []
+        places, phrases = np.array(hits, np.int64).T
         spaces = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-        at = np.searchsorted(spaces, [h[0] for h in hits], side="right").tolist()
+        passage, shift = self.alignments(np.searchsorted(spaces, places, side="right"), phrases)
+        low, high = np.maximum(0, shift), np.minimum(len(own), shift + self.length[passage])
+        # Not the place that the passage was taken from.
+        other = ((self.source[passage] != doc) | (self.start[passage] != shift)) & (high - low >= self.window)
+        skip, low, size = (self.base[passage] - shift)[other], low[other], (high - low)[other]
         ids = np.fromiter((self.ids.get(w, -1) for w in own), np.int64, len(own))
+        ids = np.append(ids, -1)
         gone = np.zeros(len(own) + 1, np.int64)
-        for passage, shift in {(k, place - offset) for place, (_, places) in zip(at, hits) for k, offset in places}:
-            source, start, known = self.passages[passage]
-            if source == doc and start == shift:
-                continue  # the place that the passage was taken from
-            low, high = max(0, shift), min(len(own), shift + len(known))
-            same = np.concatenate([[False], ids[low:high] == known[low - shift : high - shift], [False]])
-            first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) >> 18)) + 1):
+            ends = np.cumsum(size[part] + 1)  # each alignment's words and one more, which parts it from the next
+            if not len(ends):
+                continue
+            word = np.arange(ends[-1]) + np.repeat(low[part] - ends + size[part] + 1, size[part] + 1)
+            same = ids[word] == self.known[word + np.repeat(skip[part], size[part] + 1)]
+            same[ends - 1] = False
+            edge = np.diff(same.astype(np.int8), prepend=np.int8(0))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             long = last - first >= self.window
-            np.add.at(gone, low + first[long], 1)
-            np.add.at(gone, low + last[long], -1)
+            start = word[first[long]]
+            gone += np.bincount(start, minlength=len(gone)) - np.bincount(start + (last - first)[long], minlength=len(gone))
         covered = np.concatenate([[False], np.cumsum(gone)[:-1] > 0, [False]])
         return np.flatnonzero(covered[1:] & ~covered[:-1]).tolist(), np.flatnonzero(covered[:-1] & ~covered[1:]).tolist()
 

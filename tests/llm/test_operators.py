@@ -571,3 +571,21 @@ def test_a_budget_that_ends_between_copies_with_a_map(spark):
     docs = spark.createDataFrame([(1, "four words of text", "a", {"k": 1})] * 9, "doc_id long, text string, source string, more map<string, int>")
     found = mixing.mix(docs, budget=20).collect()
     assert len(found) == 5 and all(r["more"] == {"k": 1} for r in found)
+
+
+def test_a_phrase_in_very_many_passages_is_compared_at_once():
+    import time
+
+    from tabulon.llm.phrases import Automaton
+
+    hot = [f"h{k}".encode() for k in range(20)]
+    found = Automaton(20)
+    for k in range(2000):
+        found.add(k, 0, b" ".join([b"a%d" % k, *hot, b"b%d" % k]))
+    found = found.compiled()
+    start = time.monotonic()
+    got = found.locate(5000, b" ".join([*hot, b"x", b"a7", *hot, b"b7", *([b"y", *hot] * 100)]))
+    assert got == ([0, 21, *range(44, 44 + 2100, 21)], [20, 43, *range(64, 64 + 2100, 21)])
+    assert time.monotonic() - start < 2.5
+    assert found.locate(7, b" ".join([b"a7", *hot, b"b7"]))[0] == [1]
+    assert Automaton(20).compiled().locate(1, b" ".join(hot)) == ([], [])
