@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import BROADCAST_ROWS, discard, restrict, small_batches, stored, tidy, without, work_dir
-from tabulon.llm.shingles import HASHES, anchors, forget, ngram_hashes, sliding
+from tabulon.llm.shingles import PIECE, anchors, hashed_words, ngram_hashes, sliding
 
 GRAM = 6
 #: Words of the passages in a shard, and documents that one copy of a shard's automaton streams.
@@ -34,17 +34,20 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """Hashes of a text's words, n-grams and windows."""
+    """Hashes of the words, n-grams and windows of some texts, of which no window has words of two."""
 
-    def __init__(self, text: bytes | None, window: int):
-        self.words = words(text)
-        self.hashes = HASHES.of(self.words)
+    def __init__(self, texts: list[bytes | None], window: int):
+        texts = [t or b"" for t in texts]
+        self.hashes, starts, _ = hashed_words(b"\n".join(texts))
+        self.owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
         self.width = window - GRAM + 1
-        self.grams = ngram_hashes(self.hashes, GRAM) if len(self.words) >= window else np.zeros(0, np.uint64)
+        some = len(self.hashes) >= window
+        self.grams = ngram_hashes(self.hashes, GRAM) if some else np.zeros(0, np.uint64)
+        self.whole = self.owner[: 1 - window] == self.owner[window - 1 :] if some else np.zeros(0, bool)
 
     @cached_property
     def at(self) -> np.ndarray:
-        return anchors(self.grams, self.width)
+        return anchors(self.grams, self.width, self.whole)
 
     def anchors(self) -> np.ndarray:
         return self.grams[self.at].view(np.int64)
@@ -57,6 +60,16 @@ class Windows:
         return sliding(self.grams, self.width, np.minimum).view(np.int64)
 
 
+def together(texts: list[bytes | None]) -> Iterator[slice]:
+    """Texts that are hashed at once, since a call for each takes longer than the work on a short one."""
+    first = size = 0
+    for k, text in enumerate(texts, 1):
+        size += len(text or b"")
+        if size >= PIECE or k == len(texts):
+            yield slice(first, k)
+            first, size = k, 0
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[list]]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
@@ -76,15 +89,25 @@ def counted(hashes: list[np.ndarray], ids: list[int]) -> list[np.ndarray]:
     return [found, owner[first], n]
 
 
+def seen_anchors(ids: np.ndarray, texts: list[bytes | None], window: int) -> list[np.ndarray]:
+    """The texts' distinct anchors, whose each is, and how often it has it."""
+    w = Windows(texts, window)
+    found, owner = w.anchors(), w.owner[w.at]
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    first = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]))[: len(found)])
+    return [found[first], ids[owner[first]], np.diff(np.append(first, len(found)))]
+
+
 def recurring_anchors(texts: DataFrame, window: int, path: str) -> DataFrame:
     """(id, anchors): the anchors of each document that are there at two places of the table at least."""
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, own in batches_of(batches, 512):
-            found = [np.unique(Windows(t, window).anchors(), return_counts=True) for t in own]
-            yield packed([np.concatenate([f[0] for f in found]), np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found]), np.concatenate([f[1] for f in found])], ["anchor", "id", "n"])
+            for some in together(own):
+                yield packed(seen_anchors(np.array(ids[some], np.int64), own[some], window), ["anchor", "id", "n"])
 
-    seen = stored(texts.mapInArrow(tidy(see, forget), "anchor long, id long, n long"), f"{path}/anchors")
+    seen = stored(texts.mapInArrow(tidy(see), "anchor long, id long, n long"), f"{path}/anchors")
     recurring = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     found = seen.select("anchor", "id").join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     found = stored(found, f"{path}/recurring")
@@ -100,23 +123,29 @@ def place(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return among[at] == values, at
 
 
-def candidates(text: bytes, known: list[int], window: int) -> np.ndarray:
-    """Hashes of the text's windows whose anchor recurs."""
-    w = Windows(text, window)
-    return w.windows(window)[place(w.smallest(), np.sort(np.array(known, np.int64)))[0]] if len(w.grams) else np.zeros(0, np.int64)
+def candidates(texts: list[bytes | None], known: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' windows whose anchor recurs, and how many each text has. ``known``: the texts' anchors that
+    recur; one that does is known of every text that has it, so all texts' may be looked up together."""
+    w = Windows(texts, window)
+    if not len(w.grams):
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    at = np.flatnonzero(w.whole & place(w.smallest(), np.unique(known))[0])
+    return w.windows(window)[at], np.bincount(w.owner[at], minlength=len(texts))
 
 
 def candidate_windows(held: DataFrame, window: int, path: str) -> DataFrame:
     """(id, hashes): each document's candidates, hashed once for the two steps that read them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, known in batches_of(batches, 512):
-            own = [candidates(t, k, window) for t, k in zip(texts, known)]
-            offsets = np.cumsum([0, *map(len, own)])
-            lists = pa.LargeListArray.from_arrays(offsets, np.concatenate(own)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "hashes"])
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for some in together(texts):
+                part = batch.slice(some.start, some.stop - some.start)
+                hashes, n = candidates(texts[some], part.column(2).flatten().to_numpy(), window)
+                lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(n)), hashes).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "hashes"])
 
-    return stored(held.mapInArrow(tidy(each, forget), "id long, hashes array<long>").where(F.size("hashes") > 0), f"{path}/hashes")
+    return stored(held.mapInArrow(tidy(each), "id long, hashes array<long>").where(F.size("hashes") > 0), f"{path}/hashes")
 
 
 def recurring_windows(hashed: DataFrame, path: str) -> DataFrame:
@@ -155,26 +184,27 @@ def passages(held: DataFrame, windows: DataFrame, window: int, path: str) -> Dat
         for ids, texts, known, hashes in batches_of(batches, 128):
             out: list[tuple] = []
             for source, text, anchor, mine in zip(ids, texts, known, hashes):
-                w = Windows(text, window)
+                w = Windows([text], window)
                 every, first = np.unique(w.windows(window), return_index=True)
                 at = np.sort(first[np.isin(every, np.array(mine, np.int64))])
-                inside, recurs = w.at, np.isin(w.anchors(), np.array(anchor, np.int64))
+                own, inside, recurs = words(text), w.at, np.isin(w.anchors(), np.array(anchor, np.int64))
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     if len(run):
                         start, end = int(run[0]), int(run[-1]) + window
                         of = recurs & (inside >= start) & (inside <= end - GRAM)
-                        out.append((source, start, b" ".join(w.words[start:end]), w.anchors()[of].tolist()))
+                        out.append((source, start, b" ".join(own[start:end]), w.anchors()[of].tolist()))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(4)], names=["source", "start", "passage", "anchors"])
 
-    return stored(restrict(held, firsts.select("id"), "id").join(firsts, "id").mapInArrow(tidy(join, forget), "source long, start long, passage binary, anchors array<long>"), f"{path}/passages")
+    return stored(restrict(held, firsts.select("id"), "id").join(firsts, "id").mapInArrow(tidy(join), "source long, start long, passage binary, anchors array<long>"), f"{path}/passages")
 
 
 class Automaton:
     """Finds a shard's passages, and every part of them of a window or more, in a document.
 
     The passages' words, cut into pieces of which every window holds a whole one, are what is compiled. A hit says which
-    passage lies how against the document; the words of both are then compared all along.
+    passage lies how against the document. Hashes of the words of both are then compared all along, and the bytes of what
+    is alike.
     """
 
     def __init__(self, window: int):
@@ -182,15 +212,14 @@ class Automaton:
 
         self.window, self.piece = window, (window + 1) // 2
         self.automaton, self.places = ahocorasick.Automaton(), {}
-        self.ids: dict[bytes, int] = {}
-        self.passages: list[tuple[int, int, np.ndarray]] = []
+        self.passages: list[tuple[int, int, bytes]] = []
 
     def add(self, source: int, start: int, passage: bytes) -> None:
         found = passage.split()
         for at in range(0, len(found) - self.piece + 1, self.piece):
             phrase = (b" " + b" ".join(found[at : at + self.piece]) + b" ").decode("latin-1")
             self.places.setdefault(phrase, []).append((len(self.passages), at))
-        self.passages.append((source, start, np.array([self.ids.setdefault(w, len(self.ids)) for w in found])))
+        self.passages.append((source, start, b" ".join(found) + b" "))
 
     def compiled(self) -> Automaton:
         """All passages' words become one array, and so do all phrases' places, so that a document's hits are compared at
@@ -201,9 +230,11 @@ class Automaton:
         self.first = np.cumsum([0, *map(len, self.places.values())])
         self.of, self.offset = np.array([p for places in self.places.values() for p in places], np.int64).reshape(-1, 2).T
         self.source, self.start = np.array([p[:2] for p in self.passages], np.int64).reshape(-1, 2).T
-        self.length = np.array([len(p[2]) for p in self.passages], np.int64)
+        self.text = b"".join(p[2] for p in self.passages)
+        self.known, _, sizes = hashed_words(self.text)
+        self.ends = np.cumsum(sizes + 1)
+        self.length = np.array([p[2].count(b" ") for p in self.passages], np.int64)
         self.base = np.cumsum(self.length) - self.length
-        self.known = np.concatenate([*[p[2] for p in self.passages], [-2]]).astype(np.int64)
         return self
 
     def alignments(self, at: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,38 +247,59 @@ class Automaton:
 
     def locate(self, doc: int, text: bytes) -> tuple[list[int], list[int]]:
         """Starts and ends of the runs of words that windows cover which also start earlier."""
-        own = words(text)
-        if len(own) < self.window or not len(self.automaton):
+        stream = b" ".join(words(text)) + b" "
+        if not len(self.automaton) or stream.count(b" ") < self.window:
             return [], []
-        stream = (b" " + b" ".join(own) + b" ").decode("latin-1")
-        hits = [(end - size + 1, k) for end, (size, k) in self.automaton.iter(stream)]
+        hits = [(end - size + 1, k) for end, (size, k) in self.automaton.iter(" " + stream.decode("latin-1"))]
         if not hits:
             return [], []
         places, phrases = np.array(hits, np.int64).T
-        spaces = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-        passage, shift = self.alignments(np.searchsorted(spaces, places, side="right"), phrases)
+        own, _, sizes = hashed_words(stream)
+        ends = np.cumsum(sizes + 1)
+        passage, shift = self.alignments(np.searchsorted(ends, places, side="right"), phrases)
         low, high = np.maximum(0, shift), np.minimum(len(own), shift + self.length[passage])
         # Not the place that the passage was taken from.
         other = ((self.source[passage] != doc) | (self.start[passage] != shift)) & (high - low >= self.window)
         skip, low, size = (self.base[passage] - shift)[other], low[other], (high - low)[other]
-        ids = np.fromiter((self.ids.get(w, -1) for w in own), np.int64, len(own))
-        ids = np.append(ids, -1)
         gone = np.zeros(len(own) + 1, np.int64)
         for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) >> 18)) + 1):
-            ends = np.cumsum(size[part] + 1)  # each alignment's words and one more, which parts it from the next
-            if not len(ends):
-                continue
-            word = np.arange(ends[-1]) + np.repeat(low[part] - ends + size[part] + 1, size[part] + 1)
-            same = ids[word] == self.known[word + np.repeat(skip[part], size[part] + 1)]
-            same[ends - 1] = False
-            edge = np.diff(same.astype(np.int8), prepend=np.int8(0))
-            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            long = last - first >= self.window
-            start = word[first[long]]
-            gone += np.bincount(start, minlength=len(gone)) - np.bincount(start + (last - first)[long], minlength=len(gone))
+            for start, end in self.alike(stream, own, ends, low[part], size[part], skip[part]):
+                gone[start] += 1
+                gone[end] -= 1
         covered = np.concatenate([[False], np.cumsum(gone)[:-1] > 0, [False]])
         return np.flatnonzero(covered[1:] & ~covered[:-1]).tolist(), np.flatnonzero(covered[:-1] & ~covered[1:]).tolist()
 
+    def alike(self, stream: bytes, own: np.ndarray, ends: np.ndarray, low: np.ndarray, size: np.ndarray, skip: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of a window or more of a document's words that are those of a passage, ``skip`` words from there; words
+        ``low`` to ``low + size`` are compared."""
+        if not len(size):
+            return
+        upto = np.cumsum(size + 1)  # each alignment's words and one more, which parts it from the next
+        word = np.arange(upto[-1]) + np.repeat(low - upto + size + 1, size + 1)
+        there = word + np.repeat(skip, size + 1)
+        same = own.take(word, mode="clip") == self.known.take(there, mode="clip")
+        same[upto - 1] = False
+        edges = np.flatnonzero(np.append(False, same[:-1]) != same)
+        first, last = edges[::2], edges[1::2]
+        long, done = last - first >= self.window, set()
+        for start, at, n in zip(word[first[long]].tolist(), there[first[long]].tolist(), (last - first)[long].tolist()):
+            if (start, n) in done:
+                continue
+            mine, passage = between(stream, ends, start, start + n), between(self.text, self.ends, at, at + n)
+            if mine == passage:
+                done.add((start, n))
+                yield start, start + n
+                continue
+            unlike = [k for k, (a, b) in enumerate(zip(mine.split(), passage.split())) if a != b]
+            for a, b in zip([-1, *unlike], [*unlike, n]):
+                if b - a > self.window:
+                    yield start + a + 1, start + b
+
+
+def between(text: bytes, ends: np.ndarray, start: int, end: int) -> bytes:
+    """Words start to end of a text with one space after each."""
+    return text[ends[start - 1] if start else 0 : ends[end - 1]]
+
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """(id, starts, ends): runs of words of ``docs(id, text binary)`` that a window covers which also starts earlier."""
@@ -322,7 +374,7 @@ def remove_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
     touched = restrict(rows, spans.select("id"), "id", n).join(spans, "id").select(F.col("doc_id").cast("long"), "text", "starts", "ends")
-    touched = touched.mapInArrow(tidy(run, forget), "doc_id long, n_words long, n_removed long, kept string")
+    touched = touched.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept string")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches_of(batches, 512):
@@ -330,4 +382,4 @@ def remove_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
             yield packed([pa.array(ids, pa.int64()), [len(w) for w in own], [0] * len(own), [b" ".join(w).decode() for w in own]], ["doc_id", "n_words", "n_removed", "kept"])
 
     whole = without(rows, spans.select("id"), "id", n).select(F.col("doc_id").cast("long"), "text")
-    return touched.unionByName(whole.mapInArrow(tidy(plain, forget), "doc_id long, n_words long, n_removed long, kept string"))
+    return touched.unionByName(whole.mapInArrow(tidy(plain), "doc_id long, n_words long, n_removed long, kept string"))

@@ -589,3 +589,54 @@ def test_a_phrase_in_very_many_passages_is_compared_at_once():
     assert time.monotonic() - start < 2.5
     assert found.locate(7, b" ".join([b"a7", *hot, b"b7"]))[0] == [1]
     assert Automaton(20).compiled().locate(1, b" ".join(hot)) == ([], [])
+
+
+def test_words_are_hashed_without_an_object_for_each(monkeypatch):
+    """As splitting says what a word is, wherever pieces end, and in far less than its time."""
+    import time
+
+    from tabulon.llm import shingles
+
+    draw = random.Random(5)
+    text = b"".join(bytes(draw.choices(range(256), k=draw.choice((1, 3, 9, 400)))) + draw.choice((b" ", b"\n\t", b"\r\x0b \x0c")) for _ in range(3000))
+    for whole in (b"", b" \n", b"a", b" a  b\n", text, text.split()[0] * 9, b"x " * 70 + b"y" * 400 + b" x"):
+        seen = []
+        for piece in (64, 1 << 10, 1 << 16):
+            monkeypatch.setattr(shingles, "PIECE", piece)
+            hashes, starts, lengths = shingles.hashed_words(whole)
+            assert [whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())] == whole.split()
+            assert lengths.tolist() == list(map(len, whole.split()))
+            assert len(set(zip(hashes.tolist(), whole.split()))) == len(set(hashes.tolist())) == len(set(whole.split()))
+            seen.append(hashes.tolist())
+        assert seen[1] == seen[2] or max(lengths.tolist(), default=0) > 1 << 10
+    rare = b" ".join(b"%x" % draw.getrandbits(40) for _ in range(1_000_000))
+    start = time.monotonic()
+    hashes = shingles.hashed_words(rare)[0]
+    assert time.monotonic() - start < 0.4
+    assert len(np.unique(hashes)) == len(set(rare.split()))
+
+
+def test_texts_hashed_together_are_hashed_alone():
+    draw = random.Random(7)
+    texts = [None, b"", *[b" ".join(b"w%d" % draw.randrange(90) for _ in range(draw.choice((3, 19, 20, 21, 200)))) + b" \n" * draw.randrange(3) for _ in range(60)], b" "]
+    texts.append(texts[-2])
+    ids = np.arange(100, 100 + len(texts))
+    found = list(zip(*map(np.ndarray.tolist, phrases.seen_anchors(ids, texts, 20))))
+    alone = [x for k, t in enumerate(texts) for x in zip(*map(np.ndarray.tolist, phrases.seen_anchors(ids[k : k + 1], [t], 20)))]
+    assert found == alone and sum(n for *_, n in found) == sum(len(phrases.Windows([t], 20).anchors()) for t in texts) > 300
+    known = np.array([a for a, _, _ in found][::3])
+    hashes, n = phrases.candidates(texts, known, 20)
+    each = [phrases.candidates([t], known, 20) for t in texts]
+    assert hashes.tolist() == [h for e, _ in each for h in e.tolist()] and n.tolist() == [len(e) for e, _ in each]
+
+
+def test_alike_by_hash_is_compared_word_by_word():
+    """Words of a document whose hashes are a passage's without being its words stay."""
+    found = phrases.Automaton(20)
+    passage = [b"p%d" % k for k in range(70)]
+    found.add(1, 0, b" ".join(passage))
+    found = found.compiled()
+    text = passage[:30] + [b"other"] + passage[31:]
+    found.known[30] = phrases.hashed_words(b"other")[0][0]
+    assert found.locate(2, b"\n ".join(text)) == ([0, 31], [30, 70])
+    assert found.locate(1, b" ".join(passage)) == ([], [])
