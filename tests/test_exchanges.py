@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulon import plans
 from tabulon.operators import section_tree
+from tabulon.plans import quality
 
 
 def executed(df):
@@ -34,3 +35,15 @@ def test_labels_of_one_row_number_come_as_in_the_table(spark, tmp_path):
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     assert [tuple(r) for r in got] == con.execute(plans.oracle_sql()["arr8_row_labels"]).fetchall() == [(1, "Z,R,A,N")]
+
+
+def test_statement_groups_are_dealt_once_over_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    duckdb.sql("SELECT CASE WHEN i % 11 > 0 THEN i // 6 % 200 END AS l_orderkey, i % 5 AS l_partkey, (i % 3)::DOUBLE AS l_quantity, ['A', 'N', NULL][1 + i % 3] AS l_returnflag, ['F', 'O'][1 + i % 2] AS l_linestatus FROM range(3000) r(i)").write_parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(quality, "ORDER_ROWS", 100)
+    got = plans.queries()["agg18_statement_group"](spark, str(tmp_path))
+    assert executed(got).count("Exchange") == 1
+    assert got.rdd.getNumPartitions() == 31
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.execute(plans.oracle_sql()["agg18_statement_group"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) == 201
