@@ -248,11 +248,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, chunk_toke
     small_batches(spark)
     path = work_dir(spark, "collocations")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    chunks = stored(texts.mapInArrow(tidy(lambda batches: _chunks(batches, chunk_tokens)), CHUNKS), f"{path}/chunks")
+    chunks = stored(texts.mapInArrow(tidy(lambda batches: _chunks(batches, chunk_tokens)), CHUNKS), f"{path}/chunks", **grams.ROW_GROUPS)
     words = chunks.select(F.explode(F.arrays_zip("langs", "said")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.said").alias("n"))
     words = stored(words, f"{path}/words")
     shards = grams.shards_for(words.agg(F.sum("n")).first()[0] or 0, shard_tokens)
-    answers = stored(grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT)), f"{path}/totals")
+    answers = stored(grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT)), f"{path}/totals", **grams.ROW_GROUPS)
     buckets = shards * BUCKETS
     projected = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _project(c, a, shards, buckets, least, places), PLACED)
     # As many tasks as buckets, since each holds one bucket at a time.

@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from tabulon.llm.shingles import STEP, mixed
 
 CHUNK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 21
+#: Writer's options of tables with a row for each chunk or answer: row groups of about 8 MB, whose size is looked at after
+#: each row, not after a hundred, since a task holds a whole one when it writes and when it reads; and no least and greatest
+#: values, since the writer holds those of all row groups, here whole chunks, until its file ends.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.column.statistics.enabled": "false"}
 
 SENT = "chunk long, size int, shard int, keys binary, n binary"
 TOTALS = "chunk long, size int, shard int, totals binary, known long"

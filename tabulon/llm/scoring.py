@@ -202,11 +202,11 @@ def score_texts(docs: DataFrame, train: Column, priors: tuple[float, float] = PR
     small_batches(spark)
     path = work_dir(spark, "scores")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    chunks = stored(texts.mapInArrow(tidy(lambda batches: _chunks(batches, chunk_tokens)), CHUNKS), f"{path}/chunks")
+    chunks = stored(texts.mapInArrow(tidy(lambda batches: _chunks(batches, chunk_tokens)), CHUNKS), f"{path}/chunks", **grams.ROW_GROUPS)
     each = F.explode(F.arrays_zip("train", "n")).alias("piece")
     sums = chunks.select(each).agg(F.sum("piece.n"), F.sum(F.when(F.col("piece.train"), F.col("piece.n")))).first()
     shards, total = grams.shards_for(sums[0] or 0, shard_tokens), sums[1] or 0
-    answers = stored(grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT)), f"{path}/totals")
+    answers = stored(grams.totals(chunks.mapInArrow(tidy(lambda batches: _send(batches, shards)), grams.SENT)), f"{path}/totals", **grams.ROW_GROUPS)
     known = answers.where("size = 1").agg(F.sum("known")).first()[0] or 0
     pieces = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda c, a: _score(c, a, shards, total, known, priors), "row long, doc_id long, train boolean, n long, n_known long, base double, score double")
     whole = pieces.groupBy("row", "doc_id", "train").agg(*[F.sum(c).alias(c) for c in ("n", "n_known", "base", "score")])

@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,19 @@ def test_packed_counts():
         assert (grams.unpacked(grams.packed(values)) == values).all()
 
 
+@pytest.mark.parametrize("module, run", [(scoring, scoring.score_texts), (collocations, collocations.collocations)])
+def test_a_task_holds_few_chunks_when_it_writes_and_reads_them(spark, tmp_path, monkeypatch, module, run):
+    monkeypatch.setitem(grams.ROW_GROUPS, "parquet.block.size", "1000")
+    monkeypatch.setattr(module, "work_dir", lambda spark, name: f"{tmp_path}/{name}")
+    docs = spark.createDataFrame(noisy(5, 150, 2, words=30, most=90), DOCS).coalesce(1)
+    run(docs, *[F.lit(True)] * (module is scoring), chunk_tokens=40).collect()
+    for file in [f for name in ("chunks", "totals") for f in tmp_path.glob(f"*/{name}/*.parquet")]:
+        groups = pq.ParquetFile(file).metadata
+        groups = [groups.row_group(i) for i in range(groups.num_row_groups)]
+        assert sum(g.num_rows for g in groups) > 20 >= max(g.num_rows for g in groups)
+        assert not any(g.column(c).statistics for g in groups for c in range(g.num_columns))  # a writer keeps them
+
+
 def spoken(seed, n):
     """Texts of a small vocabulary in which some phrases are fixed."""
     rng = random.Random(seed)
