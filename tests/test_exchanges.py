@@ -37,6 +37,17 @@ def test_labels_of_one_row_number_come_as_in_the_table(spark, tmp_path):
     assert [tuple(r) for r in got] == con.execute(plans.oracle_sql()["arr8_row_labels"]).fetchall() == [(1, "Z,R,A,N")]
 
 
+def test_labels_of_one_row_number_come_as_in_the_files_of_the_table(spark, tmp_path):
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, rows in (("a", "(2::BIGINT, 1, 5::BIGINT, 'X', 'O'), (1, 3, 5, 'R', 'O')"), ("b", "(1::BIGINT, 3, 5::BIGINT, 'A', 'O')")):
+        duckdb.sql(f"SELECT * FROM (VALUES {rows}) v(l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus)").write_parquet(str(folder / f"{name}.parquet"))
+    got = plans.queries()["arr8_row_labels"](spark, str(tmp_path)).collect()
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(plans.oracle_sql()["arr8_row_labels"]).fetchall()) == [(1, "R,A"), (2, "X")]
+
+
 def test_statement_groups_are_dealt_once_over_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
     duckdb.sql("SELECT CASE WHEN i % 11 > 0 THEN i // 6 % 200 END AS l_orderkey, i % 5 AS l_partkey, (i % 3)::DOUBLE AS l_quantity, ['A', 'N', NULL][1 + i % 3] AS l_returnflag, ['F', 'O'][1 + i % 2] AS l_linestatus FROM range(3000) r(i)").write_parquet(str(tmp_path / "lineitem.parquet"))
     monkeypatch.setattr(quality, "ORDER_ROWS", 100)
